@@ -158,7 +158,7 @@ def raw_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
         if texts is None:
             return F.concat(F.lit("epc-"), key).alias(name.upper())
         choices = F.array(*[F.lit(t) for t in texts])
-        turn = ((key + position) % len(texts) + 1).cast("int")
+        turn = ((key + position % len(texts)) % len(texts) + 1).cast("int")
         return F.element_at(choices, turn).alias(name.upper())
 
     return _orders(spark, sf_dir).select(

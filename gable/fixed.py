@@ -16,9 +16,6 @@ GRAINS = {"monthly": 1, "quarterly": 3, "half_year": 6, "yearly": 12}
 # Label of the row that covers every property type.
 ALL_TYPES = "all"
 
-# Energy ratings.
-RATINGS = ("A", "B", "C", "D", "E", "F", "G")
-
 # Tokens charged per successful call, by route.
 TOKEN_PRICES = {
     "get_houses_by_postcode": 1,
@@ -52,13 +49,13 @@ POSTCODE_PATTERN = (
     r" ([0-9])[A-Za-z]{2})\z)"
 )
 
-# The Unicode White_Space characters.
-WHITE_SPACE = (
-    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
-    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-)
-
-# Date and time layouts of the source files.
-DATE_FORMAT = "yyyy-M-d"
-MINUTE_FORMAT = "yyyy-M-d H:m"
-SECOND_FORMAT = "yyyy-M-d H:m:s"
+# Layouts of numbers, dates and times in the source files. Under
+# (?U), \s is every Unicode white space character.
+NOT_BLANK = r"(?U)\S"
+PADDED = r"(?U)\A\s*({})\s*\z"
+RATING = r"[A-Ga-g]"
+WHOLE_NUMBER = r"[+-]?[0-9]+"
+DECIMAL_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+DATE_LAYOUT = r"\A *[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
+MINUTE_LAYOUT = r"\A *[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}\z"
+SECOND_LAYOUT = r"\A *[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\z"

@@ -3,12 +3,22 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gable.functions.text import trimmed
+from gable import fixed
+from gable.functions.text import unpadded
 
 
 def parsed_number(text: Column, kind: str) -> Column:
-    """The number in the trimmed text, null when it does not parse."""
-    return trimmed(text).try_cast(kind)
+    """The number in the trimmed text, null when it does not parse or fit.
+
+    The layout is tested first, and integers go through the wider type: a cast
+    that fails costs far more than a test, and most bad values are blanks.
+    """
+    if kind.startswith("decimal"):
+        return unpadded(text, fixed.DECIMAL_NUMBER).try_cast(kind)
+    whole = unpadded(text, fixed.WHOLE_NUMBER).try_cast("bigint")
+    if kind == "bigint":
+        return whole
+    return F.when(whole.between(-(2**31), 2**31 - 1), whole.cast("int"))
 
 
 def percent_change(now: Column, before: Column) -> Column:

@@ -21,15 +21,16 @@ def moment(value: datetime | str) -> Column:
 
 
 def parsed_date(text: Column) -> Column:
-    return F.try_to_date(F.ltrim(text), fixed.DATE_FORMAT)
+    """Null unless the text is a date without a time part."""
+    return F.when(text.rlike(fixed.DATE_LAYOUT), text.try_cast("date"))
 
 
 def parsed_datetime(text: Column) -> Column:
-    return F.try_to_timestamp(F.ltrim(text), F.lit(fixed.SECOND_FORMAT))
+    return F.when(text.rlike(fixed.SECOND_LAYOUT), text.try_cast("timestamp"))
 
 
 def parsed_minute(text: Column) -> Column:
-    return F.try_to_timestamp(F.ltrim(text), F.lit(fixed.MINUTE_FORMAT))
+    return F.when(text.rlike(fixed.MINUTE_LAYOUT), text.try_cast("timestamp"))
 
 
 def midnight(date: Column) -> Column:

@@ -45,18 +45,23 @@ def yes_no(flag: Column) -> Column:
     return F.when(flag == "Y", True).when(flag == "N", False)
 
 
-def trimmed(text: Column) -> Column:
-    return F.btrim(text, F.lit(fixed.WHITE_SPACE))
+def unpadded(text: Column, layout: str) -> Column:
+    """The text without surrounding white space if it has the layout, else null."""
+    return F.nullif(F.regexp_extract(text, fixed.PADDED.format(layout), 1), F.lit(""))
 
 
 def blank_to_null(text: Column) -> Column:
-    """Null for blank text; other text is kept untrimmed."""
-    return F.when(trimmed(text) != "", text)
+    """Null for blank text; other text is kept untrimmed.
+
+    Text that starts, spaces aside, with a printable ASCII character is settled
+    by comparison; only the rest is searched.
+    """
+    plain = F.ltrim(text).between("!", "~")
+    return F.when(plain | text.rlike(fixed.NOT_BLANK), text)
 
 
 def rating(text: Column) -> Column:
-    letter = F.upper(trimmed(text))
-    return F.when(letter.isin(*fixed.RATINGS), letter)
+    return F.upper(unpadded(text, fixed.RATING))
 
 
 def data_id(area_type: Column, area: Column, start: Column, end: Column) -> Column:

@@ -27,6 +27,10 @@ class Statistic:
         return self.finish(self.prepare(frame, keys), keys)
 
 
+def _prices(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rollups.with_total(rollups.price_rollup(frame, keys), keys)
+
+
 def _by_month(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rollups.price_rollup(frame, keys, by_month=True)
 
@@ -35,7 +39,7 @@ def _by_month(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
 SALE_STATISTICS = {
     s.name: s
     for s in (
-        Statistic("mean_price", "Average sale price", rollups.price_rollup, stats.mean_price),
+        Statistic("mean_price", "Average sale price", _prices, stats.mean_price),
         Statistic(
             "sale_volume",
             "Total sales volume for time periods 1mo, 3mo, 6mo, and 12mo",
@@ -47,13 +51,13 @@ SALE_STATISTICS = {
             "count_house_types", "Count different types of houses", rollups.span_rollup, stats.count_house_types
         ),
         Statistic(
-            "most_expensive_sale", "Most expensive sale", rollups.price_rollup, stats.most_expensive_sale
+            "most_expensive_sale", "Most expensive sale", _prices, stats.most_expensive_sale
         ),
         Statistic(
             "pct_change_price", "The percent change of a sales price", _by_month, stats.pct_change_price
         ),
         Statistic(
-            "std_house_price", "Standard deviation of sale price", rollups.price_rollup, stats.std_house_price
+            "std_house_price", "Standard deviation of sale price", _prices, stats.std_house_price
         ),
         Statistic(
             "avg_house_tenancy",

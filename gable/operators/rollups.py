@@ -71,16 +71,17 @@ def span_rollup(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def span_rollup_of_tables(houses: DataFrame, sales: DataFrame, start=None, end=None) -> DataFrame:
-    """`span_rollup` by postcode, straight from the tables.
+    """Houses and gaps by postcode and type, straight from the tables.
 
     Sales shrink to one row per house before they meet the houses, in the one
-    shuffle that join needs anyway. A house has one type, so all types is a sum.
+    shuffle that join needs anyway. A house has one type, so unlike for
+    `span_rollup` all types is the sum of the types, left to `to_areas`.
     """
     by_house = counted_sales(sales, start, end).groupBy("houseid").agg(*_span_of("date"))
     placed = by_house.join(
         counted_houses(houses).select("houseid", "type", "postcode"), "houseid"
     )
-    return with_total(_spans(placed, ["postcode"]), ["postcode"], SPANS)
+    return _spans(placed, ["postcode"])
 
 
 def _span_of(date: str) -> list[Column]:
@@ -96,12 +97,14 @@ def _spans(per_house: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def with_total(rollup: DataFrame, keys: Sequence[str], names: Sequence[str], *more: str) -> DataFrame:
+def _labels() -> Column:
+    """The type of a row and the label it counts towards as well."""
+    return F.explode(F.array(F.col("type"), F.lit(fixed.ALL_TYPES)))
+
+
+def with_total(rollup: DataFrame, keys: Sequence[str] = (), names: Sequence[str] = MEASURES) -> DataFrame:
     """Rows per type plus the row of all types, from one pass over a rollup."""
-    labels = F.array(F.col("type"), F.lit(fixed.ALL_TYPES))
-    return (
-        rollup.withColumn("type", F.explode(labels)).groupBy(*keys, "type", *more).agg(*summed(names))
-    )
+    return rollup.withColumn("type", _labels()).groupBy(*keys, "type").agg(*summed(names))
 
 
 def to_areas(
@@ -110,12 +113,17 @@ def to_areas(
     area_types: Sequence[str],
     names: Sequence[str],
     *more: str,
+    total: bool = False,
 ) -> DataFrame:
-    """Sum a rollup by postcode up to (area_type, area), all levels in one job."""
-    return (
+    """Sum a rollup by postcode up to (area_type, area), all levels in one job.
+
+    With `total` the row of all types comes out of the same shuffle.
+    """
+    placed = (
         rollup.join(postcode_levels(postcodes, area_types), "postcode")
         .select(*rollup.columns, F.inline("levels"))
         .filter(F.col("area").isNotNull())
-        .groupBy("area_type", "area", "type", *more)
-        .agg(*summed(names))
     )
+    if total:
+        placed = placed.withColumn("type", _labels())
+    return placed.groupBy("area_type", "area", "type", *more).agg(*summed(names))

@@ -1,7 +1,8 @@
 """The eight sale statistics, finished from rollups.
 
 Every function returns long rows: keys, [grain, period,] type, value column. The
-row of all types carries the label in `fixed.ALL_TYPES`.
+row of all types carries the label in `fixed.ALL_TYPES`. `prices` and `spans`
+hold that row already; `monthly` holds the types only.
 """
 
 from collections.abc import Sequence
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from gable import fixed
 from gable.functions.temporal import MICROS_PER_DAY
 from gable.operators import periods
-from gable.operators.rollups import with_total
 
 MONTHLY = {"monthly": fixed.GRAINS["monthly"]}
 
@@ -21,44 +21,37 @@ def mean_of(volume: Column, priced: Column) -> Column:
     return F.when(priced > 0, volume.cast("double") / priced)
 
 
-def spread_of(squares: Column, volume: Column, priced: Column) -> Column:
+def spread_of() -> Column:
     """Sample standard deviation from exact sums; null below two values.
 
     Falls back to floating point only where the exact products pass 38 digits.
     """
-    total = volume.cast("decimal(38,0)")
-    count = priced.cast("decimal(20,0)")
     exact = F.expr(
         "cast(try_subtract(try_multiply(squares, cast(priced as decimal(20,0))),"
         " try_multiply(cast(volume as decimal(38,0)), cast(volume as decimal(38,0)))) as double)"
     )
-    rough = squares.cast("double") * count.cast("double") - total.cast("double") * total.cast("double")
-    pairs = priced.cast("double") * (priced - 1).cast("double")
-    return F.when(priced > 1, F.sqrt(F.greatest(F.coalesce(exact, rough), F.lit(0.0)) / pairs))
+    count, total = F.col("priced").cast("double"), F.col("volume").cast("double")
+    rough = F.col("squares").cast("double") * count - total * total
+    spread = F.sqrt(F.greatest(F.coalesce(exact, rough), F.lit(0.0)) / (count * (count - 1)))
+    return F.when(F.col("priced") > 1, spread)
 
 
 def days_of(gap_micros: Column, gaps: Column) -> Column:
     return F.when(gaps > 0, gap_micros.cast("double") / gaps / float(MICROS_PER_DAY))
 
 
-def _price_totals(prices: DataFrame, keys: Sequence[str], *names: str) -> DataFrame:
-    return with_total(prices, keys, names)
-
-
 def mean_price(prices: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    totals = _price_totals(prices, keys, "volume", "priced")
-    return totals.select(*keys, "type", mean_of(F.col("volume"), F.col("priced")).alias("mean_price"))
+    return prices.select(*keys, "type", mean_of(F.col("volume"), F.col("priced")).alias("mean_price"))
 
 
 def std_house_price(prices: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    totals = _price_totals(prices, keys, "squares", "volume", "priced")
-    spread = spread_of(F.col("squares"), F.col("volume"), F.col("priced"))
-    return totals.select(*keys, "type", spread.alias("std_price"))
+    return prices.select(*keys, "type", spread_of().alias("std_price"))
 
 
 def most_expensive_sale(prices: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per type only; this statistic has no row of all types."""
-    return prices.groupBy(*keys, "type").agg(F.max("top_price").alias("max_price"))
+    by_type = prices.filter(~F.col("type").eqNullSafe(fixed.ALL_TYPES))
+    return by_type.select(*keys, "type", F.col("top_price").alias("max_price"))
 
 
 def count_house_types(spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -127,7 +120,7 @@ def bundle(monthly: DataFrame, spans: DataFrame, keys: Sequence[str] = ()) -> Da
     sold = F.col("sales").isNotNull()
     price_values = _values(
         ("mean_price", F.col("price"), is_whole),
-        ("std_house_price", spread_of(F.col("squares"), F.col("volume"), F.col("priced")), is_whole),
+        ("std_house_price", spread_of(), is_whole),
         ("most_expensive_sale", F.col("top_price"), is_whole & ~is_total),
         ("count_price", F.col("sales"), F.col("grain") == "monthly"),
         (

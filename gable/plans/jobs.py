@@ -94,9 +94,9 @@ def monthly_rollup(
 def price_rollup(
     postcodes: DataFrame, houses: DataFrame, sales: DataFrame, area_types: Sequence[str], start=None, end=None
 ) -> DataFrame:
-    """(area_type, area, type) sums over the whole range."""
+    """(area_type, area, type) sums over the whole range, the row of all types included."""
     by_postcode = rollups.price_rollup(postcode_sales(houses, sales, start, end), ["postcode"])
-    return rollups.to_areas(by_postcode, postcodes, area_types, rollups.MEASURES)
+    return rollups.to_areas(by_postcode, postcodes, area_types, rollups.MEASURES, total=True)
 
 
 def span_rollup(
@@ -104,7 +104,7 @@ def span_rollup(
 ) -> DataFrame:
     """(area_type, area, type) houses and gaps, the row of all types included."""
     by_postcode = rollups.span_rollup_of_tables(houses, sales, start, end)
-    return rollups.to_areas(by_postcode, postcodes, area_types, rollups.SPANS)
+    return rollups.to_areas(by_postcode, postcodes, area_types, rollups.SPANS, total=True)
 
 
 def all_statistics(

@@ -20,7 +20,7 @@ from gable.operators import (
     usage,
 )
 from gable.plans import jobs
-from gable.session import fresh_folder
+from gable.session import fresh_folder, staged
 from gable.sources import results, state, tables
 from gable.streaming import ingest
 
@@ -418,8 +418,13 @@ def snapshot_changed(spark, d):
 # Certificates
 
 
+def _stored_certificates(spark, d) -> DataFrame:
+    """Raw certificates as stored text, as files hold them."""
+    return staged(b.raw_certificates(spark, d), "raw-certificates")
+
+
 def epc_typed(spark, d):
-    rows = certificates.typed(b.raw_certificates(spark, d))
+    rows = certificates.typed(_stored_certificates(spark, d))
     shown = {}
     for field in rows.schema:
         kind = field.dataType.simpleString()
@@ -434,7 +439,7 @@ def epc_typed(spark, d):
 
 def epc_upsert(spark, d):
     """Certificates added by key to a table that holds a part of them."""
-    rows = certificates.typed(b.raw_certificates(spark, d))
+    rows = certificates.typed(_stored_certificates(spark, d))
     known = rows.filter(F.col("current_energy_rating") == "A").withColumn("tenure", F.lit("known"))
     first = normalise.first_per_key(rows, "lmk_key", rows.columns, ["lodgement_date"])
     return normalise.keyed_union(known, first, "lmk_key").select(
