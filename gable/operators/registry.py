@@ -8,63 +8,53 @@ from pyspark.sql import DataFrame, SparkSession
 from gable.operators import rollups, stats
 
 
+PRICES, MONTHS, SPANS = "prices", "months", "spans"
+
+
+def _prices(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rollups.with_total(rollups.price_rollup(frame, keys), keys)
+
+
+def _by_month(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rollups.price_rollup(frame, keys, by_month=True)
+
+
+_PREPARE = {PRICES: _prices, MONTHS: _by_month, SPANS: rollups.span_rollup}
+
+
 @dataclass(frozen=True)
 class Statistic:
     """A named statistic.
 
-    `prepare(frame, keys)` builds the rollup it needs from sale rows and
-    `finish(rollup, keys)` turns a rollup, of rows or of tables, into the result.
+    `kind` names the rollup it is finished from; `finish(rollup, keys)` turns a
+    rollup, of rows or of tables, into the result.
     """
 
     name: str
     description: str
-    prepare: Callable[[DataFrame, Sequence[str]], DataFrame]
+    kind: str
     finish: Callable[[DataFrame, Sequence[str]], DataFrame]
     deprecated: bool = False
     deprecated_in: str | None = None
 
     def compute(self, frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-        return self.finish(self.prepare(frame, keys), keys)
-
-
-def _prices(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rollups.with_total(rollups.price_rollup(frame, keys), keys)
-
-
-def _by_month(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rollups.price_rollup(frame, keys, by_month=True)
+        return self.finish(_PREPARE[self.kind](frame, keys), keys)
 
 
 # Names and descriptions of the supported statistics.
 SALE_STATISTICS = {
     s.name: s
     for s in (
-        Statistic("mean_price", "Average sale price", _prices, stats.mean_price),
-        Statistic(
-            "sale_volume",
-            "Total sales volume for time periods 1mo, 3mo, 6mo, and 12mo",
-            _by_month,
-            stats.sale_volume,
-        ),
-        Statistic("count_price", "Count the total sales", _by_month, stats.count_price),
-        Statistic(
-            "count_house_types", "Count different types of houses", rollups.span_rollup, stats.count_house_types
-        ),
-        Statistic(
-            "most_expensive_sale", "Most expensive sale", _prices, stats.most_expensive_sale
-        ),
-        Statistic(
-            "pct_change_price", "The percent change of a sales price", _by_month, stats.pct_change_price
-        ),
-        Statistic(
-            "std_house_price", "Standard deviation of sale price", _prices, stats.std_house_price
-        ),
+        Statistic("mean_price", "Average sale price", PRICES, stats.mean_price),
         Statistic(
-            "avg_house_tenancy",
-            "Average tenancy for houses in that area",
-            rollups.span_rollup,
-            stats.avg_house_tenancy,
+            "sale_volume", "Total sales volume for time periods 1mo, 3mo, 6mo, and 12mo", MONTHS, stats.sale_volume
         ),
+        Statistic("count_price", "Count the total sales", MONTHS, stats.count_price),
+        Statistic("count_house_types", "Count different types of houses", SPANS, stats.count_house_types),
+        Statistic("most_expensive_sale", "Most expensive sale", PRICES, stats.most_expensive_sale),
+        Statistic("pct_change_price", "The percent change of a sales price", MONTHS, stats.pct_change_price),
+        Statistic("std_house_price", "Standard deviation of sale price", PRICES, stats.std_house_price),
+        Statistic("avg_house_tenancy", "Average tenancy for houses in that area", SPANS, stats.avg_house_tenancy),
     )
 }
 

@@ -7,12 +7,12 @@ level is a sum of the small result.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from gable import fixed
-from gable.functions.temporal import micros_between
+from gable.functions.temporal import MICROS_PER_DAY, micros_between
 from gable.operators.extract import counted_houses, counted_sales, postcode_levels
 
 MEASURES = ("sales", "priced", "volume", "squares", "top_price")
@@ -66,8 +66,22 @@ def span_rollup(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     by_house = by_type.groupBy(*keys, "houseid").agg(
         F.sum("dated").alias("dated"), F.min("first").alias("first"), F.max("last").alias("last")
     )
-    every = by_house.withColumn("type", F.lit(fixed.ALL_TYPES))
-    return _spans(by_type, keys).unionByName(_spans(every, keys))
+    every = _spans(by_house, keys).withColumn("type", F.lit(fixed.ALL_TYPES))
+    return _spans(by_type, [*keys, "type"]).unionByName(every)
+
+
+def sale_gaps(frame: DataFrame, keys: Sequence[str] = ("houseid", "type")) -> DataFrame:
+    """Each date a house was sold on, its sales, and the days since the date before.
+
+    Further sales on the same date have a gap of zero, so they are only counted:
+    the window then sees dates, of which even the busiest house has few.
+    """
+    dates = (
+        _recombined(frame, keys).groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("sales"))
+    )
+    before = F.lag("date").over(Window.partitionBy(*keys).orderBy("date"))
+    days = micros_between(before, F.col("date")) / float(MICROS_PER_DAY)
+    return dates.withColumn("days_since", days)
 
 
 def span_rollup_of_tables(houses: DataFrame, sales: DataFrame, start=None, end=None) -> DataFrame:
@@ -81,7 +95,7 @@ def span_rollup_of_tables(houses: DataFrame, sales: DataFrame, start=None, end=N
     placed = by_house.join(
         counted_houses(houses).select("houseid", "type", "postcode"), "houseid"
     )
-    return _spans(placed, ["postcode"])
+    return _spans(placed, ["postcode", "type"])
 
 
 def _span_of(date: str) -> list[Column]:
@@ -90,7 +104,7 @@ def _span_of(date: str) -> list[Column]:
 
 def _spans(per_house: DataFrame, keys: Sequence[str]) -> DataFrame:
     gap = micros_between(F.col("first"), F.col("last")).cast("decimal(18,0)")
-    return per_house.groupBy(*keys, "type").agg(
+    return per_house.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("houses"),
         F.sum(F.greatest(F.col("dated") - 1, F.lit(0))).alias("gaps"),
         F.sum(gap).cast("decimal(28,0)").alias("gap_micros"),
@@ -103,8 +117,14 @@ def _labels() -> Column:
 
 
 def with_total(rollup: DataFrame, keys: Sequence[str] = (), names: Sequence[str] = MEASURES) -> DataFrame:
-    """Rows per type plus the row of all types, from one pass over a rollup."""
-    return rollup.withColumn("type", _labels()).groupBy(*keys, "type").agg(*summed(names))
+    """Rows per type plus the row of all types, from one pass over a rollup.
+
+    Without keys the row of all types is there even when nothing was sold.
+    """
+    if keys:
+        return rollup.withColumn("type", _labels()).groupBy(*keys, "type").agg(*summed(names))
+    total = rollup.agg(*summed(names)).withColumn("type", F.lit(fixed.ALL_TYPES))
+    return rollup.groupBy("type").agg(*summed(names)).unionByName(total)
 
 
 def to_areas(

@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from gable import schemas
-from gable.operators import certificates, ledger, normalise, rollups, stats
+from gable.operators import certificates, ledger, normalise, registry, rollups, stats
 from gable.operators.extract import postcode_sales
 from gable.session import staged
 from gable.sources import files, state, tables
@@ -107,6 +107,27 @@ def span_rollup(
     return rollups.to_areas(by_postcode, postcodes, area_types, rollups.SPANS, total=True)
 
 
+def statistics_of(
+    names: Sequence[str],
+    postcodes: DataFrame,
+    houses: DataFrame,
+    sales: DataFrame,
+    area_types: Sequence[str],
+    start=None,
+    end=None,
+) -> dict[str, DataFrame]:
+    """The named statistics for every area, each from the rollup it needs.
+
+    Statistics of one kind share their rollup's plan, so a query that unites
+    them shuffles the sales once per kind.
+    """
+    tables_ = (postcodes, houses, sales, area_types, start, end)
+    rollup_of = {
+        registry.PRICES: price_rollup, registry.MONTHS: monthly_rollup, registry.SPANS: span_rollup
+    }
+    return {s.name: s.finish(rollup_of[s.kind](*tables_), AREA_KEYS) for s in registry.lookup(names)}
+
+
 def all_statistics(
     postcodes: DataFrame, houses: DataFrame, sales: DataFrame, area_types: Sequence[str], start=None, end=None
 ) -> DataFrame:

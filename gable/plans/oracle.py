@@ -272,6 +272,39 @@ SQL: dict[str, str] = {
                                 ORDER BY type) AS types
               FROM counted GROUP BY area_type, area, period)
         GROUP BY area_type, area"""),
+    "stats_report": _with(("placed", "labelled", "counted", "volumes"), """
+        , longest AS (
+            SELECT 'most_expensive_sale' AS statistic, area_type, area, type, max(price) AS value
+            FROM placed GROUP BY area_type, area, type
+            UNION ALL SELECT 'count_house_types', area_type, area, type, count(DISTINCT houseid)
+            FROM labelled GROUP BY area_type, area, type),
+        typed AS (
+            SELECT area_type, area, grain, period,
+                   concat('"', period, '":{', string_agg(concat('"', type, '":',
+                       coalesce(CAST(volume AS VARCHAR), 'null')), ',' ORDER BY type), '}') AS part
+            FROM volumes GROUP BY area_type, area, grain, period),
+        grained AS (
+            SELECT area_type, area, grain,
+                   concat('"', grain, '":{', string_agg(part, ',' ORDER BY period), '}') AS part
+            FROM typed GROUP BY area_type, area, grain),
+        monthly AS (
+            SELECT area_type, area, period,
+                   concat('"', period, '":{', string_agg(concat('"', type, '":',
+                       coalesce(CAST(count AS VARCHAR), 'null')), ',' ORDER BY type), '}') AS part
+            FROM counted GROUP BY area_type, area, period)
+        SELECT area_type, area, statistic, result, '1996-01-01' AS start_date, '2000-12-31' AS end_date FROM (
+            SELECT area_type, area, statistic,
+                   concat('{', string_agg(concat('"', type, '":', value), ',' ORDER BY type), '}') AS result
+            FROM longest GROUP BY area_type, area, statistic
+            UNION ALL SELECT area_type, area, 'sale_volume',
+                   concat('{', string_agg(part, ',' ORDER BY grain), '}') FROM grained GROUP BY area_type, area
+            UNION ALL SELECT area_type, area, 'count_price',
+                   concat('{', string_agg(part, ',' ORDER BY period), '}') FROM monthly GROUP BY area_type, area)"""),
+    "sale_gaps": _with(("frame",), f"""
+        , dates AS (SELECT houseid, type, date, count(*) AS sales FROM frame GROUP BY houseid, type, date)
+        SELECT houseid, type, {_time('date')}, sales, CAST(epoch_us(date) - lag(epoch_us(date)) OVER (
+            PARTITION BY houseid, type ORDER BY date) AS DOUBLE) / 86400000000.0 AS days_since
+        FROM dates"""),
     "stats_store": _with(("means",), """
         SELECT replace(upper(concat(area_type, '_', area, ':1996-01-01 00:00:00-2000-12-31 00:00:00')), ' ', '')
                    AS data_id, area_type, area, type, mean_price FROM means"""),

@@ -16,6 +16,7 @@ from gable.operators import (
     nest,
     normalise,
     registry,
+    rollups,
     stats,
     usage,
 )
@@ -151,6 +152,18 @@ def stats_nested(spark, d):
     return nest.as_json(nested).select(*KEYS, "result")
 
 
+def stats_report(spark, d):
+    """Four statistics of each area in their nested shapes, one row per statistic."""
+    names = ["most_expensive_sale", "count_house_types", "count_price", "sale_volume"]
+    return nest.report(jobs.statistics_of(names, *_in_range(spark, d)), KEYS, START, END)
+
+
+def sale_gaps(spark, d):
+    """Dates of sale of every house with the days since the date before."""
+    rows = rollups.sale_gaps(extract.sales_frame(*_tables(spark, d), start=START, end=END))
+    return rows.withColumn("date", iso_time("date"))
+
+
 def stats_store(spark, d):
     """Mean prices packed, stored under their keys, and read back as rows."""
     path = fresh_folder(spark, "results")
@@ -474,7 +487,7 @@ REGISTERED: dict[str, Query] = {
         sales_extract, sales_of_area,
         mean_price, std_house_price, most_expensive_sale, count_house_types, avg_house_tenancy,
         count_price, count_price_wide, sale_volume, pct_change_price, stats_bundle, frame_statistics,
-        stats_nested, stats_store, data_id_keys, stats_requests, stats_requests_rejected,
+        sale_gaps, stats_nested, stats_report, stats_store, data_id_keys, stats_requests, stats_requests_rejected,
         houses_by_postcode, house_street, house_sales, linked_epcs, house_detail,
         usage_priced, usage_window, usage_trends, usage_summary, top_routes, top_routes_overall,
         current_period_tokens, billing_history, users_with_usage,

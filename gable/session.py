@@ -12,6 +12,9 @@ SETTINGS = {
     # A hot house, postcode or user lands in one shuffle partition of a sort-merge
     # join; AQE splits that partition across tasks.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Generated methods beyond this size are never compiled by the JVM; wide
+    # projections such as certificates then run faster split up.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

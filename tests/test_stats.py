@@ -168,6 +168,24 @@ def test_empty_frame_gives_no_rows(spark):
         assert rows.count() == 0
 
 
+def test_empty_frame_without_keys_keeps_the_total(spark):
+    df = frame(spark, [1], "D").limit(0)
+    assert by_type(computed(df, "mean_price"), "mean_price") == {"all": None}
+    assert by_type(computed(df, "std_house_price"), "std_price") == {"all": None}
+    assert by_type(computed(df, "avg_house_tenancy"), "avg_days") == {"all": None}
+    assert by_type(computed(df, "count_house_types"), "count") == {"all": 0}
+    assert by_type(computed(df, "most_expensive_sale"), "max_price") == {}
+    assert cells(computed(df, "count_price"), "count") == {}
+
+
+def test_gaps_between_dates(spark):
+    dates = ["2001-01-01", "2001-01-01", "2001-01-11", "2005-05-05"]
+    rows = rollups.sale_gaps(frame(spark, [1] * 4, "DDDS", dates, ["1", "1", "1", "2"]))
+    assert {(r["houseid"], str(r["date"])[:10], r["sales"], r["days_since"]) for r in rows.collect()} == {
+        ("1", "2001-01-01", 2, None), ("1", "2001-01-11", 1, 10.0), ("2", "2005-05-05", 1, None)
+    }
+
+
 def test_unknown_statistic_is_refused(spark):
     with pytest.raises(ValueError, match="median"):
         registry.run_statistics(frame(spark, [1], "D"), ["mean_price", "median"])
