@@ -432,8 +432,9 @@ def snapshot_changed(spark, d):
 
 
 def _stored_certificates(spark, d) -> DataFrame:
-    """Raw certificates as stored text, as files hold them."""
-    return staged(b.raw_certificates(spark, d), "raw-certificates")
+    """Raw certificates as stored text, spread over files as extracts are."""
+    cores = spark.sparkContext.defaultParallelism
+    return staged(b.raw_certificates(spark, d).repartition(cores, "LMK_KEY"), "raw-certificates")
 
 
 def epc_typed(spark, d):
@@ -444,7 +445,7 @@ def epc_typed(spark, d):
         if kind.startswith("decimal"):
             shown[field.name] = F.col(field.name).cast("double")
         elif kind == "date":
-            shown[field.name] = iso_day(field.name)
+            shown[field.name] = F.col(field.name).cast("string")
         elif kind == "timestamp":
             shown[field.name] = iso_time(field.name)
     return rows.withColumns(shown)
