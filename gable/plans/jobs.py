@@ -4,6 +4,7 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gable import schemas
 from gable.operators import certificates, ledger, normalise, registry, rollups, stats
@@ -59,7 +60,8 @@ def run_billing(spark: SparkSession, usage_path: str, folder: str, upto, as_of=N
 
     Ledgers go first, under ids that follow from user and cutoff; a run repeated
     after a failure finds them there and only finishes the stamping. Only days
-    that hold open usage are rewritten.
+    that hold open usage are read again and rewritten; the list of days is as
+    short as the calendar, so it prunes folders instead of being joined.
     """
     started = datetime.now(timezone.utc)
     usage = spark.read.parquet(usage_path)
@@ -67,15 +69,16 @@ def run_billing(spark: SparkSession, usage_path: str, folder: str, upto, as_of=N
         ledger.rolled_up(usage, upto, as_of), f"{folder}/billing_ledger", "id", ["period_end"],
         schemas.LEDGERS,
     )
-    open_days = ledger.unbilled(usage, upto).select("day").distinct()
-    rewritten = ledger.stamped(usage.join(open_days, "day", "left_semi"), upto)
-    (
-        staged(rewritten, "stamped-usage")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
-        .parquet(usage_path)
-    )
+    open_days = [row["day"] for row in ledger.unbilled(usage, upto).select("day").distinct().collect()]
+    if open_days:
+        rewritten = ledger.stamped(usage.filter(F.col("day").isin(open_days)), upto)
+        (
+            staged(rewritten, "stamped-usage")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day")
+            .parquet(usage_path)
+        )
     event = ledger.aggregation_event(spark, upto, started, datetime.now(timezone.utc))
     tables.insert_if_absent(
         event, f"{folder}/aggregation_event", "id", ["timestamp"], schemas.AGGREGATION_EVENTS
