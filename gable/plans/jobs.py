@@ -33,11 +33,9 @@ def load_sales_file(
 
 
 def apply_sales_changes(rows: DataFrame, folder: str) -> None:
-    """Keyed inserts for postcodes and houses; sales also change and disappear.
-
-    The new sales are staged in full before the table is replaced.
-    """
+    """Keyed inserts for postcodes and houses; sales also change and disappear."""
     spark = rows.sparkSession
+    tables.finish_replace(spark, f"{folder}/sales")
     rows = staged(rows, "normalised-sales")
     for name in ("postcodes", "houses"):
         tables.insert_if_absent(
@@ -46,7 +44,7 @@ def apply_sales_changes(rows: DataFrame, folder: str) -> None:
         )
     existing = tables.read_table(spark, f"{folder}/sales", schemas.SALES)
     merged = normalise.changes_applied(existing, rows.select(*existing.columns, "row_class"), ["date"])
-    staged(merged, "merged-sales").write.mode("overwrite").parquet(f"{folder}/sales")
+    tables.replace_rows(merged, f"{folder}/sales")
 
 
 def load_certificate_files(
@@ -61,9 +59,11 @@ def run_billing(spark: SparkSession, usage_path: str, folder: str, upto, as_of=N
     Ledgers go first, under ids that follow from user and cutoff; a run repeated
     after a failure finds them there and only finishes the stamping. Only days
     that hold open usage are read again and rewritten; the list of days is as
-    short as the calendar, so it prunes folders instead of being joined.
+    short as the calendar, so it prunes folders instead of being joined. Usage of
+    those days must not be appended meanwhile.
     """
     started = datetime.now(timezone.utc)
+    tables.finish_replace(spark, usage_path, tables.USAGE_LAYOUT)
     usage = spark.read.parquet(usage_path)
     tables.insert_if_absent(
         ledger.rolled_up(usage, upto, as_of), f"{folder}/billing_ledger", "id", ["period_end"],
@@ -72,13 +72,7 @@ def run_billing(spark: SparkSession, usage_path: str, folder: str, upto, as_of=N
     open_days = [row["day"] for row in ledger.unbilled(usage, upto).select("day").distinct().collect()]
     if open_days:
         rewritten = ledger.stamped(usage.filter(F.col("day").isin(open_days)), upto)
-        (
-            staged(rewritten, "stamped-usage")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day")
-            .parquet(usage_path)
-        )
+        tables.replace_rows(rewritten, usage_path, tables.USAGE_LAYOUT)
     event = ledger.aggregation_event(spark, upto, started, datetime.now(timezone.utc))
     tables.insert_if_absent(
         event, f"{folder}/aggregation_event", "id", ["timestamp"], schemas.AGGREGATION_EVENTS

@@ -330,7 +330,7 @@ def ledger_items(spark, d):
 def billing_run(spark, d):
     """The whole billing job on stored usage, then each run's ledgers and items."""
     path, folder = fresh_folder(spark, "usage"), fresh_folder(spark, "billing")
-    tables.append_usage(b.usage_events(spark, d), path)
+    tables.append_usage(b.usage_events(spark, d), path, "load")
     jobs.run_billing(spark, path, folder, b.CUTOFF, b.AS_OF)
     ledgers = tables.read_table(spark, f"{folder}/billing_ledger", schemas.LEDGERS)
     events = tables.read_table(spark, f"{folder}/aggregation_event", schemas.AGGREGATION_EVENTS)

@@ -1,18 +1,23 @@
 """Table sinks: keyed inserts into parquet tables, and the layout of sales."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-from pyspark.errors import AnalysisException
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from gable import schemas
 from gable.operators import normalise
-from gable.session import staged
+from gable.session import fresh_folder, staged
 
 SALE_TABLES = {
     "postcodes": schemas.POSTCODES, "houses": schemas.HOUSES, "sales": schemas.SALES,
 }
 FIRST = ["date", "tui"]
+USAGE_LAYOUT = ("day", "batch")
+_USAGE_IDS = StructType(
+    [StructField("id", StringType()), StructField("day", DateType()), StructField("batch", StringType())]
+)
+_NOTE = StructType([StructField("folder", StringType())])
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -31,6 +36,7 @@ def insert_if_absent(rows: DataFrame, path: str, key: str, order: list[str], sch
     Running it again with the same rows adds nothing, so a failed job can simply
     be repeated. One writer per table at a time.
     """
+    finish_replace(rows.sparkSession, path)
     columns = schema.fieldNames()
     rows = rows.withColumns({f.name: rows[f.name].cast(f.dataType) for f in schema})
     first = normalise.first_per_key(rows, key, columns, order)
@@ -38,6 +44,36 @@ def insert_if_absent(rows: DataFrame, path: str, key: str, order: list[str], sch
     normalise.absent(first, existing, key).write.mode("append").parquet(path)
 
 
+def replace_rows(rows: DataFrame, path: str, layout: tuple[str, ...] = ()) -> None:
+    """Replace a table, or with a `layout` only the partitions `rows` touches.
+
+    The new rows are written in full elsewhere and noted beside the table before
+    anything is removed. A job that dies in between leaves the note, and
+    `finish_replace` at the start of the next job completes it.
+    """
+    spark = rows.sparkSession
+    new = fresh_folder(spark, "replacement")
+    rows.write.parquet(new)
+    _note(spark, path, [(new,)])
+    finish_replace(spark, path, layout)
+
+
+def finish_replace(spark: SparkSession, path: str, layout: tuple[str, ...] = ()) -> None:
+    """Complete a replacement an earlier job noted; does nothing without one."""
+    noted = read_table(spark, f"{path}-replacement", _NOTE).first()
+    if noted is None:
+        return
+    writer = spark.read.parquet(noted["folder"]).write.mode("overwrite")
+    if layout:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*layout)
+    writer.parquet(path)
+    _note(spark, path, [])
+
+
+def _note(spark: SparkSession, path: str, rows: list[tuple[str]]) -> None:
+    spark.createDataFrame(rows, _NOTE).write.mode("overwrite").parquet(f"{path}-replacement")
+
+
 def load_sales(rows: DataFrame, folder: str) -> None:
     """Normalised rows into postcodes, then houses, then sales.
 
@@ -56,9 +92,17 @@ def load_certificates(typed: DataFrame, folder: str) -> None:
     )
 
 
-def append_usage(usage: DataFrame, path: str) -> None:
-    """Append usage events, laid out by day so time ranges skip files."""
-    usage.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+def append_usage(usage: DataFrame, path: str, batch: str) -> None:
+    """Append usage events by day, so time ranges skip files, and by batch.
+
+    A batch repeated under its name after a failure adds only what is missing.
+    The check reads that batch alone, so a new batch reads nothing.
+    """
+    spark = usage.sparkSession
+    finish_replace(spark, path, USAGE_LAYOUT)
+    known = read_table(spark, path, _USAGE_IDS).filter(F.col("batch") == batch)
+    rows = usage.withColumns({"day": F.to_date("timestamp"), "batch": F.lit(batch)})
+    normalise.absent(rows, known, "id").write.mode("append").partitionBy(*USAGE_LAYOUT).parquet(path)
 
 
 def save_sales_by_year(sales: DataFrame, path: str) -> None:

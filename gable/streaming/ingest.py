@@ -41,15 +41,19 @@ def load_stream(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery
     )
 
 
-def ingest_usage(usage: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append usage events to a table by day, each exactly once."""
+def ingest_usage(usage: DataFrame, path: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Append usage events to a table by day, each exactly once.
+
+    Batches go through the keyed append rather than the file sink, whose log
+    would hide the files that billing rewrites.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        tables.append_usage(batch, path, f"{name}-{number}")
+
     return (
-        usage.withColumn("day", F.to_date("timestamp"))
-        .writeStream.format("parquet")
-        .option("path", path)
+        usage.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("day")
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -235,3 +235,17 @@ def test_sales_by_year_skip_other_years(spark, folder):
     one = found.filter("year = 1995")
     assert one.count() == 10
     assert "PartitionFilters: [isnotnull(year" in one._jdf.queryExecution().toString()
+
+
+def test_an_interrupted_replacement_is_finished_by_the_next_job(spark, folder):
+    path = f"{folder}/usage"
+    old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "day string, tokens int")
+    old.write.partitionBy("day").parquet(path)
+    new = spark.createDataFrame([("a", 10)], "day string, tokens int")
+    new.write.parquet(f"{folder}/new")
+    tables._note(spark, path, [(f"{folder}/new",)])
+    for _ in range(2):
+        tables.finish_replace(spark, path, ("day",))
+    assert {(r["day"], r["tokens"]) for r in spark.read.parquet(path).collect()} == {("a", 10), ("b", 3)}
+    tables.replace_rows(spark.createDataFrame([("b", 30)], "day string, tokens int"), path, ("day",))
+    assert {(r["day"], r["tokens"]) for r in spark.read.parquet(path).collect()} == {("a", 10), ("b", 30)}

@@ -1,9 +1,12 @@
 """Every registered query against its SQL, and the shape of the plans."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import oracle_check
+from gable import bindings
+from gable.operators import extract, rollups
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -79,6 +82,39 @@ def test_house_spans_of_rows_do_not_trust_the_join_placement(spark, no_broadcast
     assert lines[at - 1].startswith("Exchange hashpartitioning(county")
 
 
+@pytest.fixture
+def small_skew_limits(spark, no_broadcast):
+    limits = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, limit in limits.items():
+        spark.conf.set(name, limit)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("by_rows", [True, False])
+def test_join_splits_a_hot_house(spark, small_skew_limits, tmp_path, by_rows):
+    """A third of all sales on one house: its partition is read by several tasks."""
+    medium = "/root/testdata/sf0.01"
+    houses = bindings.houses(spark, medium)
+    sales = bindings.sales(spark, medium)
+    hot = F.when(F.xxhash64("tui") % 3 == 0, "4").otherwise(F.col("houseid"))
+    sales.withColumn("houseid", hot).repartition(8).write.parquet(str(tmp_path / "sales"))
+    sales = spark.read.parquet(str(tmp_path / "sales"))
+    if by_rows:
+        frame = extract.sales_frame(bindings.postcodes(spark, medium), houses, sales)
+        rows = rollups.span_rollup(frame, ["postcode"])
+    else:
+        rows = rollups.price_rollup(extract.postcode_sales(houses, sales), ["postcode"], by_month=True)
+    rows.collect()
+    assert "skew=true" in plan_of(rows)
+
+
 def test_periods_shuffle_once_after_the_rollup(spark, no_broadcast):
     plan = plan_of(QUERIES["pct_change_price"](spark, SMALL))
     above = plan[: plan.index("hashpartitioning(area_type")]

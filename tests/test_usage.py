@@ -10,6 +10,7 @@ from gable.functions import temporal
 from gable.operators import ledger, usage
 from gable.plans import jobs
 from gable.sources import tables
+from gable.streaming import ingest
 
 NOW = datetime(2024, 3, 10, 12)
 
@@ -173,7 +174,7 @@ def test_stamping_by_projection_equals_stamping_by_join(spark):
 def test_billing_run_can_be_repeated(spark, folder):
     path = f"{folder}/usage"
     later = NOW + timedelta(days=3)
-    tables.append_usage(events(spark, *_four("u"), *_four("v"), *_four("u", later)), path)
+    tables.append_usage(events(spark, *_four("u"), *_four("v"), *_four("u", later)), path, "load")
     cutoff = NOW + timedelta(days=1)
     for _ in range(2):
         jobs.run_billing(spark, path, folder, cutoff)
@@ -195,7 +196,7 @@ def test_billing_run_can_be_repeated(spark, folder):
 def test_billing_run_finishes_what_a_failed_run_left(spark, folder):
     """Ledgers written, stamping lost: the next run keeps the ledgers and stamps."""
     path, cutoff = f"{folder}/usage", NOW + timedelta(days=1)
-    tables.append_usage(events(spark, *_four("u")), path)
+    tables.append_usage(events(spark, *_four("u")), path, "load")
     tables.insert_if_absent(
         ledger.rolled_up(spark.read.parquet(path), cutoff), f"{folder}/billing_ledger", "id",
         ["period_end"], schemas.LEDGERS,
@@ -204,3 +205,30 @@ def test_billing_run_finishes_what_a_failed_run_left(spark, folder):
     ledgers = tables.read_table(spark, f"{folder}/billing_ledger", schemas.LEDGERS)
     assert [r["total_tokens"] for r in ledgers.collect()] == [500]
     assert spark.read.parquet(path).filter(F.col("ledger_id").isNull()).isEmpty()
+
+
+def test_a_repeated_batch_adds_only_what_is_missing(spark, folder):
+    path = f"{folder}/usage"
+    df = events(spark, *_four("u"), *_four("v", NOW + timedelta(days=1)))
+    tables.append_usage(df.filter("user_id = 'u'"), path, "one")
+    for _ in range(2):
+        tables.append_usage(df, path, "one")
+    tables.append_usage(events(spark, *_four("w")).withColumn("id", F.concat(F.lit("w"), "id")), path, "two")
+    assert spark.read.parquet(path).groupBy("batch").count().orderBy("batch").collect() == [("one", 8), ("two", 4)]
+
+
+def test_streamed_usage_can_be_billed_and_streamed_on(spark, folder):
+    landing, path = f"{folder}/landing", f"{folder}/usage"
+
+    def stream(*rows):
+        events(spark, *rows).coalesce(1).write.mode("append").parquet(landing)
+        source = spark.readStream.schema(schemas.USAGE).parquet(landing)
+        ingest.ingest_usage(source, path, f"{folder}/checkpoint").awaitTermination()
+
+    stream(*_four("u"))
+    jobs.run_billing(spark, path, folder, NOW + timedelta(hours=1))
+    stream(*_four("u", NOW + timedelta(days=1)))
+    jobs.run_billing(spark, path, folder, NOW + timedelta(days=2))
+    stored = spark.read.parquet(path)
+    assert stored.count() == 8 and stored.filter(F.col("ledger_id").isNull()).isEmpty()
+    assert stored.select("ledger_id").distinct().count() == 2
