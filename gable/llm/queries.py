@@ -5,12 +5,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gable.llm import sharding
+from gable.llm import decontaminate, oracle, sharding
 from gable.llm.common import documents, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark words of every document; contaminated from one word in twenty."""
+    found = decontaminate.find_occurrences(
+        documents(spark, d).select("doc_id", "text"), spark.read.parquet(f"{d}/benchmark.parquet"), carry=["doc_id"]
+    )
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items").select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     """Law `rows`: counts of the shards differ by one at most."""
     text = whole_text(F.col("text"))
@@ -24,5 +40,5 @@ def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     return dealt.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-REGISTERED: dict[str, Query] = {f.__name__: f for f in (op8_sharding,)}
-SQL: dict[str, str] = {}
+REGISTERED: dict[str, Query] = {f.__name__: f for f in (op4_decontamination, op8_sharding)}
+SQL: dict[str, str] = oracle.SQL
