@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gable.llm import decontaminate, oracle, sharding
-from gable.llm.common import documents, whole_text
+from gable.llm import decontaminate, oracle, sharding, toxicity
+from gable.llm.common import documents, fold, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,5 +40,14 @@ def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     return dealt.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-REGISTERED: dict[str, Query] = {f.__name__: f for f in (op4_decontamination, op8_sharding)}
+def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"), ~held_out)
+    return toxicity.score(docs, model, carry=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+REGISTERED: dict[str, Query] = {f.__name__: f for f in (op4_decontamination, op8_sharding, op10_toxicity)}
 SQL: dict[str, str] = oracle.SQL
