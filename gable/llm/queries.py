@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gable.llm import decontaminate, oracle, sharding, toxicity
+from gable.llm import decontaminate, oracle, pii, sharding, toxicity
 from gable.llm.common import documents, fold, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,22 @@ def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     return dealt.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op9_pii(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans with those that the network adds."""
+    docs = documents(spark, d).select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs), carry=["doc_id"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("bigint").alias("n_added"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -49,5 +65,5 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-REGISTERED: dict[str, Query] = {f.__name__: f for f in (op4_decontamination, op8_sharding, op10_toxicity)}
+REGISTERED: dict[str, Query] = {f.__name__: f for f in (op4_decontamination, op8_sharding, op9_pii, op10_toxicity)}
 SQL: dict[str, str] = oracle.SQL
