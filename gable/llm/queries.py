@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gable.llm import decontaminate, oracle, pii, sharding, toxicity
+from gable.llm import bpe, decontaminate, oracle, pii, sharding, tokens, toxicity
 from gable.llm.common import documents, fold, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,17 @@ def op4_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op5_token_output(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.crc32_of_ids(tokens.encoded(documents(spark, d)))
+
+
+def op6_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    ranks = bpe.read_ranks()
+    encoded = bpe.encode(documents(spark, d).select("doc_id", "text"), ranks)
+    rows = bpe.ids_digest(bpe.decode(encoded, ranks))
+    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     """Law `rows`: counts of the shards differ by one at most."""
     text = whole_text(F.col("text"))
@@ -65,5 +76,5 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-REGISTERED: dict[str, Query] = {f.__name__: f for f in (op4_decontamination, op8_sharding, op9_pii, op10_toxicity)}
+REGISTERED: dict[str, Query] = {f.__name__: f for f in (op4_decontamination, op5_token_output, op6_byte_bpe, op8_sharding, op9_pii, op10_toxicity)}
 SQL: dict[str, str] = oracle.SQL
