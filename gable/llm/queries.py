@@ -5,12 +5,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gable.llm import bpe, decontaminate, oracle, pii, sharding, tokens, toxicity
+from gable.llm import bpe, decontaminate, langid, oracle, pii, sharding, tokens, toxicity
 from gable.llm.common import documents, fold, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    held_out = fold(F.col("doc_id"), 3) == 1
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs, ~held_out), carry=["doc_id"])
+    return found.withColumn("held_out", held_out)
+
+
 def op4_decontamination(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark words of every document; contaminated from one word in twenty."""
     found = decontaminate.find_occurrences(
@@ -76,5 +83,5 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-REGISTERED: dict[str, Query] = {f.__name__: f for f in (op4_decontamination, op5_token_output, op6_byte_bpe, op8_sharding, op9_pii, op10_toxicity)}
+REGISTERED: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_decontamination, op5_token_output, op6_byte_bpe, op8_sharding, op9_pii, op10_toxicity)}
 SQL: dict[str, str] = oracle.SQL
