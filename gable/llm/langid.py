@@ -166,7 +166,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
 class Model:
     def __init__(self, languages: list[str], models: list):
         self.languages, self.models = languages, models
-        self.weights, self.ceilings = np.array([0.0, 2.0, -2.0]), np.full(len(languages), np.inf)
+        self.weights, self.ceilings = np.array([0.0, 2.0, -2.0]), np.full(len(languages), 0.9 * np.log(ALPHABET))
 
     def judge(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best language, cross-entropy, calibrated probability, accepted."""
