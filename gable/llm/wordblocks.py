@@ -109,10 +109,11 @@ def cut(docs: DataFrame, text: str, tokens_of: Callable[[pa.Array], list[list[by
     return staged(docs.mapInArrow(run, ROW), "words")
 
 
-def answer(blocks: DataFrame, about: Callable[[list[bytes], np.ndarray], list]) -> DataFrame:
+def answer(blocks: DataFrame, about: Callable[[list[bytes], np.ndarray], list], summary: Callable[[list[bytes], np.ndarray], bytes] | None = None) -> DataFrame:
     """For each word of each block what `about` says of it, once per distinct word and bucket.
 
     `about` takes distinct words and their total counts, and returns a list of answers.
+    `summary` may add one row for each bucket, with -2 in place of the bucket.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -126,9 +127,13 @@ def answer(blocks: DataFrame, about: Callable[[list[bytes], np.ndarray], list])
             if counts is not None:
                 totals[at] += counts  # a block has each word once
             asked.append(at)
-        answers = about(list(number), totals)
+        words = list(number)
+        answers = about(words, totals)
+        block, bucket = rows.column("block").to_pylist(), rows.column("bucket").to_pylist()
         data = [pack([answers[i] for i in at]) for at in asked]
-        return pa.table([rows.column("block"), rows.column("bucket"), pa.array(data, pa.binary())], names=_NAMES)
+        if summary:
+            block, bucket, data = [*block, 0], [*bucket, -2], [*data, summary(words, totals)]
+        return pa.table([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=_NAMES)
 
     return blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(run, ROW)
 
