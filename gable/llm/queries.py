@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gable.llm import bpe, decontaminate, langid, lm, oracle, pii, sharding, tokens, toxicity
+from gable.llm import bpe, decontaminate, langid, lm, oracle, pii, sharding, syncmers, tokens, toxicity
 from gable.llm.common import documents, fold, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("held_out", held_out)
 
 
+def op2_syncmer_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return syncmers.edited_likeness(documents(spark, d).select("doc_id", "text"))
+
+
 def op3_lm_scores(spark: SparkSession, d: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 10) == 0
     return lm.score(documents(spark, d).select("doc_id", "text"), ~held_out).withColumn("held_out", held_out)
@@ -88,5 +92,5 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-REGISTERED: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op3_lm_scores, op4_decontamination, op5_token_output, op6_byte_bpe, op8_sharding, op9_pii, op10_toxicity)}
+REGISTERED: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_lm_scores, op4_decontamination, op5_token_output, op6_byte_bpe, op8_sharding, op9_pii, op10_toxicity)}
 SQL: dict[str, str] = oracle.SQL
