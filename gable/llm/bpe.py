@@ -72,37 +72,45 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", block_t
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
         return rows.append_column("n_tokens", pa.array(np.diff(ends))).append_column("ids", lists)
 
-    blocks = wordblocks.cut(docs, text, tokens_of, block_tokens=block_tokens)
+    blocks = wordblocks.cut(docs, text, tokens_of, block_tokens=block_tokens, written=False)
     return wordblocks.join_back(blocks, wordblocks.answer(blocks, about), schema, finish)
 
 
-def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """The rows with `decoded`, the bytes of their `ids` one after the other."""
+def token_table(ranks: dict[bytes, int]) -> list[bytes]:
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, i in ranks.items():
         table[i] = token
-    sent = rows.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def bodies(lists: pa.ListArray, table: list[bytes]) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Ids of each row, as little-endian 32-bit integers, and their bytes."""
+    flat, at, of = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy(), table.__getitem__
+    for a, b in zip(at[:-1], at[1:]):
+        yield flat[a:b], b"".join(map(of, flat[a:b].tolist()))
+
+
+def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """The rows with `decoded`, the bytes of their `ids` one after the other."""
+    sent = rows.sparkSession.sparkContext.broadcast(token_table(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = sent.value.__getitem__
         for batch in batches:
-            lists = batch.column("ids")
-            flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            body = [b"".join(map(of, flat[a:b].tolist())) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(body, pa.binary())], names=[*batch.schema.names, "decoded"])
+            decoded = pa.array([body for _, body in bodies(batch.column("ids"), sent.value)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, rows.select("*", F.lit(b"").alias("decoded")).schema)
 
 
-def ids_digest(rows: DataFrame) -> DataFrame:
-    """The rows with `ids_sha256` of the ids as little-endian 32-bit integers in place of the ids."""
+def digests(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """`ids_sha256` and `decoded_sha256` in place of the ids: of them as integers, and of the bytes they decode to."""
+    sent = rows.sparkSession.sparkContext.broadcast(token_table(ranks))
     kept = [c for c in rows.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids")
-            flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-            sums = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sums)], names=[*kept, "ids_sha256"])
+            sums = [(hashlib.sha256(ids).hexdigest(), hashlib.sha256(body).hexdigest()) for ids, body in bodies(batch.column("ids"), sent.value)]
+            columns = [pa.array([s[i] for s in sums], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=[*kept, "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, rows.select(*kept, F.lit("").alias("ids_sha256")).schema)
+    return rows.mapInArrow(run, rows.select(*kept, F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema)

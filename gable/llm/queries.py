@@ -50,8 +50,7 @@ def op5_token_output(spark: SparkSession, d: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     ranks = bpe.read_ranks()
     encoded = bpe.encode(documents(spark, d).select("doc_id", "text"), ranks)
-    rows = bpe.ids_digest(bpe.decode(encoded, ranks))
-    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(encoded, ranks)
 
 
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:

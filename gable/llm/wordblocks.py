@@ -4,8 +4,9 @@ A block is a run of documents inside one task with about `BLOCK_TOKENS` tokens.
 keeps its token sequence as numbers of its own distinct words, and sends each distinct
 word, with its count, to the bucket that the word hashes to. A bucket thus sees each
 word once per block, however frequent the word is, works out what is asked about each
-distinct word, and answers every block. Blocks are written to the shared folder first,
-so that questions and answers always speak of the same blocks.
+distinct word, and answers every block. Blocks are named by their content. They are
+either written to the shared folder or cut anew from the same rows for the questions
+and for the join; if the rows came in another order then, the join fails.
 
 Rows are (block, bucket, data): bucket -1 is the block itself, others are its words in
 that bucket in the order of their numbers.
@@ -54,8 +55,8 @@ def rows_of(block: int, bucket: list[int], data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block] * len(bucket), pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=_NAMES)
 
 
-def cut(docs: DataFrame, text: str, tokens_of: Callable[[pa.Array], list[list[bytes]]], counted: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The blocks of `docs`, written; columns other than `text` travel with the block.
+def cut(docs: DataFrame, text: str, tokens_of: Callable[[pa.Array], list[list[bytes]]], counted: str | None = None, block_tokens: int = BLOCK_TOKENS, written: bool = True) -> DataFrame:
+    """The blocks of `docs`; columns other than `text` travel with the block.
 
     `tokens_of` turns a column of texts into tokens, and `counted` names a boolean
     column: occurrences in its true rows are counted for each word.
@@ -86,9 +87,10 @@ def cut(docs: DataFrame, text: str, tokens_of: Callable[[pa.Array], list[list[by
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table)
-            body = pack((sink.getvalue().to_pybytes(), sizes, planes(flat), planes(bucket)))
-            block = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
-            yield rows_of(block, [-1], [body])
+            stream = sink.getvalue().to_pybytes()
+            digest = hashlib.blake2b(stream + sizes.tobytes() + flat.tobytes() + b" ".join(words), digest_size=8)
+            block = int.from_bytes(digest.digest(), "little", signed=True)
+            yield rows_of(block, [-1], [pack((stream, sizes, planes(flat), planes(bucket)))])
             by = np.argsort(bucket, kind="stable")
             present, first = np.unique(bucket[by], return_index=True)
             parts = np.split(by, first[1:])
@@ -106,7 +108,8 @@ def cut(docs: DataFrame, text: str, tokens_of: Callable[[pa.Array], list[list[by
         if held:
             yield from flush()
 
-    return staged(docs.mapInArrow(run, ROW), "words")
+    blocks = docs.mapInArrow(run, ROW)
+    return staged(blocks, "words") if written else blocks
 
 
 def answer(blocks: DataFrame, about: Callable[[list[bytes], np.ndarray], list], summary: Callable[[list[bytes], np.ndarray], bytes] | None = None) -> DataFrame:
