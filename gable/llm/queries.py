@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gable.llm import bpe, decontaminate, langid, lm, oracle, pii, sharding, syncmers, tokens, toxicity
+from gable.llm import bpe, decontaminate, jaccard, langid, lm, oracle, pii, sharding, syncmers, tokens, toxicity
 from gable.llm.common import documents, fold, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op6_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.digests(encoded, ranks)
 
 
+def op7_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.join(documents(spark, d)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     """Law `rows`: counts of the shards differ by one at most."""
     text = whole_text(F.col("text"))
@@ -91,5 +95,5 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-REGISTERED: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_lm_scores, op4_decontamination, op5_token_output, op6_byte_bpe, op8_sharding, op9_pii, op10_toxicity)}
+REGISTERED: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_lm_scores, op4_decontamination, op5_token_output, op6_byte_bpe, op7_ngram_jaccard, op8_sharding, op9_pii, op10_toxicity)}
 SQL: dict[str, str] = oracle.SQL
