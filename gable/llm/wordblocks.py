@@ -93,7 +93,7 @@ def cut(docs: DataFrame, text: str, tokens_of: Callable[[pa.Array], list[list[by
             yield rows_of(block, [-1], [pack((stream, sizes, planes(flat), planes(bucket)))])
             by = np.argsort(bucket, kind="stable")
             present, first = np.unique(bucket[by], return_index=True)
-            parts = np.split(by, first[1:])
+            parts = np.split(by, first[1:]) if words else []
             for a in range(0, len(parts), 2000):
                 data = [pack(([words[i] for i in p], counts[p].astype(np.int32) if counted else None)) for p in parts[a : a + 2000]]
                 yield rows_of(block, present[a : a + 2000].tolist(), data)
