@@ -8,7 +8,6 @@ CERTIFICATE_FIELDS = (
     "lmk_key", "address1", "address2", "address3", "postcode", "current_energy_rating",
     "potential_energy_rating", "property_type", "lodgement_date", "total_floor_area", "uprn",
 )
-MAX_CHILDREN = 10_000
 
 
 def listing_order() -> list[Column]:
@@ -85,63 +84,46 @@ def house_detail(
     sales: DataFrame,
     lookup: DataFrame,
     certificates: DataFrame,
-    max_children: int = MAX_CHILDREN,
 ) -> DataFrame:
-    """Houses with `previous_sales` (newest first) and `linked_epcs` arrays.
-
-    A house with more children than `max_children` comes as several rows, `part`
-    of `parts`, each with its share of the children; no child is left out and no
-    array outgrows a row. Every other house is one row. Children of both kinds
-    are grouped together in one shuffle, so they never multiply.
+    """Houses with `previous_sales` (newest first) and `linked_epcs` arrays, by calendar year.
+
+    A row is a house and a year in which it was sold or certified; `year` is null for
+    children without a date and for the one row of a house without children. The shape
+    follows from the children alone, not from how many there are. Children of both
+    kinds are placed by house and year in one shuffle, so they never multiply and the
+    years of a busy house go to different tasks. All years newest first, one after the
+    other, are the whole history in order.
     """
     wanted = houses.select("houseid")
-    sale_rows = sales.join(wanted, "houseid", "left_semi")
-    certificate_rows = linked_certificates(houses, lookup, certificates)
-
     sold = F.struct(
         (-F.unix_micros(F.col("date").cast("timestamp"))).alias("newest"),
         F.col("tui"),
         *[F.col(c) for c in SALE_FIELDS if c != "tui"],
     )
-    linked = F.struct(*CERTIFICATE_FIELDS)
-    children = sale_rows.select(
-        "houseid", F.col("tui").alias("child"), sold.alias("sale")
-    ).unionByName(
-        certificate_rows.select("houseid", F.col("lmk_key").alias("child"), linked.alias("epc")),
-        allowMissingColumns=True,
-    )
-
-    sizes = sale_rows.select("houseid").unionAll(certificate_rows.select("houseid"))
-    large = (
-        sizes.groupBy("houseid")
-        .count()
-        .filter(F.col("count") > max_children)
-        .select("houseid", F.ceil(F.col("count") / max_children).cast("int").alias("parts"))
+    children = (
+        sales.join(wanted, "houseid", "left_semi")
+        .select("houseid", F.year("date").alias("year"), sold.alias("sale"))
+        .unionByName(
+            linked_certificates(houses, lookup, certificates).select(
+                "houseid", F.year("lodgement_date").alias("year"), F.struct(*CERTIFICATE_FIELDS).alias("epc")
+            ),
+            allowMissingColumns=True,
+        )
     )
-    parts = F.coalesce(F.col("parts"), F.lit(1))
     nested = (
-        children.join(large, "houseid", "left")
-        .withColumn("part", F.pmod(F.xxhash64("child"), parts).cast("int"))
-        # Placed by house and part even when the join above placed rows by house,
-        # so the parts of a large house go to different tasks.
-        .repartition("houseid", "part")
-        .groupBy("houseid", "part")
+        children.repartition("houseid", "year")
+        .groupBy("houseid", "year")
         .agg(
             F.array_sort(F.collect_list("sale")).alias("sales_sorted"),
             F.array_sort(F.collect_list("epc")).alias("linked_epcs"),
         )
     )
-    previous = F.transform(
-        "sales_sorted", lambda s: F.struct(*[s[c].alias(c) for c in SALE_FIELDS])
-    )
+    previous = F.transform("sales_sorted", lambda s: F.struct(*[s[c].alias(c) for c in SALE_FIELDS]))
     return (
         with_street(houses, postcodes)
-        .join(large, "houseid", "left")
-        .withColumn("parts", parts)
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .join(nested, ["houseid", "part"], "left")
+        .join(nested, "houseid", "left")
         .select(
-            "houseid", "part", "parts", "paon", "saon", "street", "postcode", "type",
+            "houseid", "year", "paon", "saon", "street", "postcode", "type",
             F.coalesce(previous, F.expr("array()").cast(_sales_type(sales))).alias("previous_sales"),
             F.coalesce("linked_epcs", F.expr("array()").cast(_epcs_type(certificates))).alias("linked_epcs"),
         )
