@@ -27,20 +27,21 @@ def users_with_usage(users: DataFrame, usage: DataFrame, upto) -> DataFrame:
     return users.join(active, "user_id", "left_semi")
 
 
-def ledger_id(user_id: Column, upto) -> Column:
-    """Repeatable id of the ledger of a user at a cutoff."""
-    return F.sha2(F.concat_ws("|", F.lit("ledger"), user_id.cast("string"), _text(upto)), 256)
+def ledger_id(user_id: Column, upto, run: int = 0) -> Column:
+    """Repeatable id of the ledger of a user at a cutoff; later runs at the same cutoff are counted from 1."""
+    return F.sha2(F.concat_ws("|", F.lit("ledger"), user_id.cast("string"), *_text(upto, run)), 256)
 
 
-def event_id(upto) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit("event"), _text(upto)), 256)
+def event_id(upto, run: int = 0) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit("event"), *_text(upto, run)), 256)
 
 
-def _text(upto) -> Column:
-    return F.unix_micros(moment(upto)).cast("string")
+def _text(upto, run: int) -> list[Column]:
+    cutoff = F.unix_micros(moment(upto)).cast("string")
+    return [cutoff, F.lit(str(run))] if run else [cutoff]
 
 
-def rolled_up(usage: DataFrame, upto, as_of=None) -> DataFrame:
+def rolled_up(usage: DataFrame, upto, as_of=None, run: int = 0) -> DataFrame:
     """One new ledger for every user with unbilled usage up to the cutoff."""
     return (
         unbilled(usage, upto)
@@ -51,14 +52,14 @@ def rolled_up(usage: DataFrame, upto, as_of=None) -> DataFrame:
             F.max("timestamp").alias("period_end"),
         )
         .select(
-            ledger_id(F.col("user_id"), upto).alias("id"),
+            ledger_id(F.col("user_id"), upto, run).alias("id"),
             "user_id",
             "total_tokens",
             "period_start",
             "period_end",
             moment(as_of or upto).alias("timestamp"),
             F.lit(None).cast("string").alias("stripe_event_id"),
-            event_id(upto).alias("aggregation_event_id"),
+            event_id(upto, run).alias("aggregation_event_id"),
         )
     )
 
@@ -113,6 +114,25 @@ def stamped(usage: DataFrame, upto) -> DataFrame:
     )
 
 
+def run_items(usage: DataFrame, upto, run: int = 0) -> DataFrame:
+    """The events a run bills, each with its ledger: what is open now, up to the cutoff."""
+    open_ = unbilled(usage, upto)
+    return open_.select(
+        "id", "user_id", "tokens", "timestamp", F.col("ledger_id"), "day",
+        ledger_id(F.col("user_id"), upto, run).alias("run_ledger"),
+    )
+
+
+def stamped_items(usage: DataFrame, items: DataFrame) -> DataFrame:
+    """Stamp exactly the events of a run; events that came later stay open."""
+    mine = items.select(F.col("id").alias("_item"), "run_ledger")
+    return (
+        usage.join(mine, F.col("id") == F.col("_item"), "left")
+        .withColumn("ledger_id", F.coalesce("ledger_id", "run_ledger"))
+        .drop("_item", "run_ledger")
+    )
+
+
 def ledger_items(ledgers: DataFrame, usage: DataFrame) -> DataFrame:
     """The usage events each ledger is made of."""
     items = usage.select(
@@ -128,10 +148,12 @@ def event_ledgers(events: DataFrame, ledgers: DataFrame) -> DataFrame:
     )
 
 
-def aggregation_event(spark: SparkSession, upto, started: datetime, finished: datetime) -> DataFrame:
+def aggregation_event(
+    spark: SparkSession, upto, started: datetime, finished: datetime, run: int = 0
+) -> DataFrame:
     """The one-row record of a run, with its duration in milliseconds."""
     return spark.range(1).select(
-        event_id(upto).alias("id"),
+        event_id(upto, run).alias("id"),
         millis_between(moment(started), moment(finished)).alias("run_time"),
         moment(started).alias("timestamp"),
     ).to(schemas.AGGREGATION_EVENTS)

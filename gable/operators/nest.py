@@ -6,6 +6,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gable.operators import registry
+
 
 def _map_of(key: str, value: Column | str) -> Column:
     """Entries sorted by key; sorting makes the packed text repeatable."""
@@ -33,25 +35,12 @@ def packed(long_rows: DataFrame, keys: Sequence[str], value: str, path: Sequence
     return rows
 
 
-# Levels of each statistic's nested result, and the column that holds its value.
-SHAPES = {
-    "mean_price": (("type",), "mean_price"),
-    "std_house_price": (("type",), "std_price"),
-    "most_expensive_sale": (("type",), "max_price"),
-    "count_house_types": (("type",), "count"),
-    "avg_house_tenancy": (("type",), "avg_days"),
-    "count_price": (("period", "type"), "count"),
-    "sale_volume": (("grain", "period", "type"), "volume"),
-    "pct_change_price": (("grain", "period", "type"), "pct_change"),
-}
-
-
 def report(found: Mapping[str, DataFrame], keys: Sequence[str], start=None, end=None) -> DataFrame:
     """One row per key and statistic: its nested result as JSON, and the range asked for."""
     parts = []
     for name, rows in found.items():
-        path, value = SHAPES[name]
-        nested = as_json(packed(rows, keys, value, path))
+        (statistic,) = registry.lookup([name])
+        nested = as_json(packed(rows, keys, statistic.value, statistic.levels))
         parts.append(nested.select(*keys, F.lit(name).alias("statistic"), "result"))
     return reduce(DataFrame.unionByName, parts).select(
         *keys, "statistic", "result",

@@ -67,14 +67,18 @@ def _clean(rows: DataFrame) -> DataFrame:
 
 
 def normalised(raw: DataFrame, mode: str = REFERENCE, check_widths: bool = False) -> DataFrame:
-    """Rows with a valid postcode; any other fault fails the job."""
+    """Rows with a valid postcode; any other fault fails the job.
+
+    The check is a filter, so it runs whichever columns are read and whatever is
+    done with the rows, deletions included.
+    """
     rows = derived(raw, mode).filter("postcode_ok").withColumn("problems", problems(check_widths))
     message = F.concat(
         F.lit("bad sale record "), F.coalesce("tui", F.lit("?")), F.lit(": "),
         F.array_join("problems", ", "), F.lit(", date "), F.coalesce("date_text", F.lit("?")),
     )
-    checked = F.when(F.size("problems") == 0, F.col("tui")).otherwise(F.raise_error(message))
-    return _clean(rows.withColumn("tui", checked))
+    checked = F.when(F.size("problems") == 0, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return _clean(rows.filter(checked))
 
 
 def screened(

@@ -27,13 +27,16 @@ class Statistic:
     """A named statistic.
 
     `kind` names the rollup it is finished from; `finish(rollup, keys)` turns a
-    rollup, of rows or of tables, into the result.
+    rollup, of rows or of tables, into the result. `levels` and `value` say how the
+    result nests in a report, outermost level first.
     """
 
     name: str
     description: str
     kind: str
     finish: Callable[[DataFrame, Sequence[str]], DataFrame]
+    levels: tuple[str, ...]
+    value: str
     deprecated: bool = False
     deprecated_in: str | None = None
 
@@ -45,16 +48,17 @@ class Statistic:
 SALE_STATISTICS = {
     s.name: s
     for s in (
-        Statistic("mean_price", "Average sale price", PRICES, stats.mean_price),
+        Statistic("mean_price", "Average sale price", PRICES, stats.mean_price, ("type",), "mean_price"),
         Statistic(
-            "sale_volume", "Total sales volume for time periods 1mo, 3mo, 6mo, and 12mo", MONTHS, stats.sale_volume
+            "sale_volume", "Total sales volume for time periods 1mo, 3mo, 6mo, and 12mo", MONTHS, stats.sale_volume,
+            ("grain", "period", "type"), "volume",
         ),
-        Statistic("count_price", "Count the total sales", MONTHS, stats.count_price),
-        Statistic("count_house_types", "Count different types of houses", SPANS, stats.count_house_types),
-        Statistic("most_expensive_sale", "Most expensive sale", PRICES, stats.most_expensive_sale),
-        Statistic("pct_change_price", "The percent change of a sales price", MONTHS, stats.pct_change_price),
-        Statistic("std_house_price", "Standard deviation of sale price", PRICES, stats.std_house_price),
-        Statistic("avg_house_tenancy", "Average tenancy for houses in that area", SPANS, stats.avg_house_tenancy),
+        Statistic("count_price", "Count the total sales", MONTHS, stats.count_price, ("period", "type"), "count"),
+        Statistic("count_house_types", "Count different types of houses", SPANS, stats.count_house_types, ("type",), "count"),
+        Statistic("most_expensive_sale", "Most expensive sale", PRICES, stats.most_expensive_sale, ("type",), "max_price"),
+        Statistic("pct_change_price", "The percent change of a sales price", MONTHS, stats.pct_change_price, ("grain", "period", "type"), "pct_change"),
+        Statistic("std_house_price", "Standard deviation of sale price", PRICES, stats.std_house_price, ("type",), "std_price"),
+        Statistic("avg_house_tenancy", "Average tenancy for houses in that area", SPANS, stats.avg_house_tenancy, ("type",), "avg_days"),
     )
 }
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from gable import schemas
 from gable.operators import certificates, ledger, normalise, registry, rollups, stats
+from gable.functions.temporal import moment
 from gable.operators.extract import postcode_sales
-from gable.session import staged
+from gable.session import require_utc, staged
 from gable.sources import files, state, tables
 
 AREA_KEYS = ("area_type", "area")
@@ -19,6 +20,7 @@ def load_sales_file(
     spark: SparkSession, source: str, folder: str, mode: str = normalise.REFERENCE
 ) -> bool:
     """Load a sale file unless it is the one loaded last; tells whether it was new."""
+    require_utc(spark)
     raw = files.read_sales(spark, source)
     known = state.read_state(spark, f"{folder}/state").first()["last_ppd_file"]
     found = state.changed(raw, known).first()
@@ -56,34 +58,72 @@ def load_certificate_files(
 def run_billing(spark: SparkSession, usage_path: str, folder: str, upto, as_of=None) -> DataFrame:
     """Ledgers for everyone, their usage stamped, and the record of the run.
 
-    Ledgers go first, under ids that follow from user and cutoff; a run repeated
-    after a failure finds them there and only finishes the stamping. Only days
-    that hold open usage are read again and rewritten; the list of days is as
-    short as the calendar, so it prunes folders instead of being joined. Usage of
-    those days must not be appended meanwhile.
+    The events of a run are taken once and written down; ledgers and stamps both come
+    from that list, so every event is in the total of the ledger it is stamped with.
+    Events that arrive later are open for the next run, which at the same cutoff has
+    ledgers and a record of its own. A run cut off by a failure is finished from its
+    list by the next call, before that looks for events of its own. Only days on the
+    list are read again and rewritten; they are as few as the calendar has, so they
+    prune folders. Usage of those days must not be appended meanwhile.
     """
+    require_utc(spark)
     started = datetime.now(timezone.utc)
     tables.finish_replace(spark, usage_path, tables.USAGE_LAYOUT)
+    records = f"{folder}/aggregation_event"
+    run = 0
+    while not _record(spark, records, upto, run).isEmpty():
+        run += 1
+    resumed = _bill(spark, usage_path, folder, upto, as_of, run, started, new=False)
+    if resumed:
+        run, started = run + 1, datetime.now(timezone.utc)
+    billed = _bill(spark, usage_path, folder, upto, as_of, run, started, new=True)
+    return _record(spark, records, upto, run if billed else run - 1)
+
+
+def _record(spark: SparkSession, path: str, upto, run: int) -> DataFrame:
+    known = tables.read_table(spark, path, schemas.AGGREGATION_EVENTS)
+    return known.filter(F.col("id") == ledger.event_id(upto, run))
+
+
+def _bill(spark, usage_path: str, folder: str, upto, as_of, run: int, started: datetime, new: bool) -> bool:
+    """One run from its list; without `new` only one that has a list already. Tells whether it ran.
+
+    The first run at a cutoff is recorded even if it finds nothing.
+    """
+    micros = int(spark.range(1).select(F.unix_micros(moment(upto))).first()[0])
+    path = f"{folder}/billing_items/{micros}-{run}"
+    tables.finish_replace(spark, path)
     usage = spark.read.parquet(usage_path)
+    items = tables.read_table(spark, path, schemas.RUN_ITEMS)
+    listed = not items.isEmpty()
+    if not listed:
+        if not new:
+            return False
+        found = ledger.run_items(usage, upto, run)
+        if found.isEmpty() and run:
+            return False
+        tables.replace_rows(found.select(*[found[f.name].cast(f.dataType) for f in schemas.RUN_ITEMS]), path)
+        items = tables.read_table(spark, path, schemas.RUN_ITEMS)
     tables.insert_if_absent(
-        ledger.rolled_up(usage, upto, as_of), f"{folder}/billing_ledger", "id", ["period_end"],
+        ledger.rolled_up(items, upto, as_of, run), f"{folder}/billing_ledger", "id", ["period_end"],
         schemas.LEDGERS,
     )
-    open_days = [row["day"] for row in ledger.unbilled(usage, upto).select("day").distinct().collect()]
-    if open_days:
-        rewritten = ledger.stamped(usage.filter(F.col("day").isin(open_days)), upto)
+    days = [row["day"] for row in items.select("day").distinct().collect()]
+    if days:
+        rewritten = ledger.stamped_items(usage.filter(F.col("day").isin(days)), items)
         tables.replace_rows(rewritten, usage_path, tables.USAGE_LAYOUT)
-    event = ledger.aggregation_event(spark, upto, started, datetime.now(timezone.utc))
+    event = ledger.aggregation_event(spark, upto, started, datetime.now(timezone.utc), run)
     tables.insert_if_absent(
         event, f"{folder}/aggregation_event", "id", ["timestamp"], schemas.AGGREGATION_EVENTS
     )
-    return event
+    return True
 
 
 def monthly_rollup(
     postcodes: DataFrame, houses: DataFrame, sales: DataFrame, area_types: Sequence[str], start=None, end=None
 ) -> DataFrame:
     """(area_type, area, type, month) sums, all levels from one pass over sales."""
+    require_utc(sales.sparkSession)
     by_postcode = rollups.price_rollup(postcode_sales(houses, sales, start, end), ["postcode"], by_month=True)
     return rollups.to_areas(by_postcode, postcodes, area_types, rollups.MEASURES, "month")
 

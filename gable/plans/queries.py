@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,6 +178,24 @@ def stats_store(spark, d):
     return read.select("data_id", *KEYS, F.explode(values).alias("type", "mean_price"))
 
 
+def stats_cached(spark, d):
+    """Mean prices looked up, else computed and stored: again, for new data, and for areas in capitals."""
+    path = fresh_folder(spark, "results")
+
+    def run(case: str, snapshot: str, shift: int = 0, change=lambda c: c) -> DataFrame:
+        def compute():
+            rows = mean_price(spark, d).withColumns({"area": change(F.col("area")), "mean_price": F.col("mean_price") + shift})
+            return nest.as_json(nest.packed(rows, KEYS, "mean_price", ["type"]))
+
+        areas = mean_price(spark, d).select("area_type", change(F.col("area")).alias("area")).distinct()
+        rows = results.cached(path, spark, areas, "mean_price", compute, START, END, snapshot)
+        values = F.explode(F.from_json("result", "map<string, double>")).alias("type", "mean_price")
+        return staged(rows.select(F.lit(case).alias("case"), *KEYS, values), "cached")
+
+    cases = [run("first", "one"), run("again", "one", 1), run("new data", "two", 2), run("capitals", "one", 3, F.upper)]
+    return reduce(DataFrame.unionByName, cases)
+
+
 def data_id_keys(spark, d):
     levels = extract.postcode_levels(b.postcodes(spark, d), LEVELS)
     areas = levels.select(F.inline("levels")).distinct()
@@ -246,7 +265,7 @@ def house_detail(spark, d):
         )
 
     return rows.select(
-        "houseid", "part", "parts", "paon", "saon", "street", "postcode", "type",
+        "houseid", "year", "paon", "saon", "street", "postcode", "type",
         F.size("previous_sales").alias("n_sales"),
         F.size("linked_epcs").alias("n_epcs"),
         F.array_join(F.transform("previous_sales", sale), "|").alias("sales"),
@@ -346,6 +365,33 @@ def billing_run(spark, d):
     )
 
 
+def billing_late_usage(spark, d):
+    """Usage billed, more of the same time appended, and billed again at the same cutoff."""
+    path, folder = fresh_folder(spark, "usage"), fresh_folder(spark, "billing")
+    events = b.usage_events(spark, d)
+    late = F.col("id").endswith("7")
+    tables.append_usage(events.filter(~late), path, "on time")
+    jobs.run_billing(spark, path, folder, b.CUTOFF, b.AS_OF)
+    tables.append_usage(events.filter(late), path, "late")
+    jobs.run_billing(spark, path, folder, b.CUTOFF, b.AS_OF)
+    jobs.run_billing(spark, path, folder, b.CUTOFF, b.AS_OF)
+    ledgers = tables.read_table(spark, f"{folder}/billing_ledger", schemas.LEDGERS)
+    runs = tables.read_table(spark, f"{folder}/aggregation_event", schemas.AGGREGATION_EVENTS)
+    items = (
+        spark.read.parquet(path)
+        .groupBy("ledger_id")
+        .agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("item_tokens"))
+    )
+    return (
+        ledger.event_ledgers(runs, ledgers)
+        .join(items, F.col("id") == F.col("ledger_id"))
+        .select(
+            "id", F.col("user_id").cast("bigint").alias("user_id"), "total_tokens", "items", "item_tokens",
+            (F.col("run_time") >= 0).alias("timed"),
+        )
+    )
+
+
 # Sale records
 
 
@@ -423,22 +469,20 @@ def snapshot_changed(spark, d):
     """The sales against the state of an earlier load of them."""
     sales = b.sales(spark, d)
     known = state.fingerprint(sales).first()["fingerprint"]
-    same = state.changed(sales, known).withColumn("against", F.lit("same"))
-    other = state.changed(sales.withColumn("price", F.col("price") + 1), known)
-    return same.unionByName(other.withColumn("against", F.lit("one price higher")))
+    compared = {
+        "same": sales,
+        "prices one higher": sales.withColumn("price", F.col("price") + 1),
+        "a column null": sales.withColumn("ppd_cat", F.lit(None).cast("string")),
+    }
+    found = [state.changed(rows, known).withColumn("against", F.lit(name)) for name, rows in compared.items()]
+    return reduce(DataFrame.unionByName, found).select("against", "rows", "changed")
 
 
 # Certificates
 
 
-def _stored_certificates(spark, d) -> DataFrame:
-    """Raw certificates as stored text, spread over files as extracts are."""
-    cores = spark.sparkContext.defaultParallelism
-    return staged(b.raw_certificates(spark, d).repartition(cores, "LMK_KEY"), "raw-certificates")
-
-
 def epc_typed(spark, d):
-    rows = certificates.typed(_stored_certificates(spark, d))
+    rows = certificates.typed(b.raw_certificates(spark, d))
     shown = {}
     for field in rows.schema:
         kind = field.dataType.simpleString()
@@ -453,7 +497,7 @@ def epc_typed(spark, d):
 
 def epc_upsert(spark, d):
     """Certificates added by key to a table that holds a part of them."""
-    rows = certificates.typed(_stored_certificates(spark, d))
+    rows = certificates.typed(b.raw_certificates(spark, d))
     known = rows.filter(F.col("current_energy_rating") == "A").withColumn("tenure", F.lit("known"))
     first = normalise.first_per_key(rows, "lmk_key", rows.columns, ["lodgement_date"])
     return normalise.keyed_union(known, first, "lmk_key").select(
@@ -488,11 +532,11 @@ REGISTERED: dict[str, Query] = {
         sales_extract, sales_of_area,
         mean_price, std_house_price, most_expensive_sale, count_house_types, avg_house_tenancy,
         count_price, count_price_wide, sale_volume, pct_change_price, stats_bundle, frame_statistics,
-        sale_gaps, stats_nested, stats_report, stats_store, data_id_keys, stats_requests, stats_requests_rejected,
+        sale_gaps, stats_nested, stats_report, stats_store, stats_cached, data_id_keys, stats_requests, stats_requests_rejected,
         houses_by_postcode, house_street, house_sales, linked_epcs, house_detail,
         usage_priced, usage_window, usage_trends, usage_summary, top_routes, top_routes_overall,
         current_period_tokens, billing_history, users_with_usage,
-        ledger_rollup, ledgers_listed, usage_stamped, usage_stamped_by_join, ledger_items, billing_run,
+        ledger_rollup, ledgers_listed, usage_stamped, usage_stamped_by_join, ledger_items, billing_run, billing_late_usage,
         ppd_normalise, ppd_rejects, ppd_status_split,
         ppd_upsert_postcodes, ppd_upsert_houses, ppd_upsert_sales, ppd_apply_changes,
         ppd_file_load, ppd_stream_ingest, snapshot_changed,

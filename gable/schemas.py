@@ -23,6 +23,9 @@ LEDGERS = _schema(
     id=TEXT, user_id=TEXT, total_tokens=LONG, period_start=TIME, period_end=TIME,
     timestamp=TIME, stripe_event_id=TEXT, aggregation_event_id=TEXT,
 )
+RUN_ITEMS = _schema(
+    id=TEXT, user_id=TEXT, tokens=LONG, timestamp=TIME, ledger_id=TEXT, day=T.DateType(), run_ledger=TEXT
+)
 AGGREGATION_EVENTS = _schema(id=TEXT, run_time=LONG, timestamp=TIME)
 LOAD_STATE = _schema(
     last_ppd_update=TIME, last_ppd_file=TEXT, last_epc_update=TIME, last_epc_file=TEXT,

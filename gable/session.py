@@ -30,6 +30,13 @@ def local_session(cores: str = "*", partitions: int = 8, **extra: str) -> SparkS
     return spark
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Refuse a session in which dates of a time would not be those of UTC."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00", "UTC+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone is {zone}; sales and usage are dated in UTC")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

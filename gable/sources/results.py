@@ -23,20 +23,23 @@ def range_id(area_type: Column, area: Column, start=None, end=None) -> Column:
     return data_id(area_type, area, moment(start or ALWAYS[0]), moment(end or ALWAYS[1]))
 
 
-def keyed(results: DataFrame, statistic: str, start=None, end=None, snapshot: str = "") -> DataFrame:
-    """Give packed results (area_type, area, result as JSON) their key.
+def exact_key(statistic: str, start=None, end=None, snapshot: str = "") -> Column:
+    """The key of `area_type` and `area`: a hash of the exact area, range and data snapshot.
 
-    The key hashes the exact area, range and data snapshot: areas that differ in
-    case or spaces stay apart, and new data does not meet old results.
+    Areas that differ in case or spaces stay apart, and new data does not meet old results.
     """
-    identity = range_id(F.col("area_type"), F.col("area"), start, end)
     exact = F.concat_ws(
         "\u0001", F.lit(statistic), "area_type", "area",
         F.lit(str(start or ALWAYS[0])), F.lit(str(end or ALWAYS[1])), F.lit(snapshot),
     )
+    return F.sha2(exact, 256)
+
+
+def keyed(results: DataFrame, statistic: str, start=None, end=None, snapshot: str = "") -> DataFrame:
+    """Give packed results (area_type, area, result as JSON) their key."""
     return results.select(
-        F.sha2(exact, 256).alias("key"),
-        identity.alias("data_id"),
+        exact_key(statistic, start, end, snapshot).alias("key"),
+        range_id(F.col("area_type"), F.col("area"), start, end).alias("data_id"),
         "area_type",
         "area",
         F.lit(snapshot).alias("snapshot"),
@@ -62,11 +65,17 @@ def store(results: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def cached(path: str, spark: SparkSession, statistic: str, identity: str, compute) -> DataFrame:
-    """The stored result, or compute it, store it and return it.
+def cached(
+    path: str, spark: SparkSession, areas: DataFrame, statistic: str, compute, start=None, end=None, snapshot: str = ""
+) -> DataFrame:
+    """The stored results of the given areas, those not stored computed and stored first.
 
-    `compute()` gives keyed results; it is not called when a result is stored.
+    Results are looked up by their exact key. `compute()` gives packed results
+    (area_type, area, result); it is not called when every area's result is stored,
+    and results stored before stay.
     """
-    if stored(spark, path, statistic, identity).isEmpty():
-        store(compute(), path)
-    return stored(spark, path, statistic, identity)
+    keys = areas.select(exact_key(statistic, start, end, snapshot).alias("key")).distinct()
+    if not absent(keys, stored(spark, path, statistic), "key").isEmpty():
+        new = keyed(compute(), statistic, start, end, snapshot)
+        store(new.join(keys, "key", "left_semi"), path)
+    return stored(spark, path, statistic).join(keys, "key", "left_semi")

@@ -21,6 +21,8 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     columns = [
         F.to_json(c) if rows.schema[c].dataType.typeName() == "map" else F.col(c) for c in rows.columns
     ]
+    # Spark's row hash skips nulls, so where they stand is hashed too.
+    columns += [F.col(c).isNull() for c in rows.columns]
     total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
     second = F.sum(F.xxhash64(F.lit(1), *columns).cast("decimal(38,0)"))
     return rows.agg(

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gable.operators import normalise
+from gable.plans import jobs
+from gable.session import require_utc
 from gable.sources import tables
 from gable.sources.files import stream_sales
 
@@ -23,15 +25,23 @@ def ingest_sales(
     The checkpoint remembers the files; a batch repeated after a failure adds
     nothing, because the tables are keyed.
     """
+    require_utc(spark)
     raw = stream_sales(spark, landing, pattern, **options)
-    return load_stream(normalise.normalised(raw, mode), folder, checkpoint)
+    return load_stream(normalise.normalised(raw, mode), folder, checkpoint, mode)
 
 
-def load_stream(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Normalised rows of a stream into the keyed tables, batch by batch."""
+def load_stream(rows: DataFrame, folder: str, checkpoint: str, mode: str = normalise.REFERENCE) -> StreamingQuery:
+    """Normalised rows of a stream into the keyed tables, batch by batch.
+
+    In `intended` mode changes and deletions of a batch are applied to the sales
+    loaded before it.
+    """
 
     def load(batch: DataFrame, _: int) -> None:
-        tables.load_sales(batch, folder)
+        if mode == normalise.INTENDED:
+            jobs.apply_sales_changes(batch, folder)
+        else:
+            tables.load_sales(batch, folder)
 
     return (
         rows.writeStream.foreachBatch(load)
@@ -48,6 +58,8 @@ def ingest_usage(usage: DataFrame, path: str, checkpoint: str, name: str = "stre
     would hide the files that billing rewrites.
     """
 
+    require_utc(usage.sparkSession)
+
     def append(batch: DataFrame, number: int) -> None:
         tables.append_usage(batch, path, f"{name}-{number}")
 

@@ -58,6 +58,20 @@ def test_bad_record_fails_or_is_screened(spark, tmp_path, bad):
     assert [(r["tui"], r["reason"]) for r in rejected.collect()] == [("t1", *bad)]
 
 
+def test_bad_record_fails_whatever_is_read(spark, tmp_path):
+    raw = files.read_sales(spark, write_sales(tmp_path / "pp.csv", record("{t2}"), record(date="15/11/2021")))
+    with pytest.raises(Exception, match="bad sale record"):
+        normalise.normalised(raw).count()
+    with pytest.raises(Exception, match="bad sale record"):
+        normalise.normalised(raw).select("postcode").distinct().collect()
+
+
+def test_bad_deletion_fails_the_load(spark, tmp_path, folder):
+    source = write_sales(tmp_path / "pp.csv", record("{t2}"), record(date="garbage", status="D"))
+    with pytest.raises(Exception, match="bad sale record"):
+        jobs.load_sales_file(spark, source, folder)
+
+
 def test_malformed_file_fails(spark, tmp_path):
     source = write_sales(tmp_path / "pp.csv", record(), record(price="many"))
     with pytest.raises(Exception):

@@ -1,11 +1,13 @@
 """Packing, storing and listing of results."""
 
 import json
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from gable.operators import nest, registry
-from gable.sources import results
+from gable.sources import results, state
 
 
 def _counts(spark):
@@ -41,21 +43,50 @@ def _packed(spark, area, value):
 def test_stored_result_is_returned_without_computing(spark, folder):
     path = f"{folder}/results"
     results.store(results.keyed(_packed(spark, "York", '{"mean_price": 100000}'), "mean_price"), path)
-    identity = results.stored(spark, path).first()["data_id"]
+    areas = spark.createDataFrame([("county", "York")], "area_type string, area string")
 
     def compute():
         raise AssertionError("computed although stored")
 
-    found = results.cached(path, spark, "mean_price", identity, compute).collect()
+    found = results.cached(path, spark, areas, "mean_price", compute).collect()
     assert json.loads(found[0]["result"]) == {"mean_price": 100000}
 
 
-def test_missing_result_is_computed_and_kept(spark, folder):
-    path = f"{folder}/results"
-    identity = "COUNTY_YORK:0001-01-0100:00:00-9999-12-3123:59:59.999999"
-    fresh = results.keyed(_packed(spark, "York", "{}"), "mean_price")
-    assert results.cached(path, spark, "mean_price", identity, lambda: fresh).count() == 1
-    assert results.stored(spark, path, "mean_price", identity).count() == 1
+def test_cached_computes_once_for_each_exact_key(spark, folder):
+    path, calls = f"{folder}/results", []
+
+    def run(area, snapshot, value):
+        def compute():
+            calls.append(value)
+            return _packed(spark, area, value)
+
+        areas = spark.createDataFrame([("county", area)], "area_type string, area string")
+        (row,) = results.cached(path, spark, areas, "mean_price", compute, snapshot=snapshot).collect()
+        return row["area"], row["result"]
+
+    assert run("Leeds", "one", "1") == ("Leeds", "1")
+    assert run("Leeds", "one", "2") == ("Leeds", "1")
+    assert run("Leeds", "two", "3") == ("Leeds", "3")
+    assert run("LEEDS", "one", "4") == ("LEEDS", "4")
+    assert run("Leeds", "one", "5") == ("Leeds", "1")
+    assert calls == ["1", "3", "4"]
+
+
+def test_fingerprint_sees_where_nulls_stand(spark):
+    rows = [spark.createDataFrame([x], "a string, b string") for x in (("x", None), (None, "x"), ("x", None))]
+    found = [state.fingerprint(r).first()["fingerprint"] for r in rows]
+    assert found[0] == found[2] != found[1]
+
+
+def test_added_statistic_passes_through_a_report(spark):
+    added = registry.Statistic("lowest", "Lowest", registry.PRICES, lambda r, k: r.select(*k, "type", F.lit(7).alias("least")), ("type",), "least")
+    registry.register(added)
+    try:
+        frame = spark.createDataFrame([("York", "D", 5, datetime(2000, 1, 1), "h")], "county string, type string, price long, date timestamp, houseid string")
+        rows = nest.report(registry.run_statistics(frame, ["lowest"], ["county"]), ["county"]).collect()
+        assert [(r["statistic"], r["result"]) for r in rows] == [("lowest", '{"D":7,"all":7}')]
+    finally:
+        del registry.SALE_STATISTICS["lowest"]
 
 
 def test_storing_again_keeps_the_first(spark, folder):
@@ -86,7 +117,7 @@ def test_catalog_lists_names_sorted(spark):
 
 
 def test_a_statistic_can_be_added(spark):
-    added = registry.Statistic("lowest", "Lowest", registry.PRICES, lambda r, k: r)
+    added = registry.Statistic("lowest", "Lowest", registry.PRICES, lambda r, k: r, ("type",), "least")
     registry.register(added)
     try:
         assert "lowest" in registry.supported()

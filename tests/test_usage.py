@@ -207,6 +207,56 @@ def test_billing_run_finishes_what_a_failed_run_left(spark, folder):
     assert spark.read.parquet(path).filter(F.col("ledger_id").isNull()).isEmpty()
 
 
+def test_late_usage_is_billed_once_in_a_ledger_of_its_own(spark, folder):
+    path, cutoff = f"{folder}/usage", NOW + timedelta(days=1)
+
+    def totals():
+        ledgers = tables.read_table(spark, f"{folder}/billing_ledger", schemas.LEDGERS)
+        stamped = spark.read.parquet(path).groupBy("ledger_id").agg(F.sum("tokens").alias("t"))
+        rows = ledgers.join(stamped, F.col("id") == F.col("ledger_id")).select("total_tokens", "t").collect()
+        return sorted(map(tuple, rows)), ledgers.count()
+
+    tables.append_usage(events(spark, *_four("u", tokens=(40, 60, 0, 0))), path, "load")
+    jobs.run_billing(spark, path, folder, cutoff)
+    late = events(spark, ("u", "/a", 50, NOW, None)).withColumn("id", F.concat(F.lit("late"), "id"))
+    tables.append_usage(late, path, "late")
+    for _ in range(2):
+        jobs.run_billing(spark, path, folder, cutoff)
+    assert totals() == ([(50, 50), (100, 100)], 2)
+    assert spark.read.parquet(path).filter(F.col("ledger_id").isNull()).isEmpty()
+    runs = tables.read_table(spark, f"{folder}/aggregation_event", schemas.AGGREGATION_EVENTS)
+    assert runs.count() == 2
+
+
+def test_late_usage_after_a_failed_run_is_not_lost(spark, folder, monkeypatch):
+    """The run fails after its ledgers; more usage comes; the next run finishes the first and bills the rest."""
+    path, cutoff = f"{folder}/usage", NOW + timedelta(days=1)
+    tables.append_usage(events(spark, *_four("u", tokens=(40, 60, 0, 0))), path, "load")
+    with monkeypatch.context() as m:
+        def fail(*_):
+            raise RuntimeError("lost")
+
+        m.setattr(ledger, "stamped_items", fail)
+        with pytest.raises(RuntimeError):
+            jobs.run_billing(spark, path, folder, cutoff)
+    late = events(spark, ("u", "/a", 50, NOW, None)).withColumn("id", F.concat(F.lit("late"), "id"))
+    tables.append_usage(late, path, "late")
+    jobs.run_billing(spark, path, folder, cutoff)
+    ledgers = tables.read_table(spark, f"{folder}/billing_ledger", schemas.LEDGERS)
+    stamped = spark.read.parquet(path).groupBy("ledger_id").agg(F.sum("tokens").alias("t"))
+    rows = ledgers.join(stamped, F.col("id") == F.col("ledger_id")).select("total_tokens", "t").collect()
+    assert sorted(map(tuple, rows)) == [(50, 50), (100, 100)]
+
+
+def test_another_time_zone_is_refused(spark, folder):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            jobs.run_billing(spark, f"{folder}/usage", folder, NOW)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_a_repeated_batch_adds_only_what_is_missing(spark, folder):
     path = f"{folder}/usage"
     df = events(spark, *_four("u"), *_four("v", NOW + timedelta(days=1)))
