@@ -89,7 +89,9 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT s.price, s.date, h.type, h.paon, h.saon, h.postcode, p.street, p.town, p.county, h.houseid, s.tui
         FROM postcodes p JOIN houses h ON p.postcode = h.postcode
         JOIN sales s ON h.houseid = s.houseid AND h.type <> 'O'
-        WHERE s.ppd_cat = 'A' AND s.date BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2000-12-31'"""),
+        WHERE s.ppd_cat = 'A'"""),
+    "ranged": (("frame",), """
+        SELECT * FROM frame WHERE date BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2000-12-31'"""),
     "placed": (("frame", "levels"), """
         SELECT l.area_type, l.area, f.type, f.price, f.date, f.houseid, f.tui
         FROM frame f JOIN levels l ON f.postcode = l.postcode"""),
@@ -212,11 +214,11 @@ def _loaded_sales() -> str:
 
 
 SQL: dict[str, str] = {
-    "sales_extract": _with(("frame",), f"""
-        SELECT price, {_time('date')}, type, paon, saon, postcode, street, town, houseid FROM frame"""),
-    "sales_of_area": _with(("frame",), """
+    "sales_extract": _with(("ranged",), f"""
+        SELECT price, {_time('date')}, type, paon, saon, postcode, street, town, houseid FROM ranged"""),
+    "sales_of_area": _with(("ranged",), """
         SELECT price, strftime(date, '%Y-%m-%d') AS date, type, paon, saon, postcode, street, town, houseid
-        FROM frame WHERE county = 'County 1'"""),
+        FROM ranged WHERE county = 'County 1'"""),
     "mean_price": _with(("means",), "SELECT * FROM means"),
     "std_house_price": _with(("spreads",), "SELECT * FROM spreads"),
     "most_expensive_sale": _with(("placed",), """
@@ -292,7 +294,7 @@ SQL: dict[str, str] = {
                    concat('"', period, '":{', string_agg(concat('"', type, '":',
                        coalesce(CAST(count AS VARCHAR), 'null')), ',' ORDER BY type), '}') AS part
             FROM counted GROUP BY area_type, area, period)
-        SELECT area_type, area, statistic, result, '1996-01-01' AS start_date, '2000-12-31' AS end_date FROM (
+        SELECT area_type, area, statistic, result, CAST(NULL AS VARCHAR) AS start_date, CAST(NULL AS VARCHAR) AS end_date FROM (
             SELECT area_type, area, statistic,
                    concat('{', string_agg(concat('"', type, '":', value), ',' ORDER BY type), '}') AS result
             FROM longest GROUP BY area_type, area, statistic
@@ -306,8 +308,20 @@ SQL: dict[str, str] = {
             PARTITION BY houseid, type ORDER BY date) AS DOUBLE) / 86400000000.0 AS days_since
         FROM dates"""),
     "stats_store": _with(("means",), """
-        SELECT replace(upper(concat(area_type, '_', area, ':1996-01-01 00:00:00-2000-12-31 00:00:00')), ' ', '')
+        SELECT replace(upper(concat(area_type, '_', area, ':0001-01-01 00:00:00-9999-12-31 23:59:59.999999')), ' ', '')
                    AS data_id, area_type, area, type, mean_price FROM means"""),
+    "area_statistics": _with(("means", "labelled", "tenancy"), """
+        SELECT type, 'mean_price' AS statistic, round(mean_price, 6) AS value FROM means
+        WHERE area_type = 'county' AND area = 'County 1'
+        UNION ALL SELECT type, 'count_house_types', CAST(count(DISTINCT houseid) AS DOUBLE) FROM labelled
+        WHERE area_type = 'county' AND area = 'County 1' GROUP BY type
+        UNION ALL SELECT type, 'avg_house_tenancy', round(avg_days, 6) FROM tenancy
+        WHERE area_type = 'county' AND area = 'County 1'"""),
+    "house_by_key": _with(("houses",), """
+        SELECT houseid, paon, saon, postcode, type FROM houses
+        WHERE houseid = (SELECT CAST(max(CAST(houseid AS BIGINT)) AS VARCHAR) FROM houses)"""),
+    "ledger_of_user": _with(("rolled",), """
+        SELECT id, user_id, total_tokens FROM rolled WHERE user_id = (SELECT min(user_id) FROM rolled)"""),
     "stats_cached": _with(("means",), """
         SELECT "case", area_type, area, type, mean_price + shift AS mean_price FROM means
         CROSS JOIN (VALUES ('first', 0), ('again', 0), ('new data', 2)) c("case", shift)

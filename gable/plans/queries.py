@@ -44,8 +44,9 @@ def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return b.postcodes(spark, d), b.houses(spark, d), b.sales(spark, d)
 
 
-def _in_range(spark: SparkSession, d: str) -> tuple:
-    return (*_tables(spark, d), LEVELS, START, END)
+def _everything(spark: SparkSession, d: str) -> tuple:
+    """The tables and all levels, over the open range."""
+    return (*_tables(spark, d), LEVELS)
 
 
 # Extraction
@@ -75,34 +76,34 @@ def sales_of_area(spark, d):
 
 
 def mean_price(spark, d):
-    return stats.mean_price(jobs.price_rollup(*_in_range(spark, d)), KEYS)
+    return stats.mean_price(jobs.price_rollup(*_everything(spark, d)), KEYS)
 
 
 def std_house_price(spark, d):
-    spread = stats.std_house_price(jobs.price_rollup(*_in_range(spark, d)), KEYS)
+    spread = stats.std_house_price(jobs.price_rollup(*_everything(spark, d)), KEYS)
     return spread.withColumn("std_price", F.round("std_price", 4))
 
 
 def most_expensive_sale(spark, d):
-    return stats.most_expensive_sale(jobs.price_rollup(*_in_range(spark, d)), KEYS)
+    return stats.most_expensive_sale(jobs.price_rollup(*_everything(spark, d)), KEYS)
 
 
 def count_house_types(spark, d):
-    return stats.count_house_types(jobs.span_rollup(*_in_range(spark, d)), KEYS)
+    return stats.count_house_types(jobs.span_rollup(*_everything(spark, d)), KEYS)
 
 
 def avg_house_tenancy(spark, d):
-    return stats.avg_house_tenancy(jobs.span_rollup(*_in_range(spark, d)), KEYS)
+    return stats.avg_house_tenancy(jobs.span_rollup(*_everything(spark, d)), KEYS)
 
 
 def count_price(spark, d):
-    rows = stats.count_price(jobs.monthly_rollup(*_in_range(spark, d)), KEYS)
+    rows = stats.count_price(jobs.monthly_rollup(*_everything(spark, d)), KEYS)
     return rows.withColumn("period", iso_day("period"))
 
 
 def count_price_wide(spark, d):
     """Monthly counts with a column per type."""
-    rows = stats.count_price(jobs.monthly_rollup(*_in_range(spark, d)), KEYS)
+    rows = stats.count_price(jobs.monthly_rollup(*_everything(spark, d)), KEYS)
     wide = nest.widened(rows, [*KEYS, "period"], "count", ["all", "D", "S", "T", "F"])
     return wide.withColumn("period", iso_day("period")).withColumnsRenamed(
         {"all": "n_all", "D": "n_d", "S": "n_s", "T": "n_t", "F": "n_f"}
@@ -110,17 +111,17 @@ def count_price_wide(spark, d):
 
 
 def sale_volume(spark, d):
-    rows = stats.sale_volume(jobs.monthly_rollup(*_in_range(spark, d)), KEYS)
+    rows = stats.sale_volume(jobs.monthly_rollup(*_everything(spark, d)), KEYS)
     return rows.withColumn("period", iso_day("period"))
 
 
 def pct_change_price(spark, d):
-    rows = stats.pct_change_price(jobs.monthly_rollup(*_in_range(spark, d)), KEYS)
+    rows = stats.pct_change_price(jobs.monthly_rollup(*_everything(spark, d)), KEYS)
     return rows.withColumn("period", iso_day("period")).withColumn("pct_change", F.round("pct_change", 6))
 
 
 def stats_bundle(spark, d):
-    rows = jobs.all_statistics(*_in_range(spark, d))
+    rows = jobs.all_statistics(*_everything(spark, d))
     return rows.withColumn("period", iso_day("period")).withColumn("value", F.round("value", 4))
 
 
@@ -140,11 +141,22 @@ def frame_statistics(spark, d):
     return rows.withColumn("value", F.round("value", 6))
 
 
+def area_statistics(spark, d):
+    """Chosen statistics of one area, from the rows extracted for it."""
+    frame = extract.sales_frame(*_tables(spark, d), "county", "County 1")
+    values = {"mean_price": "mean_price", "count_house_types": "count", "avg_house_tenancy": "avg_days"}
+    parts = [
+        rows.select("type", F.lit(name).alias("statistic"), F.round(F.col(values[name]).cast("double"), 6).alias("value"))
+        for name, rows in registry.run_statistics(frame, list(values)).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Result shapes, stored results, catalogue
 
 
 def _monthly_counts(spark, d) -> DataFrame:
-    return stats.count_price(jobs.monthly_rollup(*_in_range(spark, d)), KEYS)
+    return stats.count_price(jobs.monthly_rollup(*_everything(spark, d)), KEYS)
 
 
 def stats_nested(spark, d):
@@ -156,12 +168,12 @@ def stats_nested(spark, d):
 def stats_report(spark, d):
     """Four statistics of each area in their nested shapes, one row per statistic."""
     names = ["most_expensive_sale", "count_house_types", "count_price", "sale_volume"]
-    return nest.report(jobs.statistics_of(names, *_in_range(spark, d)), KEYS, START, END)
+    return nest.report(jobs.statistics_of(names, *_everything(spark, d)), KEYS)
 
 
 def sale_gaps(spark, d):
     """Dates of sale of every house with the days since the date before."""
-    rows = rollups.sale_gaps(extract.sales_frame(*_tables(spark, d), start=START, end=END))
+    rows = rollups.sale_gaps(extract.sales_frame(*_tables(spark, d)))
     return rows.withColumn("date", iso_time("date"))
 
 
@@ -170,7 +182,7 @@ def stats_store(spark, d):
     path = fresh_folder(spark, "results")
     identity = state.fingerprint(b.sales(spark, d)).first()["fingerprint"]
     packed = nest.as_json(nest.packed(mean_price(spark, d), KEYS, "mean_price", ["type"]))
-    keyed = results.keyed(packed, "mean_price", START, END, identity)
+    keyed = results.keyed(packed, "mean_price", snapshot=identity)
     results.store(keyed, path)
     results.store(keyed, path)
     read = results.stored(spark, path, "mean_price")
@@ -188,7 +200,7 @@ def stats_cached(spark, d):
             return nest.as_json(nest.packed(rows, KEYS, "mean_price", ["type"]))
 
         areas = mean_price(spark, d).select("area_type", change(F.col("area")).alias("area")).distinct()
-        rows = results.cached(path, spark, areas, "mean_price", compute, START, END, snapshot)
+        rows = results.cached(path, spark, areas, "mean_price", compute, snapshot=snapshot)
         values = F.explode(F.from_json("result", "map<string, double>")).alias("type", "mean_price")
         return staged(rows.select(F.lit(case).alias("case"), *KEYS, values), "cached")
 
@@ -232,6 +244,13 @@ def houses_by_postcode(spark, d):
     return houses.houses_by_postcode(b.houses(spark, d))
 
 
+def house_by_key(spark, d):
+    """The house of the highest number, looked up by its key."""
+    rows = b.houses(spark, d)
+    key = rows.agg(F.max(F.col("houseid").cast("bigint")).cast("string")).first()[0]
+    return houses.house(rows, key)
+
+
 def house_street(spark, d):
     return houses.with_street(b.houses(spark, d), b.postcodes(spark, d))
 
@@ -329,6 +348,13 @@ def ledgers_listed(spark, d):
     return rows.select("id", "user_id", "total_tokens")
 
 
+def ledger_of_user(spark, d):
+    """The ledger of one user, the first with open usage."""
+    events = b.usage_events(spark, d)
+    user = ledger.unbilled(events, b.CUTOFF).agg(F.min("user_id")).first()[0]
+    return ledger.ledger_of_user(events, user, b.CUTOFF).select("id", "user_id", "total_tokens")
+
+
 def usage_stamped(spark, d):
     rows = ledger.stamped(b.usage_events(spark, d), b.CUTOFF)
     return rows.select("id", "user_id", "tokens", "ledger_id")
@@ -531,12 +557,12 @@ REGISTERED: dict[str, Query] = {
     for query in (
         sales_extract, sales_of_area,
         mean_price, std_house_price, most_expensive_sale, count_house_types, avg_house_tenancy,
-        count_price, count_price_wide, sale_volume, pct_change_price, stats_bundle, frame_statistics,
+        count_price, count_price_wide, sale_volume, pct_change_price, stats_bundle, frame_statistics, area_statistics,
         sale_gaps, stats_nested, stats_report, stats_store, stats_cached, data_id_keys, stats_requests, stats_requests_rejected,
-        houses_by_postcode, house_street, house_sales, linked_epcs, house_detail,
+        houses_by_postcode, house_by_key, house_street, house_sales, linked_epcs, house_detail,
         usage_priced, usage_window, usage_trends, usage_summary, top_routes, top_routes_overall,
         current_period_tokens, billing_history, users_with_usage,
-        ledger_rollup, ledgers_listed, usage_stamped, usage_stamped_by_join, ledger_items, billing_run, billing_late_usage,
+        ledger_rollup, ledgers_listed, ledger_of_user, usage_stamped, usage_stamped_by_join, ledger_items, billing_run, billing_late_usage,
         ppd_normalise, ppd_rejects, ppd_status_split,
         ppd_upsert_postcodes, ppd_upsert_houses, ppd_upsert_sales, ppd_apply_changes,
         ppd_file_load, ppd_stream_ingest, snapshot_changed,
