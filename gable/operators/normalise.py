@@ -20,7 +20,7 @@ def row_class(status: Column) -> Column:
 def derived(raw: DataFrame, mode: str = REFERENCE) -> DataFrame:
     """All columns of the three relations on one row, plus `row_class`.
 
-    A plain projection, so it also runs on a stream. In `reference` mode the
+    A plain projection, so it also runs on a stream; `load_order` stays if it is there. In `reference` mode the
     new-build flag is true for "N", as existing tables have it; `intended` reads
     it the other way round.
     """
@@ -47,6 +47,7 @@ def derived(raw: DataFrame, mode: str = REFERENCE) -> DataFrame:
         row_class(F.col("record_status")).alias("row_class"),
         F.col("date").alias("date_text"),
         text.postcode_is_valid(F.col("postcode")).alias("postcode_ok"),
+        *[c for c in raw.columns if c == "load_order"],
     )
 
 

@@ -27,7 +27,7 @@ def load_sales_file(
     if not found["changed"]:
         return False
     if mode == normalise.INTENDED:
-        apply_sales_changes(normalise.normalised(raw, mode), folder)
+        apply_sales_changes(normalise.normalised(files.in_load_order(raw), mode), folder)
     else:
         tables.load_sales(normalise.normalised(raw, mode), folder)
     state.sales_loaded(spark, f"{folder}/state", found["fingerprint"], datetime.now(timezone.utc))
@@ -35,7 +35,11 @@ def load_sales_file(
 
 
 def apply_sales_changes(rows: DataFrame, folder: str) -> None:
-    """Keyed inserts for postcodes and houses; sales also change and disappear."""
+    """Keyed inserts for postcodes and houses; sales also change and disappear.
+
+    Of several records of a sale the last by `load_order` counts, or by date where
+    the rows don't have one.
+    """
     spark = rows.sparkSession
     tables.finish_replace(spark, f"{folder}/sales")
     rows = staged(rows, "normalised-sales")
@@ -45,7 +49,9 @@ def apply_sales_changes(rows: DataFrame, folder: str) -> None:
             tables.SALE_TABLES[name],
         )
     existing = tables.read_table(spark, f"{folder}/sales", schemas.SALES)
-    merged = normalise.changes_applied(existing, rows.select(*existing.columns, "row_class"), ["date"])
+    order = ["load_order"] if "load_order" in rows.columns else ["date"]
+    kept = dict.fromkeys([*existing.columns, "row_class", *order])
+    merged = normalise.changes_applied(existing, rows.select(*kept), order)
     tables.replace_rows(merged, f"{folder}/sales")
 
 

@@ -1,15 +1,17 @@
 """CSV sources: sale files and certificate extracts."""
 
-from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
+import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gable import fixed, schemas
 
 # Quotes are doubled inside quoted text. Records with line breaks inside quotes
 # need `multiline`, which costs the splitting of a file across tasks.
+#: Certificate extracts have fewer columns than this.
+MOST_COLUMNS = 200
 _CSV = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
 
 
@@ -27,20 +29,39 @@ def stream_sales(spark: SparkSession, folder: str, pattern: str = "*", **options
     return _blank(reader.csv(folder))
 
 
+def in_load_order(rows: DataFrame, file: Column | None = None) -> DataFrame:
+    """Add `load_order`: the file, then the place in it.
+
+    Splits of a file are numbered in their order, so row numbers grow along a file.
+    """
+    file = F.col("_metadata.file_path") if file is None else file
+    return rows.withColumn("load_order", F.struct(file.alias("file"), F.monotonically_increasing_id().alias("place")))
+
+
 def _blank(rows: DataFrame) -> DataFrame:
     """An empty field is empty text, not null."""
     return rows.fillna("", [f.name for f in schemas.SALE_FILE if f.name != "price"])
 
 
-def certificate_files(spark: SparkSession, folder: str) -> list[str]:
-    """Certificate extracts anywhere below the folder. Lists files, reads none."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
+def certificate_headers(spark: SparkSession, folder: str) -> list[tuple[tuple[str, ...], list[str]]]:
+    """Distinct header lines of the certificate extracts below the folder, each with its files.
+
+    One read of all files; their first lines are found where the splits with offset 0
+    begin, however many files there are.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", fixed.CERTIFICATE_FILE)
-        .load(folder)
+        .text(folder)
+        .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("offset"))
+        .where("offset = 0")
+        .withColumn("place", F.monotonically_increasing_id())
     )
-    return sorted(row["path"] for row in listed.select("path").toLocalIterator())
+    first = lines.groupBy("path").agg(F.min_by("value", "place").alias("line"))
+    names = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(MOST_COLUMNS))), {"quote": '"', "escape": '"'})
+    shown = F.to_json(F.array(*[F.col("names")[f"c{i}"] for i in range(MOST_COLUMNS)]))
+    by_header = first.select("path", names.alias("names")).groupBy(shown.alias("names")).agg(F.sort_array(F.collect_list("path")).alias("files"))
+    return [(tuple(x.strip() for x in json.loads(r["names"]) if x is not None), r["files"]) for r in by_header.orderBy("names").collect()]
 
 
 def read_certificates(spark: SparkSession, folder: str, multiline: bool = False) -> DataFrame:
@@ -49,19 +70,11 @@ def read_certificates(spark: SparkSession, folder: str, multiline: bool = False)
     Spark binds a schema by position, so files are grouped by their header line
     and each group is read under its own order. Unknown headers are ignored.
     """
-    paths = certificate_files(spark, folder)
-    if not paths:
+    groups = certificate_headers(spark, folder)
+    if not groups:
         raise FileNotFoundError(f"no {fixed.CERTIFICATE_FILE} below {folder}")
     options = {**_CSV, "header": True, "multiLine": multiline}
 
-    def header(path: str) -> tuple[str, ...]:
-        return tuple(spark.read.options(**options).csv(path).columns)
-
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(16) as pool:
-        for path, columns in zip(paths, pool.map(header, paths)):
-            groups[columns].append(path)
-
     def rows(columns: tuple[str, ...], files: list[str]) -> DataFrame:
         missing = set(schemas.CERTIFICATE_HEADERS) - set(columns)
         if missing:
@@ -70,4 +83,4 @@ def read_certificates(spark: SparkSession, folder: str, multiline: bool = False)
         read = spark.read.schema(schema).options(**options, enforceSchema=False).csv(files)
         return read.select(*schemas.CERTIFICATE_HEADERS)
 
-    return reduce(DataFrame.unionByName, [rows(c, f) for c, f in groups.items()])
+    return reduce(DataFrame.unionByName, [rows(c, f) for c, f in groups])

@@ -8,7 +8,7 @@ from gable.operators import normalise
 from gable.plans import jobs
 from gable.session import require_utc
 from gable.sources import tables
-from gable.sources.files import stream_sales
+from gable.sources.files import in_load_order, stream_sales
 
 
 def ingest_sales(
@@ -27,7 +27,8 @@ def ingest_sales(
     """
     require_utc(spark)
     raw = stream_sales(spark, landing, pattern, **options)
-    return load_stream(normalise.normalised(raw, mode), folder, checkpoint, mode)
+    rows = normalise.normalised(raw.withColumn("load_order", F.col("_metadata.file_path")), mode)
+    return load_stream(rows.withColumnRenamed("load_order", "file"), folder, checkpoint, mode)
 
 
 def load_stream(rows: DataFrame, folder: str, checkpoint: str, mode: str = normalise.REFERENCE) -> StreamingQuery:
@@ -39,9 +40,9 @@ def load_stream(rows: DataFrame, folder: str, checkpoint: str, mode: str = norma
 
     def load(batch: DataFrame, _: int) -> None:
         if mode == normalise.INTENDED:
-            jobs.apply_sales_changes(batch, folder)
+            jobs.apply_sales_changes(in_load_order(batch, F.col("file")).drop("file"), folder)
         else:
-            tables.load_sales(batch, folder)
+            tables.load_sales(batch.drop("file"), folder)
 
     return (
         rows.writeStream.foreachBatch(load)

@@ -142,6 +142,32 @@ def test_changes_and_deletions_apply_when_intended(spark, tmp_path):
     assert prices == {"a": 5, "c": 100000, "d": 100000}
 
 
+def test_last_record_of_the_file_counts(spark, tmp_path):
+    """A change to a lower price on the same date, and one to an earlier date, win by their place."""
+    folder, mode = str(tmp_path / "tables"), normalise.INTENDED
+    source = write_sales(
+        tmp_path / "1.csv", record("{a}", price="200"), record("{b}"), record("{a}", price="100", status="C"),
+        record("{b}", price="3", date="2020-01-01 00:00", status="C"), record("{c}"), record("{c}", status="D"),
+    )
+    jobs.load_sales_file(spark, source, folder, mode)
+    assert {r["tui"]: r["price"] for r in stored(spark, folder, "sales").collect()} == {"a": 100, "b": 3}
+
+
+def test_stream_applies_changes_and_deletions_when_intended(spark, tmp_path):
+    landing, folder = tmp_path / "in", str(tmp_path / "tables")
+    landing.mkdir()
+
+    def stream(name, *records):
+        write_sales(landing / name, *records)
+        ingest.ingest_sales(
+            spark, str(landing), folder, str(tmp_path / "checkpoint"), normalise.INTENDED, "*.csv", maxFilesPerTrigger=1
+        ).awaitTermination()
+
+    stream("1.csv", record("{a}"), record("{b}"), record("{c}"))
+    stream("2.csv", record("{a}", price="999", status="C"), record("{b}", status="D"), record("{d}"))
+    assert {r["tui"]: r["price"] for r in stored(spark, folder, "sales").collect()} == {"a": 999, "c": 100000, "d": 100000}
+
+
 def test_first_per_key_with_a_hot_key(spark):
     rows = spark.range(0, 30000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 100)).alias("k"),
@@ -211,7 +237,8 @@ def test_certificates_bind_by_header_name(spark, tmp_path):
         {**one, "LMK_KEY": "k2", "EXTRA": "x"}, {**one, "TOTAL_FLOOR_AREA": "1", "LODGEMENT_DATE": "2021-01-01"},
     )
     write_certificates(tmp_path / "in" / "a" / "recommendations.csv", ["LMK_KEY"], {"LMK_KEY": "no"})
-    assert len(files.certificate_files(spark, str(tmp_path / "in"))) == 2
+    groups = files.certificate_headers(spark, str(tmp_path / "in"))
+    assert len(groups) == 2 and all(len(paths) == 1 for _, paths in groups)
     folder = str(tmp_path / "tables")
     for _ in range(2):
         jobs.load_certificate_files(spark, str(tmp_path / "in"), folder)
