@@ -6,6 +6,8 @@ level is a sum of the small result.
 """
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,17 +73,27 @@ def span_rollup(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def sale_gaps(frame: DataFrame, keys: Sequence[str] = ("houseid", "type")) -> DataFrame:
-    """Each date a house was sold on, its sales, and the days since the date before.
+    """Each time a house was sold at, its sales, and the days since the time before.
 
-    Further sales on the same date have a gap of zero, so they are only counted:
-    the window then sees dates, of which even the busiest house has few.
+    Further sales at the same time have a gap of zero, so they are only counted. The
+    window looks back inside a calendar month; the first time of a month meets the last
+    one of the month before it that has any, of which a house has as many as the
+    calendar. A busy house is thus spread over its months.
     """
     dates = (
-        _recombined(frame, keys).groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("sales"))
+        _recombined(frame, keys)
+        .groupBy(*keys, "date")
+        .agg(F.count(F.lit(1)).alias("sales"))
+        .withColumn("_month", F.trunc("date", "month"))
     )
-    before = F.lag("date").over(Window.partitionBy(*keys).orderBy("date"))
-    days = micros_between(before, F.col("date")) / float(MICROS_PER_DAY)
-    return dates.withColumn("days_since", days)
+    inside = F.lag("date").over(Window.partitionBy(*keys, "_month").orderBy("date"))
+    months = dates.groupBy(*keys, "_month").agg(F.max("date").alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_month"))
+    months = months.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_month").alias("_of"), before.alias("_before"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_month").eqNullSafe(F.col("_of")))
+    rows = dates.withColumn("_inside", inside).join(months, same, "left")
+    days = micros_between(F.coalesce("_inside", "_before"), F.col("date")) / float(MICROS_PER_DAY)
+    return rows.select(*keys, "date", "sales", days.alias("days_since"))
 
 
 def span_rollup_of_tables(houses: DataFrame, sales: DataFrame, start=None, end=None) -> DataFrame:

@@ -32,7 +32,8 @@ def usage_window(usage: DataFrame, start, end, user_id=None) -> DataFrame:
 
 
 def in_time_order(usage: DataFrame) -> DataFrame:
-    return usage.orderBy("timestamp")
+    """By time; events of one time by their other columns, so a busy moment can be split."""
+    return usage.orderBy("timestamp", *[c for c in ("id", "user_id", "api_route", "tokens") if c in usage.columns])
 
 
 def usage_since(usage: DataFrame, as_of, days: int) -> DataFrame:
