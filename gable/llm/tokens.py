@@ -8,9 +8,12 @@ range; adding the sizes of the ranges before gives its start in the whole corpus
 """
 
 import os
+import unicodedata
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -26,6 +29,9 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 RANGE_BYTES = 32 << 20
 REMEMBERED = 300_000
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Byte-level vocabularies write bytes that are not visible characters of Latin-1 as the code points from 256 on.
+SYMBOLS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512)))
 SCHEMA = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 LAYOUT = {
     "compression": "zstd",
@@ -38,36 +44,79 @@ LAYOUT = {
 }
 
 
+def as_symbols(part: bytes) -> str | None:
+    """A part of letters alone, in lower case, with a symbol for each byte; None for other parts."""
+    if part.isalpha():
+        return part.decode()
+    text = part.decode()
+    if text.isascii() or not text.isalpha() or not unicodedata.is_normalized("NFC", text):
+        return None
+    text = "".join(map(str.lower, text))
+    return text.encode().decode("latin-1").translate(SYMBOLS) if text.isalpha() else None
+
+
 class Encoder:
-    """Encodes texts by the tokenizers library, each distinct run of non-blank characters once.
+    """Encodes texts by the tokenizers library, each distinct part of a run of non-blank characters once.
 
-    Tokens of this vocabulary never reach over ASCII white space and white space gives
-    none, so the ids of a text are those of its runs one after the other.
+    This vocabulary is for lower case, its tokens never reach over ASCII white space and
+    white space gives none, so the ids of a text are those of its runs one after the
+    other. ASCII punctuation behind an ASCII letter or digit at the end of a run is a
+    pre-token of its own and makes a part of its own. Many mixed parts are encoded in
+    one call, with a control character between them, whose single id tells them apart.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        (self.mark,) = self.library("\x01")
+        if not all(t.content.startswith("<|") for t in tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens are expected to begin with <|")
         self.forget()
 
+    def library(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: defaultdict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.parts: dict[bytes, list[int]] = {}
         self.pool, self.starts, self.sizes = array("i"), array("q"), array("q")
 
+    def learn(self, parts: list[bytes]) -> None:
+        """Ids of parts: a lone word by the vocabulary's merges at once, others through all steps."""
+        mixed, tokenize, known = [], self.tokenizer.model.tokenize, self.parts
+        for x in parts:
+            if (word := as_symbols(x)) is None:
+                mixed.append(x)
+            else:
+                known[x] = [t.id for t in tokenize(word)]
+        for at in range(0, len(mixed), 2_000):
+            some = mixed[at : at + 2_000]
+            ids = self.library(" \x01 ".join([x.decode() for x in some]))
+            cuts = [-1, *[i for i, n in enumerate(ids) if n == self.mark], len(ids)]
+            if len(cuts) == len(some) + 1:
+                known.update((x, ids[i + 1 : j]) for x, i, j in zip(some, cuts, cuts[1:]))
+            else:  # a part holds the control character itself
+                known.update((x, self.library(x.decode())) for x in some)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
         if len(self.number) > REMEMBERED:  # bounded memory; runs are simply encoded again
             self.forget()
-        lists = [t.split() for t in texts]
-        new = list(set().union(*lists) - self.number.keys())
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for run, found in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
-                self.number[run] = len(self.starts)
-                self.starts.append(len(self.pool))
-                self.sizes.append(len(found.ids))
-                self.pool.extend(found.ids)
+        # Special tokens are found before letters are lowered.
+        lists = [t.lower().split() if b"<|" not in t else [r if b"<|" in r else r.lower() for r in t.split()] for t in texts]
         runs = np.array([len(x) for x in lists], np.int64)
-        at = np.fromiter((i for x in lists for i in map(self.number.__getitem__, x)), np.int64, int(runs.sum()))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64, int(runs.sum()))
+        cut = []
+        for run in islice(self.number, len(self.starts), None):
+            core = run.rstrip(PUNCTUATION)
+            cut.append((core, run[len(core) :]) if core != run and core[-1:].isalnum() and b"<|" not in run else (run, b""))
+        self.learn(list(dict.fromkeys(x for pair in cut for x in pair if x and x not in self.parts)))
+        for core, tail in cut:
+            self.starts.append(len(self.pool))
+            self.pool.extend(self.parts[core])
+            if tail:
+                self.pool.extend(self.parts[tail])
+            self.sizes.append(len(self.pool) - self.starts[-1])
         sizes = np.array(self.sizes, np.int64)[at]
         ids = np.array(self.pool, np.int32)[ranges(np.array(self.starts, np.int64)[at], sizes)]
         ends = np.r_[0, np.cumsum(sizes)]
@@ -120,8 +169,9 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
     if "start" in columns:
         sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("_size"))
         before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        # One small row for each range, however large the corpus.
         offsets = sizes.select("part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-        rows = rows.join(offsets, "part").withColumn("start", F.col("_before") + F.col("local_start"))
+        rows = rows.join(F.broadcast(offsets), "part").withColumn("start", F.col("_before") + F.col("local_start"))
     return rows.select(*columns)
 
 
