@@ -50,12 +50,27 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*lowered_words(text), END]
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+
+
+def gathered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows that go to each place."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    out[ordered[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 class Bilinear:
     """Parameters in one dictionary; the first words are the classes, and one context more stands before each text."""
 
     def __init__(self, noise: np.ndarray, seed: int = 3):
         rng, v = np.random.default_rng(seed), len(noise)
-        self.noise = noise
+        self.noise, self.sums = noise, np.cumsum(noise)
+        self.offset = (np.log(NOISE) + np.log(noise)).astype(np.float32)
         self.p = {
             "r": rng.normal(0, 0.1, (v + 1, WIDTH)).astype(np.float32),
             "q": rng.normal(0, 0.1, (v, WIDTH)).astype(np.float32),
@@ -65,30 +80,26 @@ class Bilinear:
         self.past = {k: np.full(x.shape, 1e-3, np.float32) for k, x in self.p.items()}
         self.rng = rng
 
-    def step(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, weight: np.ndarray, rate: float) -> float:
+    def step(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, weight: np.ndarray, rate: float) -> None:
         """One step of noise-contrastive estimation with noise words shared by the batch; `second` is the nearer context."""
-        p, n = self.p, weight.sum()
-        drawn = self.rng.choice(len(self.noise), NOISE, p=self.noise)
-        r1, r2 = p["r"][first], p["r"][second]
+        p, share = self.p, (weight / weight.sum()).astype(np.float32)
+        drawn = np.searchsorted(self.sums, self.rng.random(NOISE)).clip(0, len(self.noise) - 1)
+        r1, r2, q = p["r"][first], p["r"][second], p["q"][word]
         expected = r1 * p["c"][0] + r2 * p["c"][1]
-        log_k = np.log(NOISE)
-        true = (expected * p["q"][word]).sum(1) + p["b"][word] - log_k - np.log(self.noise[word])
-        false = expected @ p["q"][drawn].T + p["b"][drawn] - log_k - np.log(self.noise[drawn])
-        g_true = -weight / n / (1 + np.exp(np.clip(true, -30, 30)))
-        g_false = (weight / n)[:, None] / (1 + np.exp(np.clip(-false, -30, 30)))
-        d_expected = g_true[:, None] * p["q"][word] + g_false @ p["q"][drawn]
-        grads = {k: np.zeros_like(x) for k, x in p.items()}
-        np.add.at(grads["q"], word, g_true[:, None] * expected)
-        np.add.at(grads["q"], drawn, g_false.T @ expected)
-        np.add.at(grads["b"], word, g_true)
-        np.add.at(grads["b"], drawn, g_false.sum(0))
-        np.add.at(grads["r"], first, d_expected * p["c"][0])
-        np.add.at(grads["r"], second, d_expected * p["c"][1])
-        grads["c"][0], grads["c"][1] = (d_expected * r1).sum(0), (d_expected * r2).sum(0)
+        true = np.einsum("ij,ij->i", expected, q) + (p["b"] - self.offset)[word]
+        false = expected @ p["q"][drawn].T + (p["b"] - self.offset)[drawn]
+        g_true = -share * sigmoid(-true)
+        g_false = sigmoid(false) * share[:, None]
+        d_expected = g_true[:, None] * q + g_false @ p["q"][drawn]
+        grads = {
+            "q": gathered(np.r_[word, drawn], np.concatenate([g_true[:, None] * expected, g_false.T @ expected]), len(p["q"])),
+            "b": np.bincount(np.r_[word, drawn], np.r_[g_true, g_false.sum(0)], len(p["b"])).astype(np.float32),
+            "r": gathered(np.r_[first, second], np.concatenate([d_expected * p["c"][0], d_expected * p["c"][1]]), len(p["r"])),
+            "c": np.stack([np.einsum("ij,ij->j", d_expected, r1), np.einsum("ij,ij->j", d_expected, r2)]),
+        }
         for k, g in grads.items():
             self.past[k] += g * g
-            p[k] -= rate * g / np.sqrt(self.past[k])
-        return float((weight * (np.log1p(np.exp(-np.clip(true, -30, 30))) + np.log1p(np.exp(np.clip(false, -30, 30))).sum(1))).sum() / n)
+            p[k] -= np.float32(rate) * g / np.sqrt(self.past[k])
 
     def learn(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, rate: float, batch: int = 4096) -> None:
         """Steps over distinct trigrams, weighted by how often they occur."""
