@@ -8,8 +8,8 @@ Two sets at the threshold share one of their rarest shingles: with any order of
 shingles, the first floor((1 - t) n) + 1 of both. The order puts shingles that are
 frequent in a bounded sample last, so passages that many documents share don't bring
 their documents together. The join then runs in two rounds. First each node meets the
-smallest node of every shingle in its prefix (no task holds a whole shingle: minima
-are combined before they are shuffled). Links found so join nodes into components.
+smallest and the largest node of every shingle in its prefix (no task holds a whole
+shingle: both are combined before they are shuffled). Links found so join nodes into components.
 What is left are pairs in different components that share a prefix shingle; the nodes
 of such a shingle are indexed in an R-tree and each searches it. A shingle with very
 many nodes is cut into blocks, and each pair of blocks is a search of its own. Pairs
@@ -33,7 +33,7 @@ from gable.session import staged
 N = 5
 #: Similarity of at least PART / WHOLE.
 PART, WHOLE = 80, 100
-GROUPS = 64
+GROUPS = 160
 #: So many documents, those first by a hash of the text, say which shingles are frequent.
 SAMPLE_ROWS = 4_000
 FREQUENT = 50_000
@@ -188,18 +188,24 @@ def look(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, LOOKS)
 
 
-def sets_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, elements) of the nodes given as (node, text_hash).
+def flagged(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """The rows with `flag`: false only where the long column `key` is surely not among `keys`.
 
-    A bitmap of fixed size over hashes of the texts keeps other texts out of the shuffle.
+    A bitmap over hashes of the keys, of one size for any input, is sent to all tasks.
     """
     bits = 8 * 4096
-    slot = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(BITMAP_BUCKETS * bits))
-    places = nodes.select(slot("text_hash").alias("slot")).select(F.floor(F.col("slot") / bits).alias("bucket"), (F.col("slot") % bits).alias("bit"))
-    bitmaps = places.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(F.col("slot") % bits / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
-    marked = docs.select("text", "text_hash", slot("text_hash").alias("slot"), F.floor(slot("text_hash") / bits).alias("bucket"))
-    few = marked.join(F.broadcast(bitmaps), "bucket").where(F.getbit(byte, (F.col("slot") % 8).cast("int")) == 1)
+    slot = F.pmod(F.xxhash64(F.lit(3), key), F.lit(BITMAP_BUCKETS * bits))
+    places = keys.select(slot.alias("_slot")).select(F.floor(F.col("_slot") / bits).alias("_bucket"), (F.col("_slot") % bits).alias("_bit"))
+    bitmaps = places.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    place = F.col("_slot") % bits
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    rows = df.withColumn("_slot", slot).withColumn("_bucket", F.floor(F.col("_slot") / bits)).join(F.broadcast(bitmaps), "_bucket", "left")
+    return rows.withColumn(flag, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("_slot", "_bucket", "_bitmap")
+
+
+def sets_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, elements) of the nodes given as (node, text_hash); other texts are not shuffled."""
+    few = flagged(docs.select("text", "text_hash"), "text_hash", nodes, "_asked").where("_asked")
     texts = few.select("text_hash", "text").join(nodes.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,14 +317,15 @@ def tree_pairs(members: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b), by contraction.
 
-    In each round a node goes to the neighbour, or itself, that comes first in an order
-    drawn anew, and links are drawn between what nodes went to, until none is left.
+    In each round a node goes to the neighbour, or itself, that comes first in the order
+    of a hash, and links are drawn between what nodes went to, until none is left: a
+    star is gone after two rounds, a chain loses a share of its nodes in each.
     Each round is written to the shared folder.
     """
     rounds, edges = [], links
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
+        rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
         step = both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a"))).alias("m")).select(F.col("a").alias("node"), F.col("m.x").alias("parent"))
         step = staged(step, "components")
         rounds.append(step)
@@ -343,23 +350,28 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     body = whole_text(F.col(text))
     docs = docs.select("doc_id", body.alias("text"), F.xxhash64(body).alias("text_hash"))
     looks = staged(look(docs, frequent_shingles(docs)), "shingles")
-    points = looks.where("point IS NOT NULL").select("node", "n_shingles", "point", "text_hash")
     rows = looks.select("node", F.explode("prefix").alias("key"))
-    heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
+    heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
     members = staged(rows.join(heads, "key").where("node != head"), "members")
-    texts = points.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
     asked = members.select("node").union(members.select("head")).distinct()
-    points = staged(points.join(asked, "node", "left_semi").dropDuplicates(["node"]).drop("text_hash"), "points")
-    sets = sets_for(docs, texts.join(asked, "node", "left_semi"))
-    stars = members.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(verified(bounded(stars, points), sets), "links")
+    points = looks.where("point IS NOT NULL").select("node", "n_shingles", "point", "text_hash")
+    points = staged(points.join(asked, "node", "left_semi").dropDuplicates(["node"]), "points")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Verified pairs; only sets of nodes in pairs that passed the bound are fetched."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return staged(verified(pairs, sets_for(docs, points.join(nodes, "node", "left_semi").select("node", "text_hash"))), "links")
+
+    ends = members.select(F.explode(F.array("head", "last")).alias("a"), F.col("node").alias("b"))
+    stars = ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = linked(staged(bounded(stars, points), "candidates"))
     roots = components(links)
     rooted = members.select("key", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rest = rooted.join(open_, "key", "left_semi").join(points, "node")
-    more = staged(verified(tree_pairs(rest), sets), "links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    rest = rooted.join(open_, "key", "left_semi").join(points.drop("text_hash"), "node")
+    left = staged(tree_pairs(rest), "candidates")
+    if not left.isEmpty():
+        roots = components(links.union(linked(left)))
     named = looks.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -374,15 +386,22 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     Documents with an empty set are components of their own; of repeated rows with the
     same id and text one stays.
     """
-    found = join(docs, text)
+    found = staged(join(docs, text), "classes")
     empty = F.when(F.col("n_shingles") == 0, F.col("text_hash"))
     chosen = (
         found.groupBy("component_id", (F.col("n_shingles") == 0).alias("bare"), empty.alias("own"))
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
         .select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
         .distinct()
+        .withColumn("_stays", F.lit(True))
     )
-    names = docs.columns
-    marked = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(whole_text(F.col(text))).alias("_text_hash"))
-    same = marked["doc_id"].eqNullSafe(chosen["_id"]) & (marked["_text_hash"] == chosen["_hash"])
-    return marked.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*[F.col(f"`{c}`") for c in names])
+    rows = found.groupBy("doc_id", F.col("text_hash").alias("_text_hash")).agg(F.count("*").alias("_rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    tag = F.xxhash64("doc_id", "_text_hash").alias("_tag")
+    doubtful = rows.join(chosen, same, "left").where("_stays IS NULL OR _rows > 1").select(tag)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(*names, F.xxhash64(whole_text(F.col(text))).alias("_text_hash")).select("*", tag)
+    marked = flagged(marked, "_tag", staged(doubtful, "doubtful"), "_doubtful")
+    # Rows that surely stay are not shuffled.
+    kept = marked.where("_doubtful").join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return marked.where("NOT _doubtful").select(*names).unionByName(kept.select(*names))

@@ -4,7 +4,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from gable.llm import jaccard, queries
+from gable.llm import jaccard, oracle, queries
+from oracle_check import connect, difference
 
 
 def plain_components(pairs):
@@ -71,6 +72,10 @@ def test_whole_table(spark):
     assert found(queries.op7_ngram_jaccard(spark, d)) == plain_components(pairs)
 
 
+def test_whole_table_agrees_with_sql(spark, sf):
+    assert difference(queries.op7_ngram_jaccard(spark, sf), connect(sf), oracle.JACCARD) is None
+
+
 def test_tree_by_brute_force():
     rng = np.random.default_rng(2)
     for n in (1, 2, 17, 300, 700):
