@@ -35,7 +35,7 @@ def lowered_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each hold about `most` bytes at most; one text is never cut."""
     for batch in batches:
         if not batch.num_rows:
@@ -48,6 +48,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(part)]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # idle workers hold on to little
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -46,7 +46,7 @@ _TURNS = np.random.default_rng(7).integers(1, 1 << 63, N + 2, dtype=np.uint64) |
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:  # bounded memory
+        if len(self) > 200_000:  # bounded memory
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
@@ -172,7 +172,7 @@ def look(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                     points.append(None)
                     prefixes.append(None)
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(node)
                 s = signed(found)
                 at = np.minimum(np.searchsorted(keys, s), max(0, len(keys) - 1))

@@ -57,7 +57,7 @@ class Stems:
         self.seen: set[str] = set()
 
     def learn(self, words: set[str]) -> None:
-        if len(self.seen) > 300_000:  # bounded memory; words are simply looked at again
+        if len(self.seen) > 150_000:  # bounded memory; words are simply looked at again
             self.seen, self.hits = set(), {}
         new = words - self.seen
         for w in new:
