@@ -13,12 +13,13 @@ shingle: both are combined before they are shuffled). Links found so join nodes
 What is left are pairs in different components that share a prefix shingle; the nodes
 of such a shingle are indexed in an R-tree and each searches it. A shingle with very
 many nodes is cut into blocks, and each pair of blocks is a search of its own. Pairs
-that pass the bound are verified on whole sets. Pairs inside one component can add
+that pass the bound, and then a second one over finer groups, are verified on whole sets. Pairs inside one component can add
 nothing to the result and are not made.
 
 Sets, nodes and shingles are told apart by 64-bit hashes.
 """
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ N = 5
 #: Similarity of at least PART / WHOLE.
 PART, WHOLE = 80, 100
 GROUPS = 160
+#: Groups of the second bound, which is taken before whole sets are compared.
+FINE = 2048
 #: So many documents, those first by a hash of the text, say which shingles are frequent.
 SAMPLE_ROWS = 4_000
 FREQUENT = 50_000
@@ -75,6 +78,12 @@ def point_of(found: np.ndarray) -> np.ndarray:
     return np.bincount((found >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
 
 
+def fine_of(found: np.ndarray) -> bytes | None:
+    """Counts of `FINE` groups, packed; null where a count doesn't fit a byte."""
+    counts = np.bincount((found >> np.uint64(20)).astype(np.int64) % FINE, minlength=FINE)
+    return zlib.compress(counts.astype(np.uint8).tobytes(), 1) if counts.max() < 256 else None
+
+
 def node_of(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
 
@@ -212,9 +221,15 @@ def sets_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         hashes = Hashes()
         for batch in small_batches(batches, "text"):
             found = sets_of(utf8(batch.column("text")), hashes)
-            yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(x) for x in found], pa.int64()), "elements": pa.array([x.tobytes() for x in found], pa.binary())})
+            columns = {
+                "node": pa.array([node_of(x) for x in found], pa.int64()),
+                "size": pa.array([len(x) for x in found], pa.int64()),
+                "fine": pa.array([fine_of(x) for x in found], pa.binary()),
+                "elements": pa.array([x.tobytes() for x in found], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return staged(texts.select("text").mapInArrow(run, "node bigint, elements binary").dropDuplicates(["node"]), "sets")
+    return staged(texts.select("text").mapInArrow(run, "node bigint, size bigint, fine binary, elements binary").dropDuplicates(["node"]), "sets")
 
 
 # Pairs.
@@ -237,6 +252,24 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
+def finely_bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that finer groups allow; of a set much less is sent than all its elements."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("fa", "fb", "na", "nb"))):
+                if x is None or y is None:
+                    keep.append(True)
+                    continue
+                one, other = (np.frombuffer(zlib.decompress(z), np.uint8) for z in (x, y))
+                keep.append(bool(similar(int(np.minimum(one, other).sum(dtype=np.int64)), m, n)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("elements").alias(f"s{x}"))
@@ -360,7 +393,8 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     def linked(pairs: DataFrame) -> DataFrame:
         """Verified pairs; only sets of nodes in pairs that passed the bound are fetched."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return staged(verified(pairs, sets_for(docs, points.join(nodes, "node", "left_semi").select("node", "text_hash"))), "links")
+        sets = sets_for(docs, points.join(nodes, "node", "left_semi").select("node", "text_hash"))
+        return staged(verified(staged(finely_bounded(pairs, sets), "candidates"), sets), "links")
 
     ends = members.select(F.explode(F.array("head", "last")).alias("a"), F.col("node").alias("b"))
     stars = ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
