@@ -372,13 +372,10 @@ def components(links: DataFrame) -> DataFrame:
     return staged(found, "roots")
 
 
-def join(docs: DataFrame, text: str = "text") -> DataFrame:
-    """For each document doc_id, text_hash, n_shingles and component_id, the least id reachable by links.
+def rooted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `join` and `root`, the node that stands for the component, null for an empty set.
 
-    Texts without words, null texts among them, have an empty set and no links. Null
-    ids are ordinary documents; their component has the least id that is not null, or
-    null if there is none. Repeated rows stay and share a component. Other columns are
-    not looked at.
+    A component is told by its root: components of null or repeated ids can share a component_id.
     """
     body = whole_text(F.col(text))
     docs = docs.select("doc_id", body.alias("text"), F.xxhash64(body).alias("text_hash"))
@@ -400,18 +397,29 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     stars = ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = linked(staged(bounded(stars, points), "candidates"))
     roots = components(links)
-    rooted = members.select("key", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rest = rooted.join(open_, "key", "left_semi").join(points.drop("text_hash"), "node")
+    placed = members.select("key", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    rest = placed.join(open_, "key", "left_semi").join(points.drop("text_hash"), "node")
     left = staged(tree_pairs(rest), "candidates")
     if not left.isEmpty():
         roots = components(links.union(linked(left)))
     named = looks.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    of_node = named.select("node", "root").join(least, "root").select("node", "component")
+    of_node = named.select("node", "root").join(least, "root").select("node", "root", "component")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return looks.select("doc_id", "text_hash", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "text_hash", "n_shingles", own.alias("component_id"))
+    return looks.select("doc_id", "text_hash", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "text_hash", "n_shingles", own.alias("component_id"), "root")
+
+
+def join(docs: DataFrame, text: str = "text") -> DataFrame:
+    """For each document doc_id, text_hash, n_shingles and component_id, the least id reachable by links.
+
+    Texts without words, null texts among them, have an empty set and no links. Null
+    ids are ordinary documents; their component has the least id that is not null, or
+    null if there is none. Repeated rows stay and share a component. Other columns are
+    not looked at.
+    """
+    return rooted(docs, text).drop("root")
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -420,10 +428,10 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     Documents with an empty set are components of their own; of repeated rows with the
     same id and text one stays.
     """
-    found = staged(join(docs, text), "classes")
-    empty = F.when(F.col("n_shingles") == 0, F.col("text_hash"))
+    found = staged(rooted(docs, text), "classes")
+    bare = F.col("root").isNull()
     chosen = (
-        found.groupBy("component_id", (F.col("n_shingles") == 0).alias("bare"), empty.alias("own"))
+        found.groupBy("root", F.when(bare, F.col("doc_id")).alias("own"), F.when(bare, F.col("text_hash")).alias("empty"))
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
         .select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
         .distinct()

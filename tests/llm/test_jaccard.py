@@ -109,3 +109,11 @@ def test_edges(docs_of):
     assert kept.columns == docs.columns
     ids = sorted(((r["doc_id"], r["text"] and r["text"][:12]) for r in kept.collect()), key=str)
     assert ids == sorted([(None, None), (3, "a b\tc"), (9, ""), (None, "x y z q r s"), (4, long[:12]), (8, "漢字")], key=str)
+
+
+def test_unlike_texts_of_one_id_all_stay(docs_of):
+    """Null ids and a repeated id name several components; each keeps one text."""
+    pairs = [(None, "one two three four five six"), (None, "far other words than those"), (None, "far other words  THAN those"), (5, "a text of its own here"), (5, "nothing like the other one"), (5, ""), (6, "a text of its own here")]
+    kept = jaccard.one_of_each(docs_of(pairs)).collect()
+    words = sorted(((r["doc_id"], r["text"].lower().split()) for r in kept), key=str)
+    assert words == sorted([(d, pairs[i][1].split()) for i, d in ((0, None), (1, None), (3, 5), (4, 5), (5, 5))], key=str)
