@@ -1,17 +1,23 @@
 """Language-model scores by a log-bilinear model trained with noise-contrastive estimation.
 
 Word counts of all learnable documents come from the buckets of `wordblocks`: each
-bucket adds up its distinct words and answers every block. The most frequent words
-form the model's vocabulary, all others fall into classes by how they end. The model predicts the next word's
+bucket adds up its distinct words and answers every block. The vocabulary is all words
+that occur often enough for the size of the text, and at least the most frequent ones. The
+most frequent are told apart at once; all others by a tree of three levels: the class by
+how the word ends, a cell of the class by a hash, and the word in the cell, where the
+words outside the vocabulary share one leaf. Every node and word has vectors of its own,
+also as context. The model predicts the next word's
 vector as a sum of the two words before it, each weighted by its place; it is trained
-in numpy against shared noise words, first on a bounded sample, then over all learnable
+in numpy against noise words (shared by the batch, and drawn among the siblings in the tree),
+first on a bounded sample, then over all learnable
 documents, in each task on its own part, and the parameters are averaged by tokens.
-Scores use the exact normaliser: one matrix product per distinct context. A word
-outside the vocabulary has the probability of its class times its share of the counts
-in the class, so the probabilities of all words and one unseen word a class add up to 1.
+Scores use the exact normaliser: one matrix product per distinct context and one per
+group of siblings. A word outside the vocabulary has the probability of its cell's leaf times
+its share of the counts there, so all words and one unseen word a cell add up to 1.
 """
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,14 +30,26 @@ from gable.llm import wordblocks
 from gable.llm.common import bounded_sample, lowered_words, row_sums, small_batches, utf8, whole_text
 from gable.session import staged
 
+#: So many of the most frequent words are told apart without the tree.
 VOCABULARY = 448
+#: Words are of the vocabulary from this many occurrences in a byte of learnable text, and from `LEAST` on.
+SHARE = 2.0**-21
+LEAST = 4
 CLASSES = 64
+#: Each class has so many cells.
+CELLS = 64
 WIDTH = 24
 NOISE = 64
+#: Noise words for each word and level of the tree.
+NOISE_AMONG = 4
+#: What squared gradients of the tree's vectors start from.
+RARE = 1e-6
 #: At most so many documents are used to train the first parameters.
 FIT_ROWS = 1_000
 #: Each bucket names its most frequent words as candidates for the vocabulary.
 PROPOSED = 64
+#: Parameters travel in parts of so many.
+PART = 1 << 12
 END = b""
 
 
@@ -39,11 +57,22 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
 
+def cell_of(word: bytes) -> int:
+    return class_of(word) * CELLS + (zlib.crc32(word) >> 16) % CELLS
+
+
 class Numbers(dict):
-    """Numbers of the vocabulary's words; any other word has that of its class."""
+    """Numbers of the vocabulary's words; any other word has that of its cell's leaf."""
+
+    def __init__(self, words: dict[bytes, int], others: list[int]):
+        super().__init__(words)
+        self.others = others
 
     def __missing__(self, word: bytes) -> int:
-        return class_of(word)
+        return self.others[cell_of(word)]
+
+    def __reduce__(self):
+        return Numbers, (dict(self), self.others)
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -54,37 +83,95 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
 
-def gathered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the rows that go to each place."""
+def product(rows: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrix product, taken over full sixteens of rows, so that a row's result doesn't depend on how many there are."""
+    more = np.zeros((-len(rows) % 16, rows.shape[1]), rows.dtype)
+    return (np.concatenate([rows, more]) @ b)[: len(rows)]
+
+
+def gathered(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places and the sums of the rows that go to each."""
     order = np.argsort(at, kind="stable")
     ordered = at[order]
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    out = np.zeros((size, rows.shape[1]), np.float32)
-    out[ordered[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+    return ordered[first], np.add.reduceat(rows[order], first, axis=0) if len(first) else rows
+
+
+class Tree:
+    """Nodes below the classes, siblings side by side: first the cells of all classes, then the leaves of all cells."""
+
+    def __init__(self, sizes: np.ndarray, mass: np.ndarray):
+        """`sizes` has the leaves of each cell, `mass` the tokens of each leaf."""
+        cells = len(sizes)
+        mass = np.r_[np.add.reduceat(mass, np.cumsum(sizes) - sizes), mass] if cells else np.zeros(0)
+        self.first = np.r_[np.arange(0, cells, CELLS), cells + np.r_[0, np.cumsum(sizes)]].astype(np.int64)
+        self.parent = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.sums = np.r_[0.0, np.cumsum(mass)]
+        self.share = mass / np.diff(self.sums[self.first])[self.parent]
+        self.cells, self.leaves = cells, int(np.sum(sizes))
+
+    def path(self, leaf: np.ndarray) -> np.ndarray:
+        """The cells of the leaves, then the leaves, as nodes."""
+        node = leaf + self.cells
+        return np.r_[self.parent[node] - self.cells // CELLS, node]
+
+    def siblings(self, node: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+        """`n` nodes drawn among the siblings of each node, itself too, by their shares."""
+        up = self.parent[node]
+        low, high = self.first[up], self.first[up + 1]
+        at = self.sums[low] + rng.random((n, len(node))) * (self.sums[high] - self.sums[low])
+        return (np.searchsorted(self.sums, at, side="right") - 1).clip(low, high - 1).T
 
 
 class Bilinear:
-    """Parameters in one dictionary; the first words are the classes, and one context more stands before each text."""
+    """Parameters in one dictionary; heads are the classes and the words told apart at once, then come the
+    leaves of the tree, and one context more stands before each text."""
 
-    def __init__(self, noise: np.ndarray, seed: int = 3):
+    def __init__(self, noise: np.ndarray, seed: int = 3, tree: Tree | None = None):
         rng, v = np.random.default_rng(seed), len(noise)
+        self.tree = tree or Tree(np.zeros(0, np.int64), np.zeros(0))
+        self.start = v + self.tree.leaves
+        cell = self.tree.parent[self.tree.cells :] - self.tree.cells // CELLS
+        self.head = np.r_[np.arange(v), cell // CELLS, self.start]
         self.noise, self.sums = noise, np.cumsum(noise)
         self.offset = (np.log(NOISE) + np.log(noise)).astype(np.float32)
+        self.offset_among = (np.log(NOISE_AMONG) + np.log(self.tree.share)).astype(np.float32)
         self.p = {
-            "r": rng.normal(0, 0.1, (v + 1, WIDTH)).astype(np.float32),
+            "r": rng.normal(0, 0.1, (self.start + 1, WIDTH)).astype(np.float32),
             "q": rng.normal(0, 0.1, (v, WIDTH)).astype(np.float32),
             "c": np.ones((2, WIDTH), np.float32),
             "b": np.log(noise).astype(np.float32),
+            "t": np.zeros((len(self.tree.share), WIDTH), np.float32),
+            "u": np.log(self.tree.share).astype(np.float32),
         }
+        self.p["r"][v : self.start] = 0
         self.past = {k: np.full(x.shape, 1e-3, np.float32) for k, x in self.p.items()}
+        # Rare words get few and small gradients.
+        for x in (self.past["r"][v : self.start], self.past["t"], self.past["u"]):
+            x[:] = RARE
         self.rng = rng
 
+    def among(self, expected: np.ndarray, leaf: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, tuple, tuple]:
+        """Gradients of noise-contrastive estimation among siblings: of what is expected, of vectors and of biases."""
+        node, p, n = self.tree.path(leaf), self.p, len(leaf)
+        drawn = self.tree.siblings(node, NOISE_AMONG, self.rng)
+        expected, share = np.concatenate([expected, expected]), np.r_[share, share]
+        at = np.column_stack([node, drawn])
+        t = p["t"][at]
+        g = sigmoid(np.einsum("ij,ikj->ik", expected, t) + (p["u"] - self.offset_among)[at])
+        g[:, 0] -= 1
+        g *= share[:, None]
+        d = np.einsum("ik,ikj->ij", g, t)
+        places, sums = gathered(at.ravel(), np.concatenate([g[:, :, None] * expected[:, None], g[:, :, None]], 2).reshape(-1, WIDTH + 1))
+        return d[:n] + d[n:], (places, sums[:, :-1]), (places, sums[:, -1])
+
     def step(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, weight: np.ndarray, rate: float) -> None:
         """One step of noise-contrastive estimation with noise words shared by the batch; `second` is the nearer context."""
         p, share = self.p, (weight / weight.sum()).astype(np.float32)
         drawn = np.searchsorted(self.sums, self.rng.random(NOISE)).clip(0, len(self.noise) - 1)
-        r1, r2, q = p["r"][first], p["r"][second], p["q"][word]
+        tail = np.flatnonzero(word >= len(self.noise))
+        leaf, word = word[tail] - len(self.noise), self.head[word]
+        r1, r2, q = self.vectors(first), self.vectors(second), p["q"][word]
         expected = r1 * p["c"][0] + r2 * p["c"][1]
         true = np.einsum("ij,ij->i", expected, q) + (p["b"] - self.offset)[word]
         false = expected @ p["q"][drawn].T + (p["b"] - self.offset)[drawn]
@@ -92,18 +179,24 @@ class Bilinear:
         g_false = sigmoid(false) * share[:, None]
         d_expected = g_true[:, None] * q + g_false @ p["q"][drawn]
         grads = {
-            "q": gathered(np.r_[word, drawn], np.concatenate([g_true[:, None] * expected, g_false.T @ expected]), len(p["q"])),
-            "b": np.bincount(np.r_[word, drawn], np.r_[g_true, g_false.sum(0)], len(p["b"])).astype(np.float32),
-            "r": gathered(np.r_[first, second], np.concatenate([d_expected * p["c"][0], d_expected * p["c"][1]]), len(p["r"])),
-            "c": np.stack([np.einsum("ij,ij->j", d_expected, r1), np.einsum("ij,ij->j", d_expected, r2)]),
+            "q": gathered(np.r_[word, drawn], np.concatenate([g_true[:, None] * expected, g_false.T @ expected])),
+            "b": (slice(None), np.bincount(np.r_[word, drawn], np.r_[g_true, g_false.sum(0)], len(p["b"])).astype(np.float32)),
         }
-        for k, g in grads.items():
-            self.past[k] += g * g
-            p[k] -= np.float32(rate) * g / np.sqrt(self.past[k])
+        if len(tail):
+            d, grads["t"], grads["u"] = self.among(expected[tail], leaf, share[tail])
+            d_expected[tail] += d
+        at, d = np.r_[first, second], np.concatenate([d_expected * p["c"][0], d_expected * p["c"][1]])
+        up = np.flatnonzero(self.head[at] != at)
+        grads["r"] = gathered(np.r_[at, self.head[at[up]]], np.concatenate([d, d[up]]))
+        grads["c"] = (slice(None), np.stack([np.einsum("ij,ij->j", d_expected, r1), np.einsum("ij,ij->j", d_expected, r2)]))
+        for k, (at, g) in grads.items():
+            past = self.past[k][at] + g * g
+            self.past[k][at] = past
+            p[k][at] -= np.float32(rate) * g / np.sqrt(past)
 
     def learn(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, rate: float, batch: int = 4096) -> None:
         """Steps over distinct trigrams, weighted by how often they occur."""
-        v = len(self.noise) + 1
+        v = self.start + 1
         key = np.sort((first * v + second) * v + word)
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         weight = np.diff(np.r_[new, len(key)]).astype(np.float32)
@@ -114,26 +207,57 @@ class Bilinear:
             k = key[pick]
             self.step(k // (v * v), k // v % v, k % v, weight[pick], rate)
 
-    def log_normalised(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Log probabilities of all words of the vocabulary after each pair of contexts."""
-        expected = self.p["r"][first] * self.p["c"][0] + self.p["r"][second] * self.p["c"][1]
-        s = expected @ self.p["q"].T + self.p["b"]
+    def vectors(self, at: np.ndarray) -> np.ndarray:
+        """Vectors of contexts; a word of the tree has its class's and its own."""
+        out, up = self.p["r"][at], self.head[at]
+        more = np.flatnonzero(up != at)
+        out[more] += self.p["r"][up[more]]
+        return out
+
+    def expected(self, first: np.ndarray, second: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return r[first] * self.p["c"][0] + r[second] * self.p["c"][1]
+
+    def log_normalised(self, first: np.ndarray, second: np.ndarray, r: np.ndarray | None = None) -> np.ndarray:
+        """Log probabilities of all heads after each pair of contexts; `r` are the vectors of all contexts."""
+        r = self.vectors(np.arange(self.start + 1)) if r is None else r
+        s = product(self.expected(first, second, r), self.p["q"].T) + self.p["b"]
         s -= s.max(1, keepdims=True)
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
     def score(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, at_once: int = 2048) -> np.ndarray:
         """Log probability of each word in its context; each distinct context is normalised once."""
-        v = len(self.noise) + 1
+        v = self.start + 1
         key = first * v + second
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(key)])
         ends, out = np.r_[new, len(key)], np.empty(len(key), np.float32)
+        r = self.vectors(np.arange(v))
         for a in range(0, len(new), at_once):
             b = min(a + at_once, len(new))
-            table = self.log_normalised(ordered[new[a:b]] // v, ordered[new[a:b]] % v)
+            table = self.log_normalised(ordered[new[a:b]] // v, ordered[new[a:b]] % v, r)
             mine = order[ends[a] : ends[b]]
-            out[mine] = table[np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])), word[mine]]
+            out[mine] = table[np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])), self.head[word[mine]]]
+        tail = np.flatnonzero(word >= len(self.noise))
+        path = self.tree.path(word[tail] - len(self.noise))
+        for node in (path[: len(tail)], path[len(tail) :]):
+            out[tail] += self.log_among(first[tail], second[tail], node, r, at_once)
+        return out
+
+    def log_among(self, first: np.ndarray, second: np.ndarray, node: np.ndarray, r: np.ndarray, at_once: int) -> np.ndarray:
+        """Log probability of each node among its siblings; all rows with the same siblings at once."""
+        up, out = self.tree.parent[node], np.empty(len(node), np.float32)
+        order = np.argsort(up, kind="stable")
+        ordered = up[order]
+        new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(up)])
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(up)]):
+            low, high = self.tree.first[ordered[a]], self.tree.first[ordered[a] + 1]
+            t, u = self.p["t"][low:high].T, self.p["u"][low:high]
+            for x in range(a, b, at_once):
+                mine = order[x : min(x + at_once, b)]
+                s = product(self.expected(first[mine], second[mine], r), t) + u
+                s -= s.max(1, keepdims=True)
+                out[mine] = s[np.arange(len(mine)), node[mine] - low] - np.log(np.exp(s).sum(1))
         return out
 
 
@@ -154,64 +278,87 @@ def numbered(texts: list[bytes], number: Numbers) -> tuple[np.ndarray, np.ndarra
 class Model:
     """Counts of the whole corpus, the vocabulary, and the parameters."""
 
-    def __init__(self, by_class: np.ndarray, words: list[tuple[bytes, int]]):
-        """`by_class` has tokens and distinct words of each class, `words` the vocabulary with counts."""
-        self.total, self.kinds = (int(x) for x in by_class.sum(0))
-        self.number = Numbers({w: CLASSES + i for i, (w, _) in enumerate(words)})
-        self.rest = by_class.copy()
+    def __init__(self, by_cell: np.ndarray, words: list[tuple[bytes, int]]):
+        """`by_cell` has tokens and distinct words of each cell, `words` the vocabulary with counts, the most frequent first."""
+        self.total, self.kinds = (int(x) for x in by_cell.sum(0))
+        self.rest = by_cell.copy()
         for w, n in words:
-            self.rest[class_of(w)] -= (n, 1)
-        shares = np.array([*np.maximum(self.rest[:, 0], 1), *[n for _, n in words]], float)
-        self.net = Bilinear(shares / shares.sum())
+            self.rest[cell_of(w)] -= (n, 1)
+        heads, tail = words[:VOCABULARY], sorted((cell_of(w), -n, w) for w, n in words[VOCABULARY:])
+        cells = np.array([c for c, _, _ in tail], np.int64)
+        sizes = np.bincount(cells, minlength=len(by_cell)) + 1
+        # The last leaf of each cell is for all words outside the vocabulary.
+        others = np.cumsum(sizes) - 1
+        mass = np.zeros(int(sizes.sum()))
+        mass[others] = np.maximum(self.rest[:, 0], 1)
+        leaf = np.arange(len(tail)) + cells  # one leaf more in each cell before
+        mass[leaf] = [-n for _, n, _ in tail]
+        of_class = np.add.reduceat(mass, others[::CELLS] + 1 - sizes[::CELLS])
+        first = CLASSES + len(heads)
+        self.others = others + first
+        self.cell = np.full(first + len(mass), -1)
+        self.cell[self.others] = np.arange(len(others))
+        number = {w: CLASSES + i for i, (w, _) in enumerate(heads)}
+        number.update((w, first + i) for i, (_, _, w) in zip(leaf.tolist(), tail))
+        self.number = Numbers(number, self.others.tolist())
+        shares = np.array([*of_class, *[n for _, n in heads]], float)
+        self.net = Bilinear(shares / shares.sum(), tree=Tree(sizes, mass))
 
 
 def learn_over(docs: DataFrame, model: Model, rate: float, one_task: bool) -> dict[str, np.ndarray]:
     """Parameters after every task has learned from its documents, averaged by tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.net.p, model.net.noise, model.number))
+    sent = docs.sparkSession.sparkContext.broadcast((model.net, model.number))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, noise, number = sent.value
-        net, seen = Bilinear(noise), 0
-        net.p = {k: x.copy() for k, x in p.items()}
+        start, number = sent.value
+        net, seen = Bilinear(start.noise, tree=start.tree), 0
+        net.p = {k: x.copy() for k, x in start.p.items()}
         for batch in small_batches(batches, "text", 4 << 20):
             words, sizes = numbered(utf8(batch.column("text")), number)
-            first, second = contexts(words, sizes, len(noise))
+            first, second = contexts(words, sizes, net.start)
             net.learn(first, second, words, rate)
             seen += len(words)
         if seen:
-            flat = np.concatenate([net.p[k].ravel() for k in sorted(net.p)]).astype(float)
-            yield pa.RecordBatch.from_pydict({"at": np.arange(len(flat), dtype=np.int32), "value": flat * seen, "weight": np.full(len(flat), float(seen))})
+            flat = np.concatenate([net.p[k].ravel() for k in sorted(net.p)])
+            parts = [flat[a : a + PART].tobytes() for a in range(0, len(flat), PART)]
+            yield pa.RecordBatch.from_pydict({"at": np.arange(len(parts), dtype=np.int32), "value": pa.array(parts, pa.binary()), "weight": np.full(len(parts), float(seen))})
+
+    def averaged(rows: pa.Table) -> pa.Table:
+        weight = rows.column("weight").to_numpy()
+        value = sum(np.frombuffer(x.as_py(), np.float32) * w for x, w in zip(rows.column("value"), weight)) / weight.sum()
+        return pa.table({"at": rows.column("at")[:1], "value": pa.array([value.astype(np.float32).tobytes()], pa.binary())})
 
     docs = docs.repartition(1) if one_task else docs
-    found = docs.mapInArrow(run, "at int, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value"))
-    rows = found.collect()  # as many as the model has parameters
+    found = docs.mapInArrow(run, "at int, value binary, weight double").groupBy("at").applyInArrow(averaged, "at int, value binary")
+    rows = sorted(found.collect())  # together as large as the model's parameters
     if not rows:
         return model.net.p
-    flat = np.empty(len(rows))
-    flat[[r["at"] for r in rows]] = [r["value"] for r in rows]
+    flat = np.frombuffer(b"".join(r["value"] for r in rows), np.float32)
     out, at = {}, 0
     for k in sorted(model.net.p):
         x = model.net.p[k]
-        out[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+        out[k] = flat[at : at + x.size].reshape(x.shape).copy()
         at += x.size
     return out
 
 
-def most_frequent(words: list[bytes], totals: np.ndarray) -> list[tuple[int, bytes]]:
-    return heapq.nsmallest(PROPOSED, ((-n, w) for n, w in zip(totals.tolist(), words) if n))
+def most_frequent(words: list[bytes], totals: np.ndarray, least: int) -> list[tuple[int, bytes]]:
+    """Words that occur `least` times or more, and `PROPOSED` words in any case."""
+    often = [(-n, w) for n, w in zip(totals.tolist(), words) if n >= least]
+    return often if len(often) >= PROPOSED else heapq.nsmallest(PROPOSED, ((-n, w) for n, w in zip(totals.tolist(), words) if n))
 
 
-def counts_of(blocks: DataFrame) -> tuple[DataFrame, Model]:
-    """Answers for every block, (count, class or the word itself where it is proposed), and the model's counts."""
+def counts_of(blocks: DataFrame, least: int) -> tuple[DataFrame, Model]:
+    """Answers for every block, (count, cell or the word itself where it is proposed), and the model's counts."""
 
     def about(words: list[bytes], totals: np.ndarray) -> list[tuple[int, int | bytes]]:
-        proposed = {w for _, w in most_frequent(words, totals)}
-        return [(n, w if w in proposed else class_of(w)) for w, n in zip(words, totals.tolist())]
+        proposed = {w for _, w in most_frequent(words, totals, least)}
+        return [(n, w if w in proposed else cell_of(w)) for w, n in zip(words, totals.tolist())]
 
     def summary(words: list[bytes], totals: np.ndarray) -> bytes:
-        of = np.array([class_of(w) for w in words], np.int64)
-        sums = np.column_stack([np.bincount(of, totals, CLASSES), np.bincount(of, totals > 0, CLASSES)])
-        return wordblocks.pack((sums, [(w, -n) for n, w in most_frequent(words, totals)]))
+        of = np.array([cell_of(w) for w in words], np.int64)
+        sums = np.column_stack([np.bincount(of, totals, CLASSES * CELLS), np.bincount(of, totals > 0, CLASSES * CELLS)])
+        return wordblocks.pack((sums, [(w, -n) for n, w in most_frequent(words, totals, least)]))
 
     answers = staged(wordblocks.answer(blocks, about, summary), "counts")
 
@@ -221,19 +368,23 @@ def counts_of(blocks: DataFrame) -> tuple[DataFrame, Model]:
                 sums, top = wordblocks.unpack(data.as_py())
                 n, kinds = sums.astype(np.int64).T.tolist()
                 rows = {
-                    "class": pa.array([*range(CLASSES), *[None] * len(top)], pa.int32()),
-                    "word": pa.array([*[None] * CLASSES, *[w for w, _ in top]], pa.binary()),
+                    "cell": pa.array([*range(len(n)), *[None] * len(top)], pa.int32()),
+                    "word": pa.array([*[None] * len(n), *[w for w, _ in top]], pa.binary()),
                     "n": pa.array([*n, *[k for _, k in top]], pa.int64()),
                     "kinds": pa.array([*kinds, *[0] * len(top)], pa.int64()),
                 }
                 yield pa.RecordBatch.from_pydict(rows)
 
-    said = answers.where("bucket = -2").select("data").mapInArrow(unfold, "class int, word binary, n bigint, kinds bigint")
-    by_class = np.zeros((CLASSES, 2), np.int64)
-    for r in said.where("word IS NULL").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
-        by_class[r["class"]] = r["n"], r["kinds"]
-    top = said.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    return answers.where("bucket >= 0"), Model(by_class, [(bytes(r["word"]), r["n"]) for r in top])
+    said = answers.where("bucket = -2").select("data").mapInArrow(unfold, "cell int, word binary, n bigint, kinds bigint")
+    by_cell = np.zeros((CLASSES * CELLS, 2), np.int64)
+    for r in said.where("word IS NULL").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
+        by_cell[r["cell"]] = r["n"], r["kinds"]
+    proposed = said.where("word IS NOT NULL")
+    often = proposed.where(F.col("n") >= least)
+    few = often.limit(VOCABULARY).count() < VOCABULARY
+    top = (proposed.orderBy(F.desc("n"), "word").limit(VOCABULARY) if few else often).collect()  # bounded by the share
+    top = sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda x: (-x[1], x[0]))
+    return answers.where("bucket >= 0"), Model(by_cell, top)
 
 
 def score(docs: DataFrame, learnable: Column, text: str = "text", rows: int = FIT_ROWS, block_tokens: int = wordblocks.BLOCK_TOKENS) -> DataFrame:
@@ -249,8 +400,9 @@ def score(docs: DataFrame, learnable: Column, text: str = "text", rows: int = FI
     kept = docs.drop(text)
     marked = docs.withColumn("_learn", learnable)
     blocks = wordblocks.cut(marked, text, lambda column: [tokens_of(t) for t in utf8(column)], "_learn", block_tokens)
-    answers, model = counts_of(blocks)
     learn = marked.where("_learn").select(F.col(text).alias("text"))
+    size = learn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    answers, model = counts_of(blocks, max(LEAST, math.ceil(size * SHARE)))
     if model.total:
         model.net.p = learn_over(bounded_sample(learn, [F.col("text")], rows), model, 0.1, True)
         model.net.p = learn_over(learn, model, 0.05, False)
@@ -260,11 +412,12 @@ def score(docs: DataFrame, learnable: Column, text: str = "text", rows: int = FI
     def finish(rows: pa.Table, sizes: np.ndarray, flat: np.ndarray, found: list) -> pa.Table:
         m = sent.value
         count = np.array([n for n, _ in found], float)
-        word = np.array([w if isinstance(w, int) else m.number[w] for _, w in found], np.int64)
+        word = np.array([m.others[w] if isinstance(w, int) else m.number[w] for _, w in found], np.int64)
         base = np.log10((count + 0.1) / (m.total + 0.1 * (m.kinds + 1)))
-        n, kinds = m.rest[np.minimum(word, CLASSES - 1)].T
-        share = np.where(word < CLASSES, np.log10((count + 0.1) / (n + 0.1 * (kinds + 1))), 0.0)
-        first, second = contexts(word[flat], sizes, len(m.net.noise))
+        cell = m.cell[word]
+        n, kinds = m.rest[cell].T
+        share = np.where(cell >= 0, np.log10((count + 0.1) / (n + 0.1 * (kinds + 1))), 0.0)
+        first, second = contexts(word[flat], sizes, m.net.start)
         own = m.net.score(first, second, word[flat]).astype(float) / np.log(10) + share[flat]
         out = rows.select(names)
         columns = (sizes, row_sums(count[flat] > 0, sizes).astype(np.int64), np.full(len(sizes), m.total), row_sums(base[flat], sizes), row_sums(own, sizes))

@@ -91,3 +91,32 @@ def test_edges(docs_of, spark):
     assert lm.score(docs.limit(0), F.lit(True)).count() == 0
     none = lm.score(docs, F.lit(False)).collect()
     assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in none} == {(0, 0, 0.0)}
+
+
+def test_words_beyond_the_first_are_told_apart_by_context(docs_of, spark):
+    """Two words of one class, as frequent as each other and rarer than 448 others: each gains after its own cue."""
+    common = [f"word{i}" for i in range(600)]
+    docs = [f"{common[(7 * i + k) % 600]} {common[(11 * i + 5 * k) % 600]}" for i in range(600) for k in range(10)]
+    docs += [f"cue{c} {w}{lm.CLASSES}ab" for c, w in (("one", "left"), ("two", "right"))] * 18
+    asked = [f"cue{c} {w}{lm.CLASSES}ab" for c in ("one", "two") for w in ("left", "right")]
+    rows = docs_of([*enumerate(docs), *[(10_000 + i, t) for i, t in enumerate(asked)]], parts=1)
+    a, b, c, d = (r["score"] for r in lm.score(rows, F.col("doc_id") < 10_000).where("doc_id >= 10000").orderBy("doc_id").collect())
+    assert a - b > c - d + 0.01
+
+
+def test_tree_is_normalised():
+    words = sorted(((f"w{i}".encode(), 9000 - i) for i in range(3000)), key=lambda x: -x[1])
+    by_cell = np.zeros((lm.CLASSES * lm.CELLS, 2), np.int64)
+    for w, n in [*words, *[(f"rare{i}".encode(), 2) for i in range(500)]]:
+        by_cell[lm.cell_of(w)] += (n, 1)
+    m = lm.Model(by_cell, words)
+    rng, net = np.random.default_rng(4), m.net
+    ids = [m.number[w] for w, _ in words]
+    assert len(set(ids) | set(m.others.tolist())) == len(words) + len(by_cell) and m.number[b"rare7"] == m.others[lm.cell_of(b"rare7")]
+    assert m.rest.sum(0).tolist() == [1000, 500]
+    first, second, word = (rng.choice(ids, 20_000) for _ in range(3))
+    net.learn(first, second, word, 0.3)
+    symbols = np.arange(lm.CLASSES, net.start)
+    for before in (net.start, ids[5], ids[2500]):
+        total = np.exp(net.score(np.full(len(symbols), net.start), np.full(len(symbols), before), symbols, at_once=100)).sum()
+        assert total == pytest.approx(1, abs=1e-4)
