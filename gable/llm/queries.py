@@ -59,15 +59,11 @@ def op7_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     """Law `rows`: counts of the shards differ by one at most."""
-    text = whole_text(F.col("text"))
-    rows = documents(spark, d).select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("bigint").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.lit("rows").alias("law"),
-    )
-    dealt = sharding.shuffle_into_shards(rows, [F.col("doc_id"), F.col("size"), F.col("text_crc32")])
-    return dealt.withColumn("grown_shard", F.lit(None).cast("int"))
+    rows = documents(spark, d).select("doc_id", whole_text(F.col("text")).alias("text"))
+    size, crc = (F.octet_length("text") + 1).cast("bigint"), F.crc32(F.col("text"))
+    dealt = sharding.shuffle_into_shards(rows, [F.col("doc_id"), size, crc])
+    # Digests of the documents as they arrived in their shards.
+    return dealt.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "slot", "shard", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_pii(spark: SparkSession, d: str) -> DataFrame:

@@ -65,3 +65,13 @@ def test_nulls_ties_empty(docs_of, table_dir, spark):
     checked(rows, 6)
     assert sorted(r["size"] for r in rows) == [1, 1, 1, 1, 2, 21]
     assert sharding.shuffle_into_shards(docs.limit(0), [F.col("doc_id")]).count() == 0
+
+
+def test_whole_documents_are_dealt(spark, sf, monkeypatch):
+    """The texts themselves go into the shards."""
+    dealt = []
+    deal = sharding.shuffle_into_shards
+    monkeypatch.setattr(sharding, "shuffle_into_shards", lambda df, *a, **k: dealt.append(deal(df, *a, **k)) or dealt[-1])
+    queries.op8_sharding(spark, sf)
+    texts = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') AS text")
+    assert dealt[0].select("doc_id", "text").exceptAll(texts).isEmpty() and dealt[0].count() == texts.count()
