@@ -84,3 +84,23 @@ def bounded_sample(df: DataFrame, key: list[Column], rows: int) -> DataFrame:
     share = min(1.0, (1.2 * rows + 200) / max(1, total))
     few = df if share == 1.0 else df.where(F.shiftright(hashed, 11) < int((share - 0.5) * (1 << 53)))
     return few.orderBy(hashed, *key).limit(rows)
+
+
+#: Keys with at least one row in so many are hot; there are no more of them than this.
+MOST_HOT = 1_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, most: int = MOST_HOT) -> DataFrame:
+    """`rows` with the columns of the group of their key; a null key is a key like others.
+
+    `groups` has every key of `rows` once, with its number of rows in `size`; `total` is the
+    number of rows. Keys with at least total / most rows, at most `most` of them, are sent
+    to all tasks; all other rows meet their group in a shuffle, where no key is larger.
+    """
+    least = max(2, -(-total // most))
+    named = groups.withColumnRenamed(key, "_group")
+    hot = F.broadcast(named.where(F.col(size) >= least))
+    same = F.col(key).eqNullSafe(F.col("_group"))
+    large = rows.join(hot, same)
+    small = rows.join(hot.select("_group"), same, "left_anti").join(named.where(F.col(size) < least), same)
+    return large.unionByName(small).drop("_group")

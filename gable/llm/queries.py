@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gable.llm import bpe, decontaminate, jaccard, langid, lm, oracle, pii, sharding, syncmers, tokens, toxicity
+from gable.llm import bpe, codes, decontaminate, exactdedup, jaccard, langid, lm, oracle, pii, search, sharding, syncmers, tokens, toxicity
 from gable.llm.common import documents, fold, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,5 +91,28 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-REGISTERED: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_syncmer_fingerprints, op3_lm_scores, op4_decontamination, op5_token_output, op6_byte_bpe, op7_ngram_jaccard, op8_sharding, op9_pii, op10_toxicity)}
+def op11_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of every document; one half of the ids is the history, the other half is looked up in it."""
+    found = exactdedup.classes(documents(spark, d), history=fold(F.col("doc_id"), 2) == 0)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 documents of highest score for every benchmark item."""
+    return search.search(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of every usable vector, two hex digits a part."""
+    found = codes.compress(spark.read.parquet(f"{d}/embeddings.parquet"))
+    return found.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+REGISTERED: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_syncmer_fingerprints, op3_lm_scores, op4_decontamination, op5_token_output, op6_byte_bpe, op7_ngram_jaccard,
+        op8_sharding, op9_pii, op10_toxicity, op11_exact_dedup, op12_lexical_search, op13_vector_codes,
+    )
+}
 SQL: dict[str, str] = oracle.SQL
