@@ -11,7 +11,7 @@ from gable.operators import certificates, ledger, normalise, registry, rollups,
 from gable.functions.temporal import moment
 from gable.operators.extract import postcode_sales
 from gable.session import require_utc, staged
-from gable.sources import files, state, tables
+from gable.sources import files, state, tables, versions
 
 AREA_KEYS = ("area_type", "area")
 
@@ -34,25 +34,32 @@ def load_sales_file(
     return True
 
 
-def apply_sales_changes(rows: DataFrame, folder: str) -> None:
+def apply_sales_changes(rows: DataFrame, folder: str, fold: bool = True) -> None:
     """Keyed inserts for postcodes and houses; sales also change and disappear.
 
-    Of several records of a sale the last by `load_order` counts, or by date where
-    the rows don't have one.
+    Records apply in their `load_order`, or by date where the rows don't have one: an
+    addition fills a gap, a change replaces, a deletion removes. The batch goes to the log
+    of sales; with `fold` it is folded into the buckets it touches, else that is left to a
+    later `fold_sales_changes`, and readers resolve it meanwhile.
     """
     spark = rows.sparkSession
-    tables.finish_replace(spark, f"{folder}/sales")
     rows = staged(rows, "normalised-sales")
     for name in ("postcodes", "houses"):
         tables.insert_if_absent(
             normalise.additions(rows), f"{folder}/{name}", schemas.KEYS[name], tables.FIRST,
             tables.SALE_TABLES[name],
         )
-    existing = tables.read_table(spark, f"{folder}/sales", schemas.SALES)
-    order = ["load_order"] if "load_order" in rows.columns else ["date"]
-    kept = dict.fromkeys([*existing.columns, "row_class", *order])
-    merged = normalise.changes_applied(existing, rows.select(*kept), order)
-    tables.replace_rows(merged, f"{folder}/sales")
+    # By date as text of one length, which sorts as the dates do.
+    order = [f"load_order.{c}" for c in files.ORDER] if "load_order" in rows.columns else ["_date"]
+    dated = rows.withColumn("_date", F.date_format("date", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    versions.append(dated, f"{folder}/sales", schemas.SALES, schemas.KEYS["sales"], order)
+    if fold:
+        fold_sales_changes(spark, folder)
+
+
+def fold_sales_changes(spark: SparkSession, folder: str) -> list[int]:
+    """Fold the waiting changes of sales into their buckets; returns the buckets."""
+    return versions.fold(spark, f"{folder}/sales", schemas.SALES, schemas.KEYS["sales"])
 
 
 def load_certificate_files(

@@ -465,8 +465,22 @@ SQL: dict[str, str] = {
         SELECT tui, CASE WHEN row_class = 'CHANGE' THEN price ELSE price - 1000 END AS price, {_time('date')},
                NOT new AS new, freehold, ppd_cat, houseid
         FROM good WHERE row_class <> 'DELETE'"""),
+    "keyed_insert_pruned": _loaded_sales(),
     "ppd_file_load": _loaded_sales(),
     "ppd_stream_ingest": _loaded_sales(),
+    "ppd_stream_dedup": _loaded_sales(),
+    "ppd_stream_changes": _with(("good",), f"""
+        , listed AS (
+            SELECT *, row_number() OVER (PARTITION BY number // 8 ORDER BY number % 5, number) AS turn
+            FROM (SELECT *, CAST(tui AS BIGINT) AS number FROM good)),
+        last AS (
+            SELECT *, coalesce(max(CASE WHEN row_class <> 'ADDITION' THEN turn END) OVER (PARTITION BY number // 8), 0) AS since
+            FROM listed),
+        first AS (
+            SELECT *, row_number() OVER (PARTITION BY number // 8 ORDER BY turn) AS place
+            FROM last WHERE turn >= since AND row_class <> 'DELETE')
+        SELECT CAST(number // 8 AS VARCHAR) AS tui, price, {_time('date')}, NOT new AS new, freehold, ppd_cat, houseid
+        FROM first WHERE place = 1"""),
     "epc_typed": _typed_certificates(),
     "epc_upsert": f"""
         SELECT lmk_key, current_energy_rating, current_energy_efficiency,

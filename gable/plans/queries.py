@@ -23,7 +23,7 @@ from gable.operators import (
 )
 from gable.plans import jobs
 from gable.session import fresh_folder, staged
-from gable.sources import results, state, tables
+from gable.sources import results, state, store, tables
 from gable.streaming import ingest
 
 LEVELS = fixed.AREA_TYPES
@@ -245,10 +245,11 @@ def houses_by_postcode(spark, d):
 
 
 def house_by_key(spark, d):
-    """The house of the highest number, looked up by its key."""
-    rows = b.houses(spark, d)
+    """The house of the highest number, looked up by its key in the stored table."""
+    rows, path = b.houses(spark, d), fresh_folder(spark, "houses")
+    tables.insert_if_absent(rows, path, "houseid", ["postcode"], schemas.HOUSES)
     key = rows.agg(F.max(F.col("houseid").cast("bigint")).cast("string")).first()[0]
-    return houses.house(rows, key)
+    return store.rows_of_keys(spark, path, schemas.HOUSES, "houseid", [key])
 
 
 def house_street(spark, d):
@@ -470,6 +471,16 @@ def ppd_apply_changes(spark, d):
     return merged.withColumn("date", iso_time("date"))
 
 
+def keyed_insert_pruned(spark, d):
+    """Sales added to a bucketed table: the older ones, then a single one, then all of them, twice."""
+    rows, path = staged(normalise.additions(normalise.normalised(b.raw_sales(spark, d))), "sales"), fresh_folder(spark, "sales")
+    older = F.col("date") < F.lit("1998-01-01").cast("timestamp")
+    one = rows.filter(~older).agg(F.min("tui")).first()[0]
+    for batch in (rows.filter(older), rows.filter(F.col("tui") == one), rows, rows):
+        tables.insert_if_absent(batch, path, "tui", tables.FIRST, schemas.SALES)
+    return tables.read_table(spark, path, schemas.SALES).withColumn("date", iso_time("date"))
+
+
 def ppd_file_load(spark, d):
     """Records written as a sale file, loaded twice by the load job, read as a table."""
     source, folder = fresh_folder(spark, "sale-file"), fresh_folder(spark, "sale-tables")
@@ -491,6 +502,40 @@ def ppd_stream_ingest(spark, d):
     return rows.withColumn("date", iso_time("date"))
 
 
+def _written(rows: DataFrame, folder: str, ordered: Column) -> None:
+    """One sale file in the given order."""
+    in_order = rows.repartitionByRange(1, ordered).sortWithinPartitions(ordered)
+    in_order.select(*fixed.SALE_FILE_COLUMNS).write.option("escape", '"').csv(folder)
+
+
+def ppd_stream_changes(spark, d):
+    """Additions, changes and deletions in five files, a batch each, folded in after every second batch.
+
+    Eight records in a row are records of one sale; a fifth of them is in each file.
+    """
+    landing, folder = fresh_folder(spark, "sale-landing"), fresh_folder(spark, "sale-tables")
+    number = F.expr("cast(substring(tui, 2, length(tui) - 2) as bigint)")
+    records = staged(b.raw_sales(spark, d).withColumn("number", number), "records")
+    sale = F.concat(F.lit("{"), F.floor(F.col("number") / 8), F.lit("}"))
+    for k in range(5):
+        _written(records.filter(F.col("number") % 5 == k).withColumn("tui", sale), f"{landing}/{k}", F.col("number"))
+    raw = ingest.sale_records(spark, f"{landing}/*", normalise.INTENDED, "*.csv", maxFilesPerTrigger=1)
+    ingest.load_stream(raw, folder, fresh_folder(spark, "ingest"), normalise.INTENDED, fold_after=2).awaitTermination()
+    return tables.read_sales(spark, folder).withColumn("date", iso_time("date"))
+
+
+def ppd_stream_dedup(spark, d):
+    """Records streamed twice, the second time at a higher price; the state store knows which came before."""
+    landing, path = fresh_folder(spark, "sale-landing"), fresh_folder(spark, "sales")
+    records = staged(b.raw_sales(spark, d).select(*fixed.SALE_FILE_COLUMNS), "records")
+    for k in range(2):
+        records.withColumn("price", F.col("price") + k).write.option("escape", '"').csv(f"{landing}/{k}")
+    raw = ingest.sale_records(spark, f"{landing}/*", normalise.REFERENCE, "*.csv", maxFilesPerTrigger=1)
+    rows = normalise.additions(raw)
+    ingest.ingest_first(rows, path, "tui", schemas.SALES, tables.FIRST, fresh_folder(spark, "ingest")).awaitTermination()
+    return tables.read_table(spark, path, schemas.SALES).withColumn("date", iso_time("date"))
+
+
 def snapshot_changed(spark, d):
     """The sales against the state of an earlier load of them."""
     sales = b.sales(spark, d)
@@ -565,7 +610,7 @@ REGISTERED: dict[str, Query] = {
         ledger_rollup, ledgers_listed, ledger_of_user, usage_stamped, usage_stamped_by_join, ledger_items, billing_run, billing_late_usage,
         ppd_normalise, ppd_rejects, ppd_status_split,
         ppd_upsert_postcodes, ppd_upsert_houses, ppd_upsert_sales, ppd_apply_changes,
-        ppd_file_load, ppd_stream_ingest, snapshot_changed,
+        keyed_insert_pruned, ppd_file_load, ppd_stream_ingest, ppd_stream_changes, ppd_stream_dedup, snapshot_changed,
         epc_typed, epc_upsert,
         usage_stream_daily, usage_stream_append,
     )

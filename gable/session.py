@@ -15,6 +15,8 @@ SETTINGS = {
     # Generated methods beyond this size are never compiled by the JVM; wide
     # projections such as certificates then run faster split up.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # State of streams that grows with their keys stays out of the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -3,7 +3,7 @@
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gable import fixed, schemas
@@ -29,13 +29,23 @@ def stream_sales(spark: SparkSession, folder: str, pattern: str = "*", **options
     return _blank(reader.csv(folder))
 
 
-def in_load_order(rows: DataFrame, file: Column | None = None) -> DataFrame:
-    """Add `load_order`: the file, then the place in it.
+#: Fields of `load_order`, the most significant first.
+ORDER = ("file", "block", "place")
 
-    Splits of a file are numbered in their order, so row numbers grow along a file.
+
+def in_load_order(rows: DataFrame) -> DataFrame:
+    """Add `load_order`: the path of the file, the split's offset in it, and the place in the split.
+
+    Files of one load apply in the order of their paths, so name them that way, such as
+    by date or by numbers of equal length (09.csv, 10.csv).
     """
-    file = F.col("_metadata.file_path") if file is None else file
-    return rows.withColumn("load_order", F.struct(file.alias("file"), F.monotonically_increasing_id().alias("place")))
+    of_file = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start")}
+    return placed(rows.withColumns(of_file)).drop(*of_file)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Add `load_order` to rows that have the `file` and `block` they come from."""
+    return rows.withColumn("load_order", F.struct("file", "block", F.monotonically_increasing_id().alias("place")))
 
 
 def _blank(rows: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
-"""Table sinks: keyed inserts into parquet tables, and the layout of sales."""
+"""Table sinks: keyed inserts into bucketed tables, usage by day, and the layout of sales."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from gable import schemas
 from gable.operators import normalise
-from gable.session import fresh_folder, staged
+from gable.session import staged
+from gable.sources import store, versions
+from gable.sources.store import finish_replace, read_table, replace_rows
 
 SALE_TABLES = {
     "postcodes": schemas.POSTCODES, "houses": schemas.HOUSES, "sales": schemas.SALES,
@@ -17,61 +18,37 @@ USAGE_LAYOUT = ("day", "batch")
 _USAGE_IDS = StructType(
     [StructField("id", StringType()), StructField("day", DateType()), StructField("batch", StringType())]
 )
-_NOTE = StructType([StructField("folder", StringType())])
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The table at `path`, empty if nothing was written there yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def insert_if_absent(rows: DataFrame, path: str, key: str, order: list[str], schema: StructType) -> None:
+def insert_if_absent(
+    rows: DataFrame, path: str, key: str, order: list[str], schema: StructType, buckets: int = store.BUCKETS
+) -> None:
     """Append the first row of every key the table does not hold yet.
 
-    Running it again with the same rows adds nothing, so a failed job can simply
-    be repeated. One writer per table at a time.
+    Of the table only the keys in the buckets of these rows are read. Running it again
+    with the same rows adds nothing, so a failed job can simply be repeated. One writer
+    per table at a time.
     """
-    finish_replace(rows.sparkSession, path)
+    spark = rows.sparkSession
+    finish_replace(spark, path, key=key)
     columns = schema.fieldNames()
     rows = rows.withColumns({f.name: rows[f.name].cast(f.dataType) for f in schema})
     first = normalise.first_per_key(rows, key, columns, order)
-    existing = read_table(rows.sparkSession, path, schema)
-    normalise.absent(first, existing, key).write.mode("append").parquet(path)
+    buckets = store.layout(spark, path, key, buckets)
+    if store.exists(spark, path):
+        first = normalise.absent(first, known_keys(rows, path, key, schema, buckets), key)
+    store.write_buckets(first, path, key, buckets)
 
 
-def replace_rows(rows: DataFrame, path: str, layout: tuple[str, ...] = ()) -> None:
-    """Replace a table, or with a `layout` only the partitions `rows` touches.
+def known_keys(rows: DataFrame, path: str, key: str, schema: StructType, buckets: int) -> DataFrame:
+    """The keys of the table in the buckets of the given rows."""
+    table = store.read_buckets(rows.sparkSession, path, StructType([schema[key]]))
+    return store.only(table, store.touched(rows, key, buckets), buckets).select(key)
 
-    The new rows are written in full elsewhere and noted beside the table before
-    anything is removed. A job that dies in between leaves the note, and
-    `finish_replace` at the start of the next job completes it.
-    """
-    spark = rows.sparkSession
-    new = fresh_folder(spark, "replacement")
-    rows.write.parquet(new)
-    _note(spark, path, [(new,)])
-    finish_replace(spark, path, layout)
-
-
-def finish_replace(spark: SparkSession, path: str, layout: tuple[str, ...] = ()) -> None:
-    """Complete a replacement an earlier job noted; does nothing without one."""
-    noted = read_table(spark, f"{path}-replacement", _NOTE).first()
-    if noted is None:
-        return
-    writer = spark.read.parquet(noted["folder"]).write.mode("overwrite")
-    if layout:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*layout)
-    writer.parquet(path)
-    _note(spark, path, [])
-
-
-def _note(spark: SparkSession, path: str, rows: list[tuple[str]]) -> None:
-    spark.createDataFrame(rows, _NOTE).write.mode("overwrite").parquet(f"{path}-replacement")
+
+def read_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """The sales in force, whether or not changes are waiting to be folded in."""
+    return versions.current(spark, f"{folder}/sales", schemas.SALES, schemas.KEYS["sales"])
 
 
 def load_sales(rows: DataFrame, folder: str) -> None:

@@ -1,14 +1,19 @@
 """Streams: sale files into tables, usage events into a table and daily totals."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from gable.operators import normalise
 from gable.plans import jobs
 from gable.session import require_utc
 from gable.sources import tables
-from gable.sources.files import in_load_order, stream_sales
+from gable.sources.files import placed, stream_sales
 
 
 def ingest_sales(
@@ -25,24 +30,34 @@ def ingest_sales(
     The checkpoint remembers the files; a batch repeated after a failure adds
     nothing, because the tables are keyed.
     """
+    return load_stream(sale_records(spark, landing, mode, pattern, **options), folder, checkpoint, mode)
+
+
+def sale_records(spark: SparkSession, landing: str, mode: str = normalise.REFERENCE, pattern: str = "*", **options) -> DataFrame:
+    """Normalised records of the sale files of a folder as a stream, with the `file` and `block` they come from."""
     require_utc(spark)
     raw = stream_sales(spark, landing, pattern, **options)
-    rows = normalise.normalised(raw.withColumn("load_order", F.col("_metadata.file_path")), mode)
-    return load_stream(rows.withColumnRenamed("load_order", "file"), folder, checkpoint, mode)
+    of_file = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = normalise.normalised(raw.withColumn("load_order", of_file), mode)
+    return rows.select("*", "load_order.*").drop("load_order")
 
 
-def load_stream(rows: DataFrame, folder: str, checkpoint: str, mode: str = normalise.REFERENCE) -> StreamingQuery:
+#: Batches of changes that wait before they are folded into their buckets.
+FOLD_AFTER = 8
+
+
+def load_stream(rows: DataFrame, folder: str, checkpoint: str, mode: str = normalise.REFERENCE, fold_after: int = FOLD_AFTER) -> StreamingQuery:
     """Normalised rows of a stream into the keyed tables, batch by batch.
 
-    In `intended` mode changes and deletions of a batch are applied to the sales
-    loaded before it.
+    In `intended` mode changes and deletions of a batch go to the log of the sales, which
+    is folded into the buckets it touches after so many batches; a batch reads no sales.
     """
 
-    def load(batch: DataFrame, _: int) -> None:
+    def load(batch: DataFrame, number: int) -> None:
         if mode == normalise.INTENDED:
-            jobs.apply_sales_changes(in_load_order(batch, F.col("file")).drop("file"), folder)
+            jobs.apply_sales_changes(placed(batch).drop("file", "block"), folder, fold=(number + 1) % fold_after == 0)
         else:
-            tables.load_sales(batch.drop("file"), folder)
+            tables.load_sales(batch.drop("file", "block"), folder)
 
     return (
         rows.writeStream.foreachBatch(load)
@@ -52,6 +67,50 @@ def load_stream(rows: DataFrame, folder: str, checkpoint: str, mode: str = norma
     )
 
 
+def first_of_keys(rows: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
+    """Of a stream the first row of each key: of its first batch, and there by the given order.
+
+    Which keys came before is kept in the state store, a flag for each, so no batch reads
+    the rows written earlier. Of the rows of one batch Spark's own deduplication would keep
+    any, hence the function.
+    """
+    rest = [c for c in columns if c not in (key, *order)]
+
+    def first(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for part in parts:
+            if not state.exists:
+                both = part if best is None else pd.concat([best, part])
+                best = both if len(both) == 1 else both.sort_values([*order, *rest], na_position="first").head(1)
+        if not state.exists and best is not None:
+            state.update((True,))
+            yield best
+
+    schema = rows.select(*columns).schema
+    seen = "seen boolean"
+    return rows.select(*columns).groupBy(key).applyInPandasWithState(first, schema, seen, "append", GroupStateTimeout.NoTimeout)
+
+
+def ingest_first(rows: DataFrame, path: str, key: str, schema: StructType, order: list[str], checkpoint: str) -> StreamingQuery:
+    """Keep the first row of each key of a stream, in a folder a batch that repeating the batch overwrites.
+
+    The table is never read. `rows` need the columns of the schema.
+    """
+    require_utc(rows.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        first_of_keys(rows, key, schema.fieldNames(), order)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def ingest_usage(usage: DataFrame, path: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
     """Append usage events to a table by day, each exactly once.
 

@@ -124,6 +124,8 @@ def test_stamping_needs_no_shuffle(spark):
 
 
 def test_scan_reads_only_what_is_needed(spark):
-    plan = QUERIES["mean_price"](spark, SMALL)._jdf.queryExecution().toString()
+    plan = QUERIES["sales_extract"](spark, SMALL)._jdf.queryExecution().toString()
     assert "o_orderpriority" not in plan.split("== Physical Plan ==")[1]
     assert "GreaterThanOrEqual(o_orderdate" in plan
+    plan = QUERIES["mean_price"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "o_orderpriority" not in plan.split("== Physical Plan ==")[1]
