@@ -36,6 +36,15 @@ def event_id(upto, run: int = 0) -> Column:
     return F.sha2(F.concat_ws("|", F.lit("event"), *_text(upto, run)), 256)
 
 
+def next_run(records: DataFrame, upto) -> int:
+    """How many runs at this cutoff are on record: one look at the records, whatever their number."""
+    numbers = records.sparkSession.range(records.count() + 1)
+    later = F.concat_ws("|", F.lit("event"), *_text(upto, 0), F.col("id").cast("string"))
+    ids = numbers.select("id", F.when(F.col("id") == 0, event_id(upto)).otherwise(F.sha2(later, 256)).alias("record"))
+    missing = ids.join(records.select(F.col("id").alias("record")), "record", "left_anti")
+    return missing.agg(F.min("id")).first()[0]
+
+
 def _text(upto, run: int) -> list[Column]:
     cutoff = F.unix_micros(moment(upto)).cast("string")
     return [cutoff, F.lit(str(run))] if run else [cutoff]
@@ -123,16 +132,6 @@ def run_items(usage: DataFrame, upto, run: int = 0) -> DataFrame:
     )
 
 
-def stamped_items(usage: DataFrame, items: DataFrame) -> DataFrame:
-    """Stamp exactly the events of a run; events that came later stay open."""
-    mine = items.select(F.col("id").alias("_item"), "run_ledger")
-    return (
-        usage.join(mine, F.col("id") == F.col("_item"), "left")
-        .withColumn("ledger_id", F.coalesce("ledger_id", "run_ledger"))
-        .drop("_item", "run_ledger")
-    )
-
-
 def ledger_items(ledgers: DataFrame, usage: DataFrame) -> DataFrame:
     """The usage events each ledger is made of."""
     items = usage.select(

@@ -69,28 +69,26 @@ def load_certificate_files(
 
 
 def run_billing(spark: SparkSession, usage_path: str, folder: str, upto, as_of=None) -> DataFrame:
-    """Ledgers for everyone, their usage stamped, and the record of the run.
+    """Ledgers for everyone, their usage linked to them, and the record of the run.
 
-    The events of a run are taken once and written down; ledgers and stamps both come
-    from that list, so every event is in the total of the ledger it is stamped with.
+    The events of a run are taken once and written down; ledgers and links both come
+    from that list, so every event is in the total of the ledger it is linked to.
     Events that arrive later are open for the next run, which at the same cutoff has
     ledgers and a record of its own. A run cut off by a failure is finished from its
-    list by the next call, before that looks for events of its own. Only days on the
-    list are read again and rewritten; they are as few as the calendar has, so they
-    prune folders. Usage of those days must not be appended meanwhile.
+    list by the next call, before that looks for events of its own. Billing writes links
+    beside the usage and leaves the usage alone; `tables.settle_usage` stamps whole days
+    later.
     """
     require_utc(spark)
     started = datetime.now(timezone.utc)
     tables.finish_replace(spark, usage_path, tables.USAGE_LAYOUT)
-    records = f"{folder}/aggregation_event"
-    run = 0
-    while not _record(spark, records, upto, run).isEmpty():
-        run += 1
+    records = tables.read_table(spark, f"{folder}/aggregation_event", schemas.AGGREGATION_EVENTS)
+    run = ledger.next_run(records, upto)
     resumed = _bill(spark, usage_path, folder, upto, as_of, run, started, new=False)
     if resumed:
         run, started = run + 1, datetime.now(timezone.utc)
     billed = _bill(spark, usage_path, folder, upto, as_of, run, started, new=True)
-    return _record(spark, records, upto, run if billed else run - 1)
+    return _record(spark, f"{folder}/aggregation_event", upto, run if billed else run - 1)
 
 
 def _record(spark: SparkSession, path: str, upto, run: int) -> DataFrame:
@@ -106,14 +104,12 @@ def _bill(spark, usage_path: str, folder: str, upto, as_of, run: int, started: d
     micros = int(spark.range(1).select(F.unix_micros(moment(upto))).first()[0])
     path = f"{folder}/billing_items/{micros}-{run}"
     tables.finish_replace(spark, path)
-    usage = spark.read.parquet(usage_path)
     items = tables.read_table(spark, path, schemas.RUN_ITEMS)
-    listed = not items.isEmpty()
-    if not listed:
+    if items.isEmpty():
         if not new:
             return False
-        found = ledger.run_items(usage, upto, run)
-        if found.isEmpty() and run:
+        found = ledger.run_items(tables.read_usage(spark, usage_path), upto, run)
+        if run and found.isEmpty():
             return False
         tables.replace_rows(found.select(*[found[f.name].cast(f.dataType) for f in schemas.RUN_ITEMS]), path)
         items = tables.read_table(spark, path, schemas.RUN_ITEMS)
@@ -121,10 +117,7 @@ def _bill(spark, usage_path: str, folder: str, upto, as_of, run: int, started: d
         ledger.rolled_up(items, upto, as_of, run), f"{folder}/billing_ledger", "id", ["period_end"],
         schemas.LEDGERS,
     )
-    days = [row["day"] for row in items.select("day").distinct().collect()]
-    if days:
-        rewritten = ledger.stamped_items(usage.filter(F.col("day").isin(days)), items)
-        tables.replace_rows(rewritten, usage_path, tables.USAGE_LAYOUT)
+    tables.link_usage(items, usage_path, f"{micros}-{run}")
     event = ledger.aggregation_event(spark, upto, started, datetime.now(timezone.utc), run)
     tables.insert_if_absent(
         event, f"{folder}/aggregation_event", "id", ["timestamp"], schemas.AGGREGATION_EVENTS

@@ -448,6 +448,10 @@ SQL: dict[str, str] = {
         SELECT ledger AS id, user_id, CAST(sum(tokens) AS BIGINT) AS total_tokens, count(*) AS items,
                CAST(sum(tokens) AS BIGINT) AS item_tokens, true AS timed
         FROM billed GROUP BY ledger, user_id"""),
+    "usage_settled": _with(("marked",), """
+        SELECT strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens,
+               count(ledger_id) AS billed, count(DISTINCT ledger_id) AS ledgers, CAST(1 AS BIGINT) AS files
+        FROM marked GROUP BY strftime(timestamp, '%Y-%m-%d')"""),
     "ppd_normalise": _with(("good",), f"""
         SELECT tui, price, {_time('date')}, new, freehold, ppd_cat, houseid, paon, saon, postcode, type, street,
                town, district, county, outcode, area, sector, row_class FROM good"""),
@@ -489,6 +493,18 @@ SQL: dict[str, str] = {
     "usage_stream_daily": _with(("days",), """
         SELECT strftime(day, '%Y-%m-%d') AS date, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS requests
         FROM days GROUP BY day"""),
+    "usage_stream_windowed": _with(("used",), """
+        , chunked AS (SELECT *, CAST(floor((CAST(timestamp AS DATE) - DATE '2024-01-01') / 8) AS INT)
+               + CASE WHEN id LIKE '%7' THEN 1 WHEN id LIKE '%3' THEN 2 ELSE 0 END AS due FROM used),
+        dealt AS (SELECT *, least(due, 3) AS delivery, CAST(timestamp AS DATE) AS day FROM chunked),
+        marks AS (SELECT k, (SELECT max(timestamp) - INTERVAL 2 DAY FROM dealt WHERE delivery < k) AS mark
+                  FROM (SELECT unnest(range(0, 5)) AS k)),
+        judged AS (SELECT d.*, coalesce(day + INTERVAL 1 DAY <= mark, false) AS late FROM dealt d JOIN marks ON k = delivery)
+        SELECT strftime(day, '%Y-%m-%d') AS date,
+               CAST(coalesce(sum(tokens) FILTER (NOT late), 0) AS BIGINT) AS tokens, count(*) FILTER (NOT late) AS requests,
+               CAST(coalesce(sum(tokens) FILTER (late), 0) AS BIGINT) AS late_tokens, count(*) FILTER (late) AS late_requests,
+               count(*) FILTER (NOT late) > 0 AND day + INTERVAL 1 DAY <= (SELECT mark FROM marks WHERE k = 4) AS closed
+        FROM judged GROUP BY day"""),
     "usage_stream_append": _with(("used",), """
         SELECT user_id, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens FROM used GROUP BY user_id"""),
 }

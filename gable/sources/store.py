@@ -124,8 +124,8 @@ def rows_of_keys(spark: SparkSession, path: str, schema: StructType, key: str, v
 # Replacing.
 
 
-def replace_rows(rows: DataFrame, path: str, layout: tuple[str, ...] = (), key: str | None = None) -> None:
-    """Replace a table, or with a `layout` only the partitions `rows` touches.
+def replace_rows(rows: DataFrame, path: str, partitions: tuple[str, ...] = (), key: str | None = None) -> None:
+    """Replace a table, or with `partitions` only those that `rows` touches.
 
     The new rows are written in full beside the table and noted before anything is
     removed. A job that dies in between leaves the note, and `finish_replace` at the start
@@ -135,11 +135,14 @@ def replace_rows(rows: DataFrame, path: str, layout: tuple[str, ...] = (), key:
     new = f"{path}-new-{uuid.uuid4().hex}"
     rows.write.parquet(new)
     _overwrite(spark, f"{path}-replacement", [(new, False)], _NOTE)
-    finish_replace(spark, path, layout, key)
+    finish_replace(spark, path, partitions, key)
 
 
-def finish_replace(spark: SparkSession, path: str, layout_: tuple[str, ...] = (), key: str | None = None) -> None:
-    """Complete a replacement an earlier job noted; does nothing without one."""
+def finish_replace(spark: SparkSession, path: str, partitions: tuple[str, ...] = (), key: str | None = None) -> None:
+    """Complete a replacement an earlier job noted; does nothing without one.
+
+    Rows of one partition share a file, or some files where they are many.
+    """
     noted = read_table(spark, f"{path}-replacement", _NOTE).first()
     if noted is None:
         return
@@ -148,8 +151,9 @@ def finish_replace(spark: SparkSession, path: str, layout_: tuple[str, ...] = ()
         write_buckets(rows, path, key, layout(spark, path, key), "static" if noted["whole"] else "dynamic")
     else:
         writer = rows.write.mode("overwrite")
-        if layout_:
-            writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*layout_)
+        if partitions:
+            together = rows.hint("rebalance", *[F.col(c) for c in partitions])
+            writer = together.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
         writer.parquet(path)
     _overwrite(spark, f"{path}-replacement", [], _NOTE)
     remove(spark, noted["folder"])

@@ -1,5 +1,7 @@
 """Table sinks: keyed inserts into bucketed tables, usage by day, and the layout of sales."""
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
@@ -14,10 +16,16 @@ SALE_TABLES = {
     "postcodes": schemas.POSTCODES, "houses": schemas.HOUSES, "sales": schemas.SALES,
 }
 FIRST = ["date", "tui"]
-USAGE_LAYOUT = ("day", "batch")
+USAGE_LAYOUT = ("day",)
 _USAGE_IDS = StructType(
     [StructField("id", StringType()), StructField("day", DateType()), StructField("batch", StringType())]
 )
+LINK_LAYOUT = ("day", "run")
+_LINKS = StructType(
+    [StructField("id", StringType()), StructField("run_ledger", StringType()), StructField("day", DateType()), StructField("run", StringType())]
+)
+#: Days of several files that are smaller than this on average are rewritten.
+SMALL_FILE_BYTES = 16 << 20
 
 
 def insert_if_absent(
@@ -70,16 +78,71 @@ def load_certificates(typed: DataFrame, folder: str) -> None:
 
 
 def append_usage(usage: DataFrame, path: str, batch: str) -> None:
-    """Append usage events by day, so time ranges skip files, and by batch.
+    """Append usage events by day, so time ranges skip files; each row knows its batch.
 
-    A batch repeated under its name after a failure adds only what is missing.
-    The check reads that batch alone, so a new batch reads nothing.
+    A batch repeated under its name after a failure adds only what is missing. The check
+    opens the batch's days only, and there the row groups that can hold its name.
     """
     spark = usage.sparkSession
     finish_replace(spark, path, USAGE_LAYOUT)
-    known = read_table(spark, path, _USAGE_IDS).filter(F.col("batch") == batch)
     rows = usage.withColumns({"day": F.to_date("timestamp"), "batch": F.lit(batch)})
-    normalise.absent(rows, known, "id").write.mode("append").partitionBy(*USAGE_LAYOUT).parquet(path)
+    if store.exists(spark, path):
+        days = [r["day"] for r in rows.select("day").distinct().collect()]
+        known = read_table(spark, path, _USAGE_IDS).filter((F.col("batch") == batch) & F.col("day").isin(days))
+        rows = normalise.absent(rows, known, "id")
+    # A day's rows of one batch share a file, or some files where they are many.
+    rows.hint("rebalance", F.col("day")).write.mode("append").partitionBy(*USAGE_LAYOUT).parquet(path)
+
+
+def link_usage(items: DataFrame, path: str, run: str) -> None:
+    """Note which ledger billed each event, beside the usage, by day and run; repeating a run replaces its notes."""
+    rows = items.select("id", "run_ledger", "day", F.lit(run).alias("run"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LINK_LAYOUT).parquet(f"{path}-links")
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """The usage with the ledger of each event, whether stamped in its day or linked since.
+
+    Days without links are read as they are, without a join.
+    """
+    usage = spark.read.parquet(path)
+    links = read_table(spark, f"{path}-links", _LINKS)
+    days = [r["day"] for r in links.select("day").distinct().collect()]
+    if not days:
+        return usage
+    linked = F.col("day").isin(days)
+    mine = links.select(F.col("id").alias("_item"), F.col("day").alias("_day"), "run_ledger")
+    met = usage.where(linked).join(mine, (F.col("id") == F.col("_item")) & (F.col("day") == F.col("_day")), "left")
+    stamped = met.withColumn("ledger_id", F.coalesce("ledger_id", "run_ledger")).drop("_item", "_day", "run_ledger")
+    return usage.where(~F.coalesce(linked, F.lit(False))).unionByName(stamped)
+
+
+def days_to_settle(spark: SparkSession, path: str, before=None, small_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
+    """Days that have links, or several small files: day, files, bytes, linked. From file sizes alone."""
+    usage = spark.read.parquet(path)
+    files = usage.select("day", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+    sizes = files.groupBy("day").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    links = read_table(spark, f"{path}-links", _LINKS).select("day").distinct().withColumn("linked", F.lit(True))
+    found = sizes.join(links, "day", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    wanted = F.col("linked") | ((F.col("files") > 1) & (F.col("bytes") / F.col("files") < small_bytes))
+    return found.where(wanted if before is None else wanted & (F.col("day") < F.lit(before).cast("date")))
+
+
+def settle_usage(spark: SparkSession, path: str, before=None, small_bytes: int = SMALL_FILE_BYTES) -> list[date]:
+    """Rewrite days into few files with their ledgers stamped, and drop the links; returns the days.
+
+    Only days before the given date, by which their usage should be complete, and of these
+    only those that need it. Billing may come before or after, as it goes by event and
+    day, but like all writers not meanwhile. Cut off at any point, it can be repeated.
+    """
+    finish_replace(spark, path, USAGE_LAYOUT)
+    plan = {r["day"]: r["linked"] for r in days_to_settle(spark, path, before, small_bytes).collect()}
+    if plan:
+        replace_rows(read_usage(spark, path).filter(F.col("day").isin(list(plan))), path, USAGE_LAYOUT)
+    for day in plan:
+        if plan[day]:
+            store.remove(spark, f"{path}-links/day={day}")
+    return sorted(plan)
 
 
 def save_sales_by_year(sales: DataFrame, path: str) -> None:

@@ -166,3 +166,59 @@ def latest_daily_totals(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.parquet(path).groupBy("date").agg(last).select("date", "last.tokens", "last.requests")
     )
+
+
+def windowed_totals(usage: DataFrame, delay: str, every: str = "1 day") -> DataFrame:
+    """Streaming tokens and requests per window of event time, for events no later than `delay`.
+
+    A window closes when the newest event is `delay` past its end. Then its state goes, and
+    events that still come for it are left out.
+    """
+    window = F.window("timestamp", every)
+    sums = usage.withWatermark("timestamp", delay).groupBy(window).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("requests"))
+    return sums.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "tokens", "requests")
+
+
+def keep_windows(totals: DataFrame, path: str, checkpoint: str, output: str) -> StreamingQuery:
+    """Write windows in a folder a batch: as they change with `update`, once they closed with `append`."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        totals.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .outputMode(output)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_windows(spark: SparkSession, path: str) -> DataFrame:
+    """Each window as its last update left it."""
+    last = F.max(F.struct("batch", "tokens", "requests")).alias("last")
+    return spark.read.parquet(path).groupBy("start", "end").agg(last).select("start", "end", "last.tokens", "last.requests")
+
+
+def closed_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The windows that closed; each was written once."""
+    return spark.read.parquet(path).select("start", "end", "tokens", "requests")
+
+
+def with_late(everything: DataFrame, in_time: DataFrame, closed: DataFrame) -> DataFrame:
+    """Daily totals of events in time, beside them those that came too late, and whether the day closed.
+
+    `everything` are totals without a watermark; what they have more came late.
+    """
+    zero = F.lit(0).cast("bigint")
+    kept = in_time.select(F.to_date("start").alias("date"), F.col("tokens").alias("_tokens"), F.col("requests").alias("_requests"))
+    done = closed.select(F.to_date("start").alias("date"), F.lit(True).alias("closed"))
+    tokens, requests = F.coalesce("_tokens", zero), F.coalesce("_requests", zero)
+    return everything.join(kept, "date", "left").join(done, "date", "left").select(
+        "date",
+        tokens.alias("tokens"),
+        requests.alias("requests"),
+        (F.col("tokens") - tokens).alias("late_tokens"),
+        (F.col("requests") - requests).alias("late_requests"),
+        F.coalesce("closed", F.lit(False)).alias("closed"),
+    )

@@ -1,6 +1,7 @@
 """Usage reports, prices, billing periods and ledgers."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,7 +181,7 @@ def test_billing_run_can_be_repeated(spark, folder):
         jobs.run_billing(spark, path, folder, cutoff)
     ledgers = tables.read_table(spark, f"{folder}/billing_ledger", schemas.LEDGERS)
     assert {(r["user_id"], r["total_tokens"]) for r in ledgers.collect()} == {("u", 500), ("v", 500)}
-    stored = spark.read.parquet(path)
+    stored = tables.read_usage(spark, path)
     assert stored.count() == 12
     assert stored.filter(F.col("ledger_id").isNull()).count() == 4
     items = ledger.ledger_items(ledgers, stored).groupBy("user_id").agg(F.sum("tokens").alias("t"))
@@ -204,7 +205,7 @@ def test_billing_run_finishes_what_a_failed_run_left(spark, folder):
     jobs.run_billing(spark, path, folder, cutoff)
     ledgers = tables.read_table(spark, f"{folder}/billing_ledger", schemas.LEDGERS)
     assert [r["total_tokens"] for r in ledgers.collect()] == [500]
-    assert spark.read.parquet(path).filter(F.col("ledger_id").isNull()).isEmpty()
+    assert tables.read_usage(spark, path).filter(F.col("ledger_id").isNull()).isEmpty()
 
 
 def test_late_usage_is_billed_once_in_a_ledger_of_its_own(spark, folder):
@@ -212,7 +213,7 @@ def test_late_usage_is_billed_once_in_a_ledger_of_its_own(spark, folder):
 
     def totals():
         ledgers = tables.read_table(spark, f"{folder}/billing_ledger", schemas.LEDGERS)
-        stamped = spark.read.parquet(path).groupBy("ledger_id").agg(F.sum("tokens").alias("t"))
+        stamped = tables.read_usage(spark, path).groupBy("ledger_id").agg(F.sum("tokens").alias("t"))
         rows = ledgers.join(stamped, F.col("id") == F.col("ledger_id")).select("total_tokens", "t").collect()
         return sorted(map(tuple, rows)), ledgers.count()
 
@@ -223,7 +224,7 @@ def test_late_usage_is_billed_once_in_a_ledger_of_its_own(spark, folder):
     for _ in range(2):
         jobs.run_billing(spark, path, folder, cutoff)
     assert totals() == ([(50, 50), (100, 100)], 2)
-    assert spark.read.parquet(path).filter(F.col("ledger_id").isNull()).isEmpty()
+    assert tables.read_usage(spark, path).filter(F.col("ledger_id").isNull()).isEmpty()
     runs = tables.read_table(spark, f"{folder}/aggregation_event", schemas.AGGREGATION_EVENTS)
     assert runs.count() == 2
 
@@ -236,14 +237,14 @@ def test_late_usage_after_a_failed_run_is_not_lost(spark, folder, monkeypatch):
         def fail(*_):
             raise RuntimeError("lost")
 
-        m.setattr(ledger, "stamped_items", fail)
+        m.setattr(tables, "link_usage", fail)
         with pytest.raises(RuntimeError):
             jobs.run_billing(spark, path, folder, cutoff)
     late = events(spark, ("u", "/a", 50, NOW, None)).withColumn("id", F.concat(F.lit("late"), "id"))
     tables.append_usage(late, path, "late")
     jobs.run_billing(spark, path, folder, cutoff)
     ledgers = tables.read_table(spark, f"{folder}/billing_ledger", schemas.LEDGERS)
-    stamped = spark.read.parquet(path).groupBy("ledger_id").agg(F.sum("tokens").alias("t"))
+    stamped = tables.read_usage(spark, path).groupBy("ledger_id").agg(F.sum("tokens").alias("t"))
     rows = ledgers.join(stamped, F.col("id") == F.col("ledger_id")).select("total_tokens", "t").collect()
     assert sorted(map(tuple, rows)) == [(50, 50), (100, 100)]
 
@@ -279,6 +280,99 @@ def test_streamed_usage_can_be_billed_and_streamed_on(spark, folder):
     jobs.run_billing(spark, path, folder, NOW + timedelta(hours=1))
     stream(*_four("u", NOW + timedelta(days=1)))
     jobs.run_billing(spark, path, folder, NOW + timedelta(days=2))
-    stored = spark.read.parquet(path)
+    stored = tables.read_usage(spark, path)
     assert stored.count() == 8 and stored.filter(F.col("ledger_id").isNull()).isEmpty()
     assert stored.select("ledger_id").distinct().count() == 2
+
+
+def files_of(path):
+    return {str(p): p.stat().st_mtime_ns for p in Path(path).glob("day=*/*.parquet")}
+
+
+def test_billing_leaves_the_usage_files_alone(spark, folder):
+    path, cutoff = f"{folder}/usage", NOW + timedelta(days=2)
+    tables.append_usage(events(spark, *_four("u"), *_four("v", NOW + timedelta(days=1))), path, "load")
+    before = files_of(path)
+    jobs.run_billing(spark, path, folder, cutoff)
+    tables.append_usage(events(spark, ("u", "/a", 50, NOW, None)).withColumn("id", F.concat(F.lit("late"), "id")), path, "late")
+    jobs.run_billing(spark, path, folder, cutoff)
+    assert before.items() <= files_of(path).items() and len(files_of(path)) == len(before) + 1
+    assert tables.read_usage(spark, path).filter(F.col("ledger_id").isNull()).isEmpty()
+    assert spark.read.parquet(path).filter(F.col("ledger_id").isNotNull()).isEmpty()
+
+
+def test_settling_stamps_days_and_joins_their_files(spark, folder):
+    path, cutoff = f"{folder}/usage", NOW + timedelta(days=3)
+    for k in range(5):
+        rows = [(*r[:2], r[2], r[3], None) for r in (*_four("u"), *_four("v", NOW + timedelta(days=k % 2)))]
+        tables.append_usage(events(spark, *rows).withColumn("id", F.concat(F.lit(f"{k}-"), "id")), path, f"b{k}")
+    single = events(spark, ("u", "/a", 1, NOW + timedelta(days=9), None)).withColumn("id", F.lit("x"))
+    tables.append_usage(single, path, "single")
+    jobs.run_billing(spark, path, folder, cutoff)
+    def now():
+        return sorted(map(tuple, tables.read_usage(spark, path).select("id", "ledger_id", "batch").collect()), key=str)
+
+    wanted, before = now(), files_of(path)
+    days = [d.isoformat() for d in tables.settle_usage(spark, path, before="2024-03-11")]
+    assert days == ["2024-03-10"] and now() == wanted
+    assert {d: sum(f"day={d}" in f for f in files_of(path)) for d in ("2024-03-10", "2024-03-11", "2024-03-19")} == {
+        "2024-03-10": 1, "2024-03-11": 2, "2024-03-19": 1
+    }
+    assert [d.isoformat() for d in tables.settle_usage(spark, path)] == ["2024-03-11"] and now() == wanted
+    assert tables.settle_usage(spark, path) == []
+    (alone,) = [f for f in before if "day=2024-03-19" in f]
+    assert files_of(path)[alone] == before[alone]
+    # A batch repeated after its days were settled is still known, and billing goes on.
+    tables.append_usage(single, path, "single")
+    jobs.run_billing(spark, path, folder, NOW + timedelta(days=10))
+    assert len(now()) == len(wanted)
+    ledgers = tables.read_table(spark, f"{folder}/billing_ledger", schemas.LEDGERS)
+    assert sorted((r["user_id"], r["total_tokens"]) for r in ledgers.collect()) == [("u", 1), ("u", 2500), ("v", 2500)]
+
+
+def test_settling_cut_off_before_the_links_went_is_repeated(spark, folder):
+    path = f"{folder}/usage"
+    tables.append_usage(events(spark, *_four("u")), path, "load")
+    jobs.run_billing(spark, path, folder, NOW + timedelta(days=1))
+    wanted = sorted(map(tuple, tables.read_usage(spark, path).select("id", "ledger_id").collect()))
+    tables.replace_rows(tables.read_usage(spark, path), path, tables.USAGE_LAYOUT)  # died here
+    assert sorted(map(tuple, tables.read_usage(spark, path).select("id", "ledger_id").collect())) == wanted
+    assert len(tables.settle_usage(spark, path)) == 1 and tables.settle_usage(spark, path) == []
+    assert sorted(map(tuple, spark.read.parquet(path).select("id", "ledger_id").collect())) == wanted
+
+
+def test_windows_close_at_the_watermark_over_restarts(spark, folder):
+    """One event comes late but before the watermark, one after it; each run is a restart."""
+    landing = f"{folder}/landing"
+    day = lambda n, hour=1: datetime(2024, 1, n, hour)
+
+    def deliver(*rows):
+        spark.createDataFrame([(t, n) for t, n in rows], "timestamp timestamp, tokens bigint").coalesce(1).write.mode("append").parquet(landing)
+        source = spark.readStream.schema("timestamp timestamp, tokens bigint").parquet(landing)
+        for mode in ("update", "append"):
+            totals = ingest.windowed_totals(source, "1 day")
+            ingest.keep_windows(totals, f"{folder}/{mode}", f"{folder}/{mode}-state", mode).awaitTermination()
+        ingest.keep_daily_totals(ingest.daily_totals(source), f"{folder}/all", f"{folder}/all-state").awaitTermination()
+        found = ingest.with_late(
+            ingest.latest_daily_totals(spark, f"{folder}/all"), ingest.latest_windows(spark, f"{folder}/update"),
+            ingest.closed_windows(spark, f"{folder}/append"),
+        )
+        return {r["date"].day: tuple(r)[1:] for r in found.collect()}
+
+    assert deliver((day(1), 5), (day(2), 7)) == {1: (5, 1, 0, 0, False), 2: (7, 1, 0, 0, False)}
+    # Day 1 is open until the newest event is past the end of day 2: this one still counts.
+    assert deliver((day(1, 9), 10), (day(3, 2), 1)) == {1: (15, 2, 0, 0, True), 2: (7, 1, 0, 0, False), 3: (1, 1, 0, 0, False)}
+    # Now it is closed, and day 2 is not.
+    assert deliver((day(1, 20), 100), (day(2, 20), 1000)) == {
+        1: (15, 2, 100, 1, True), 2: (1007, 2, 0, 0, False), 3: (1, 1, 0, 0, False)
+    }
+    closed = [(r["start"].day, r["tokens"], r["requests"]) for r in ingest.closed_windows(spark, f"{folder}/append").collect()]
+    assert closed == [(1, 15, 2)]
+
+
+def test_the_next_run_is_found_in_one_look(spark):
+    ids = [spark.range(1).select(ledger.event_id(NOW, n)).first()[0] for n in range(3)] + ["other"]
+    records = spark.createDataFrame([(i, 1, NOW) for i in ids], schemas.AGGREGATION_EVENTS)
+    assert ledger.next_run(records, NOW) == 3
+    assert ledger.next_run(records, NOW + timedelta(1)) == 0
+    assert ledger.next_run(records.limit(0), NOW) == 0
