@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gable.operators import registry
+from gable.operators import registry, stats
 
 
 def _map_of(key: str, value: Column | str) -> Column:
@@ -49,6 +49,38 @@ def report(found: Mapping[str, DataFrame], keys: Sequence[str], start=None, end=
     )
 
 
+def report_together(long_rows: DataFrame, keys: Sequence[str], start=None, end=None) -> DataFrame:
+    """The rows of `report` from statistics that were computed together.
+
+    Every statistic is folded by grain, period and type at once; levels it does not have
+    hold a single entry, which is taken off again. Whole numbers stay exact.
+    """
+    levels = ("grain", "period", "type")
+    rows = long_rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in levels})
+    for depth in (2, 1, 0):
+        folded = rows.groupBy(*keys, "statistic", *levels[:depth])
+        rows = folded.agg(*[_map_of(levels[depth], c).alias(c) for c in ("value", "amount")])
+    text = F
+    for s in registry.SALE_STATISTICS.values():
+        nested = F.col("amount" if s.name in stats.WHOLE_NUMBERS else "value")
+        for i, level in enumerate(levels):
+            if level not in s.levels:
+                nested = _without(nested, [x for x in levels[:i] if x in s.levels])
+        text = text.when(F.col("statistic") == s.name, F.to_json(nested, {"ignoreNullFields": "false"}))
+    return rows.select(
+        *keys, "statistic", text.alias("result"),
+        F.lit(start).cast("string").alias("start_date"),
+        F.lit(end).cast("string").alias("end_date"),
+    )
+
+
+def _without(nested: Column, outer: Sequence[str]) -> Column:
+    """Take a level with a single entry off, below the given levels."""
+    if not outer:
+        return F.element_at(F.map_values(nested), 1)
+    return F.transform_values(nested, lambda _, inner: _without(inner, outer[1:]))
+
+
 def as_json(nested: DataFrame, column: str = "result") -> DataFrame:
     return nested.withColumn(column, F.to_json(column, {"ignoreNullFields": "false"}))
 

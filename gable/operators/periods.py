@@ -29,7 +29,9 @@ def period_rollup(
     is placed by key once and this step, the gap filling and the change over a
     year all run on that placement without another shuffle.
     """
-    monthly = monthly.filter(F.col("month").isNotNull())
+    whole = [name for name, length in grains.items() if length == 0]
+    if not whole:
+        monthly = monthly.filter(F.col("month").isNotNull())
     if keys:
         monthly = monthly.repartition(*keys)
     cells = F.array(
@@ -41,6 +43,7 @@ def period_rollup(
     return (
         monthly.withColumn("type", F.explode(F.array("type", F.lit(fixed.ALL_TYPES))))
         .select("*", F.inline(cells))
+        .filter(F.col("period").isNotNull() | F.col("grain").isin(whole))
         .groupBy(*keys, "type", "grain", "period")
         .agg(*measures)
     )
@@ -71,10 +74,12 @@ def gaps_filled(rows: DataFrame, keys: Sequence[str], values: Sequence[str], onl
 
 
 def change_over_year(rows: DataFrame, keys: Sequence[str], value: str) -> Column:
-    """Percent change to the same period a year earlier, on gap-filled rows."""
-    group = Window.partitionBy(*keys, "type", "grain").orderBy("period")
-    change = F
-    for name, length in fixed.GRAINS.items():
-        earlier = F.lag(value, 12 // length).over(group)
-        change = change.when(F.col("grain") == name, percent_change(F.col(value), earlier))
-    return change
+    """Percent change of `value` to the same period a year earlier, null if that has no row.
+
+    A frame of exactly one year back finds it at any grain and whatever periods are
+    missing, in the order that filling the gaps uses as well.
+    """
+    group = ", ".join(f"`{c}`" for c in (*keys, "type", "grain"))
+    frame = "RANGE BETWEEN INTERVAL '1' YEAR PRECEDING AND INTERVAL '1' YEAR PRECEDING"
+    before = F.expr(f"first(`{value}`) OVER (PARTITION BY {group} ORDER BY period {frame})")
+    return percent_change(F.col(value), before)

@@ -2,8 +2,10 @@
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gable.operators import rollups, stats
 
@@ -89,6 +91,25 @@ def run_statistics(
     return {s.name: s.compute(frame, keys) for s in lookup(names)}
 
 
+def run_together(frame: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The named statistics over one extraction as (statistic, keys, grain, period, type, value, amount).
+
+    Those built in share one rollup of prices and one of houses; a statistic registered
+    by the caller is computed as it says and added.
+    """
+    found = lookup(names)
+    own = [s for s in found if s.name in stats.PRICE_NEEDS or s.name in stats.SPAN_STATISTICS]
+    kinds, parts = {s.kind for s in own}, []
+    if own:
+        monthly = _by_month(frame, keys) if kinds & {PRICES, MONTHS} else None
+        parts.append(stats.together([s.name for s in own], monthly, rollups.span_rollup(frame, keys) if SPANS in kinds else None, keys))
+    for s in (s for s in found if s not in own):
+        rows = s.compute(frame, keys)
+        levels = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (("grain", "string"), ("period", "date"), ("type", "string"))]
+        parts.append(rows.select(F.lit(s.name).alias("statistic"), *keys, *levels, F.col(s.value).cast("double").alias("value"), F.lit(None).cast("bigint").alias("amount")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     rows = [
         (s.name, s.description, s.deprecated, s.deprecated_in)

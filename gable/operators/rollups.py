@@ -61,15 +61,22 @@ def span_rollup(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     The gaps between a house's consecutive sales add up to its last date minus
     its first, so min, max and count replace a sorted window: they combine
     before the shuffle and a house with very many sales stays small. Rows of all
-    types are summed per house over its types.
+    types are summed per house over its types, of which there are as many as codes.
     """
     frame = _recombined(frame, [*keys, "houseid"])
     by_type = frame.groupBy(*keys, "houseid", "type").agg(*_span_of("date"))
+    own = F.struct("type", "dated", "first", "last")
     by_house = by_type.groupBy(*keys, "houseid").agg(
-        F.sum("dated").alias("dated"), F.min("first").alias("first"), F.max("last").alias("last")
+        F.collect_list(own).alias("types"),
+        F.struct(F.lit(fixed.ALL_TYPES).alias("type"), F.sum("dated").alias("dated"), F.min("first").alias("first"), F.max("last").alias("last")).alias("every"),
     )
-    every = _spans(by_house, keys).withColumn("type", F.lit(fixed.ALL_TYPES))
-    return _spans(by_type, [*keys, "type"]).unionByName(every)
+    rows = by_house.select(*keys, F.inline(F.concat("types", F.array("every"))))
+    if not keys:
+        # The row of all types is there even when nothing was sold.
+        none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema}
+        none["type"] = F.lit(fixed.ALL_TYPES).alias("type")
+        rows = rows.unionByName(frame.sparkSession.range(1).select(*none.values()))
+    return _spans(rows, [*keys, "type"])
 
 
 def sale_gaps(frame: DataFrame, keys: Sequence[str] = ("houseid", "type")) -> DataFrame:
@@ -117,7 +124,7 @@ def _span_of(date: str) -> list[Column]:
 def _spans(per_house: DataFrame, keys: Sequence[str]) -> DataFrame:
     gap = micros_between(F.col("first"), F.col("last")).cast("decimal(18,0)")
     return per_house.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("houses"),
+        F.count("dated").alias("houses"),
         F.sum(F.greatest(F.col("dated") - 1, F.lit(0))).alias("gaps"),
         F.sum(gap).cast("decimal(28,0)").alias("gap_micros"),
     )

@@ -6,13 +6,14 @@ hold that row already; `monthly` holds the types only.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gable import fixed
 from gable.functions.temporal import MICROS_PER_DAY
-from gable.operators import periods
+from gable.operators import periods, rollups
 
 MONTHLY = {"monthly": fixed.GRAINS["monthly"]}
 
@@ -81,68 +82,99 @@ def sale_volume(monthly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def pct_change_price(monthly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Change of the mean price against a year earlier, per grain."""
     price = mean_of(F.sum("volume"), F.sum("priced")).alias("price")
-    rows = periods.gaps_filled(periods.period_rollup(monthly, keys, [price]), keys, ["price"])
-    change = periods.change_over_year(rows, keys, "price")
-    return rows.withColumn("pct_change", change).drop("price")
-
-
-def _values(*pairs: tuple[str, Column, Column]) -> Column:
-    """Explode to (statistic, value) for the pairs whose condition holds."""
-    cells = [
-        F.when(kept, F.struct(F.lit(name).alias("statistic"), value.cast("double").alias("value")))
-        for name, value, kept in pairs
+    rows = periods.period_rollup(monthly, keys, [price])
+    changed = rows.withColumn("pct_change", periods.change_over_year(rows, keys, "price"))
+    return periods.gaps_filled(changed, keys, ["pct_change"])
+
+
+#: The label of the whole range beside the grains.
+WHOLE = "whole"
+_GRAINS = tuple(fixed.GRAINS)
+#: The measures each price statistic is finished from, and the grains it is given at.
+PRICE_NEEDS = {
+    "mean_price": (("priced", "volume"), (WHOLE,)),
+    "std_house_price": (("priced", "volume", "squares"), (WHOLE,)),
+    "most_expensive_sale": (("top_price",), (WHOLE,)),
+    "count_price": (("sales",), ("monthly",)),
+    "sale_volume": (("sales", "volume"), _GRAINS),
+    "pct_change_price": (("priced", "volume"), _GRAINS),
+}
+#: Statistics that are whole numbers.
+WHOLE_NUMBERS = ("most_expensive_sale", "count_price", "sale_volume", "count_house_types")
+SPAN_STATISTICS = ("count_house_types", "avg_house_tenancy")
+
+
+def _values(*cells: tuple[str, Column, Column]) -> Column:
+    """Explode to (statistic, value, amount) for the cells whose condition holds.
+
+    `amount` is the value of a statistic in whole numbers, exact however large.
+    """
+    listed = [
+        F.when(
+            kept,
+            F.struct(
+                F.lit(name).alias("statistic"), value.cast("double").alias("value"),
+                (value if name in WHOLE_NUMBERS else F.lit(None)).cast("bigint").alias("amount"),
+            ),
+        )
+        for name, value, kept in cells
     ]
-    return F.inline(F.filter(F.array(*cells), lambda cell: cell.isNotNull()))
+    return F.inline(F.filter(F.array(*listed), lambda cell: cell.isNotNull()))
 
 
-def bundle(monthly: DataFrame, spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """All eight statistics as (statistic, keys, grain, period, type, value).
+def together(
+    names: Sequence[str], monthly: DataFrame | None, spans: DataFrame | None, keys: Sequence[str] = ()
+) -> DataFrame:
+    """The named statistics as (statistic, keys, grain, period, type, value, amount).
 
-    One pass over the monthly rollup carries the six price statistics: the whole
-    range is just one more grain. The two house statistics come from `spans`.
+    One pass over the monthly rollup carries all price statistics: it takes the measures
+    and grains they need together, the whole range as one more grain. The house
+    statistics come from `spans`. A rollup that no statistic needs may be left out.
     """
-    whole = "whole"
+    columns = ["statistic", *keys, "grain", "period", "type", "value", "amount"]
+    parts = []
+    priced = [n for n in names if n in PRICE_NEEDS]
+    if priced:
+        parts.append(_price_values(priced, monthly, keys).select(*columns))
     is_total = F.col("type") == fixed.ALL_TYPES
-    is_whole = F.col("grain") == whole
-    measures = [
-        F.sum("sales").alias("sales"),
-        F.sum("priced").alias("priced"),
-        F.sum("volume").alias("volume"),
-        F.sum("squares").alias("squares"),
-        F.max("top_price").alias("top_price"),
-    ]
-    rows = periods.period_rollup(monthly, keys, measures, {**fixed.GRAINS, whole: 0})
-    rows = rows.withColumn("price", mean_of(F.col("volume"), F.col("priced")))
-    filled = periods.gaps_filled(
-        rows, keys, ["sales", "priced", "volume", "squares", "top_price", "price"]
-    )
-    filled = filled.withColumn("pct_change", periods.change_over_year(filled, keys, "price"))
-    sold = F.col("sales").isNotNull()
-    price_values = _values(
-        ("mean_price", F.col("price"), is_whole),
-        ("std_house_price", spread_of(), is_whole),
-        ("most_expensive_sale", F.col("top_price"), is_whole & ~is_total),
-        ("count_price", F.col("sales"), F.col("grain") == "monthly"),
-        (
-            "sale_volume",
-            F.when(sold, F.coalesce(F.col("volume"), F.lit(0))),
-            ~is_whole & (is_total | sold),
+    of_spans = {
+        "count_house_types": ("count_house_types", F.col("houses"), F.lit(True)),
+        "avg_house_tenancy": ("avg_house_tenancy", days_of(F.col("gap_micros"), F.col("gaps")), is_total | (F.col("gaps") > 0)),
+    }
+    housed = [of_spans[n] for n in SPAN_STATISTICS if n in names]
+    if housed:
+        bare = [F.lit(None).cast("string").alias("grain"), F.lit(None).cast("date").alias("period")]
+        parts.append(spans.select(*keys, *bare, "type", _values(*housed)).select(*columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _price_values(names: Sequence[str], monthly: DataFrame, keys: Sequence[str]) -> DataFrame:
+    needed = {m for n in names for m in PRICE_NEEDS[n][0]}
+    grains = {g: n for g, n in {**fixed.GRAINS, WHOLE: 0}.items() if any(g in PRICE_NEEDS[x][1] for x in names)}
+    measures = [c for name, c in zip(rollups.MEASURES, rollups.summed()) if name in needed]
+    rows = periods.period_rollup(monthly, keys, measures, grains)
+    carried = [m for m in rollups.MEASURES if m in needed]
+    if "pct_change_price" in names:
+        rows = rows.withColumn("price", mean_of(F.col("volume"), F.col("priced")))
+        rows, carried = rows.withColumn("pct_change", periods.change_over_year(rows, keys, "price")), [*carried, "pct_change"]
+    if {"count_price", "sale_volume", "pct_change_price"} & set(names):
+        rows = periods.gaps_filled(rows, keys, carried)
+    is_total, is_whole = F.col("type") == fixed.ALL_TYPES, F.col("grain") == WHOLE
+    cells = {
+        "mean_price": lambda: (mean_of(F.col("volume"), F.col("priced")), is_whole),
+        "std_house_price": lambda: (spread_of(), is_whole),
+        "most_expensive_sale": lambda: (F.col("top_price"), is_whole & ~is_total),
+        "count_price": lambda: (F.col("sales"), F.col("grain") == "monthly"),
+        "sale_volume": lambda: (
+            F.when(F.col("sales").isNotNull(), F.coalesce(F.col("volume"), F.lit(0))),
+            ~is_whole & (is_total | F.col("sales").isNotNull()),
         ),
-        ("pct_change_price", F.col("pct_change"), ~is_whole),
-    )
-    columns = ["statistic", *keys, "grain", "period", "type", "value"]
-    prices = filled.select(
-        *keys, F.when(~is_whole, F.col("grain")).alias("grain"), "period", "type", price_values
-    ).select(*columns)
-    house_values = _values(
-        ("count_house_types", F.col("houses"), F.lit(True)),
-        ("avg_house_tenancy", days_of(F.col("gap_micros"), F.col("gaps")), is_total | (F.col("gaps") > 0)),
-    )
-    houses = spans.select(
-        *keys,
-        F.lit(None).cast("string").alias("grain"),
-        F.lit(None).cast("date").alias("period"),
-        "type",
-        house_values,
-    ).select(*columns)
-    return prices.unionByName(houses)
+        "pct_change_price": lambda: (F.col("pct_change"), ~is_whole),
+    }
+    grain = F.when(~is_whole, F.col("grain")).alias("grain")
+    return rows.select(*keys, grain, "period", "type", _values(*[(n, *cells[n]()) for n in names]))
+
+
+def bundle(monthly: DataFrame, spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """All eight statistics as (statistic, keys, grain, period, type, value)."""
+    return together([*PRICE_NEEDS, *SPAN_STATISTICS], monthly, spans, keys).drop("amount")

@@ -150,7 +150,7 @@ def span_rollup(
     return rollups.to_areas(by_postcode, postcodes, area_types, rollups.SPANS, total=True)
 
 
-def statistics_of(
+def statistics(
     names: Sequence[str],
     postcodes: DataFrame,
     houses: DataFrame,
@@ -158,17 +158,16 @@ def statistics_of(
     area_types: Sequence[str],
     start=None,
     end=None,
-) -> dict[str, DataFrame]:
-    """The named statistics for every area, each from the rollup it needs.
+) -> DataFrame:
+    """The named statistics for every area as long rows, planned together.
 
-    Statistics of one kind share their rollup's plan, so a query that unites
-    them shuffles the sales once per kind.
+    What they need is merged into one rollup of prices and one of houses, so sales are
+    read and summed once for each of the two, however many statistics are asked for.
     """
     tables_ = (postcodes, houses, sales, area_types, start, end)
-    rollup_of = {
-        registry.PRICES: price_rollup, registry.MONTHS: monthly_rollup, registry.SPANS: span_rollup
-    }
-    return {s.name: s.finish(rollup_of[s.kind](*tables_), AREA_KEYS) for s in registry.lookup(names)}
+    kinds = {s.kind for s in registry.lookup(names)}
+    monthly = monthly_rollup(*tables_) if kinds & {registry.PRICES, registry.MONTHS} else None
+    return stats.together(names, monthly, span_rollup(*tables_) if registry.SPANS in kinds else None, AREA_KEYS)
 
 
 def all_statistics(

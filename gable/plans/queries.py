@@ -126,30 +126,17 @@ def stats_bundle(spark, d):
 
 
 def frame_statistics(spark, d):
-    """Statistics from extracted rows through the registry, over the open range."""
+    """Statistics from extracted rows through the registry, planned together, over the open range."""
     frame = extract.sales_frame(*_tables(spark, d), area_columns=["county"])
-    found = registry.run_statistics(
-        frame, ["mean_price", "count_house_types", "avg_house_tenancy"], ["county"]
-    )
-    mean, count, tenancy = (
-        found[n].withColumnRenamed(v, "value").withColumn("statistic", F.lit(n))
-        for n, v in (
-            ("mean_price", "mean_price"), ("count_house_types", "count"), ("avg_house_tenancy", "avg_days")
-        )
-    )
-    rows = mean.unionByName(count.withColumn("value", F.col("value").cast("double"))).unionByName(tenancy)
-    return rows.withColumn("value", F.round("value", 6))
+    rows = registry.run_together(frame, ["mean_price", "count_house_types", "avg_house_tenancy"], ["county"])
+    return rows.select("county", "type", "statistic", F.round("value", 6).alias("value"))
 
 
 def area_statistics(spark, d):
     """Chosen statistics of one area, from the rows extracted for it."""
     frame = extract.sales_frame(*_tables(spark, d), "county", "County 1")
-    values = {"mean_price": "mean_price", "count_house_types": "count", "avg_house_tenancy": "avg_days"}
-    parts = [
-        rows.select("type", F.lit(name).alias("statistic"), F.round(F.col(values[name]).cast("double"), 6).alias("value"))
-        for name, rows in registry.run_statistics(frame, list(values)).items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    rows = registry.run_together(frame, ["mean_price", "count_house_types", "avg_house_tenancy"])
+    return rows.select("type", "statistic", F.round("value", 6).alias("value"))
 
 
 # Result shapes, stored results, catalogue
@@ -168,7 +155,7 @@ def stats_nested(spark, d):
 def stats_report(spark, d):
     """Four statistics of each area in their nested shapes, one row per statistic."""
     names = ["most_expensive_sale", "count_house_types", "count_price", "sale_volume"]
-    return nest.report(jobs.statistics_of(names, *_everything(spark, d)), KEYS)
+    return nest.report_together(jobs.statistics(names, *_everything(spark, d)), KEYS)
 
 
 def sale_gaps(spark, d):
