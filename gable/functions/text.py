@@ -50,6 +50,14 @@ def unpadded(text: Column, layout: str) -> Column:
     return F.nullif(F.regexp_extract(text, fixed.PADDED.format(layout), 1), F.lit(""))
 
 
+#: ASCII white space.
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def blank_to_null(text: Column) -> Column:
     """Null for blank text; other text is kept untrimmed.
 

@@ -8,6 +8,9 @@ from gable.functions import numeric, temporal, text
 from gable.operators.normalise import INTENDED, REFERENCE
 
 
+NUMBERS = ("int", "bigint", "decimal")
+
+
 def _typed(source: Column, kind: str, mode: str) -> Column:
     if kind == "key":
         return F.coalesce(source, F.lit(""))
@@ -22,19 +25,24 @@ def _typed(source: Column, kind: str, mode: str) -> Column:
         if mode == INTENDED:
             return temporal.parsed_datetime(source)
         return temporal.midnight(temporal.parsed_date(source))
-    return numeric.parsed_number(source, kind)
+    return numeric.number_of(source, kind)
 
 
 def typed(raw: DataFrame, mode: str = REFERENCE) -> DataFrame:
-    """All certificate fields under their stored name and type."""
+    """All certificate fields under their stored name and type.
+
+    Numbers are parsed in steps, each a projection of its own, so that no step is
+    evaluated again for every use of its result.
+    """
     missing = set(schemas.CERTIFICATE_HEADERS) - set(raw.columns)
     if missing:
         raise ValueError(f"certificate headers missing: {sorted(missing)}")
-    return raw.select(
+    fields = [(f, k, schemas.CERTIFICATE_RENAMES.get(f, f)) for f, k in schemas.CERTIFICATE_FIELDS]
+    trimmed = raw.select(
         *[
-            _typed(F.col(field.upper()), kind, mode).alias(
-                schemas.CERTIFICATE_RENAMES.get(field, field)
-            )
-            for field, kind in schemas.CERTIFICATE_FIELDS
+            (numeric.number_text(F.col(f.upper()), k) if k.startswith(NUMBERS) else F.col(f.upper())).alias(name)
+            for f, k, name in fields
         ]
     )
+    parsed = trimmed.select(*[_typed(F.col(name), k, mode).alias(name) for _, k, name in fields])
+    return parsed.withColumns({name: numeric.narrowed(F.col(name)) for _, k, name in fields if k == "int"})

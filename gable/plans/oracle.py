@@ -331,6 +331,11 @@ SQL: dict[str, str] = {
     "snapshot_changed": _with(("sales",), """
         SELECT against, (SELECT count(*) FROM sales) AS rows, changed FROM (VALUES
             ('same', false), ('prices one higher', true), ('a column null', true)) c(against, changed)"""),
+    "snapshot_parts": _with(("sales",), """
+        SELECT CAST(year(date) AS INT) AS part, CASE year(date) WHEN 1996 THEN 'removed' WHEN 1998 THEN 'added' ELSE 'changed' END AS change,
+               CASE WHEN year(date) <> 1996 THEN count(*) END AS sales, true AS adds_up, true AS differs
+        FROM sales GROUP BY year(date)
+        HAVING year(date) IN (1996, 1998) OR (year(date) IN (1993, 1995) AND count(*) FILTER (tui LIKE '%0') > 0)"""),
     "data_id_keys": _with(("levels",), """
         SELECT DISTINCT area_type, area,
                replace(upper(concat(area_type, '_', area, ':1996-01-01 00:00:00-2000-12-31 00:00:00')), ' ', '')
@@ -486,6 +491,13 @@ SQL: dict[str, str] = {
         SELECT CAST(number // 8 AS VARCHAR) AS tui, price, {_time('date')}, NOT new AS new, freehold, ppd_cat, houseid
         FROM first WHERE place = 1"""),
     "epc_typed": _typed_certificates(),
+    "epc_file_load": _typed_certificates(),
+    "load_skipped": _with(("kept",), """
+        , parts AS (SELECT count(*) AS whole, count(*) FILTER (substr(tui, -1, 1) IN ('1', '2', '3', '4', '5')) AS part FROM kept)
+        SELECT step, loaded, true AS noted, CASE WHEN of_part THEN part ELSE whole END AS sales FROM parts
+        CROSS JOIN (VALUES ('first', true, true), ('again', false, true), ('more', true, false), ('more again', false, false)) s(step, loaded, of_part)"""),
+    "record_flags": _with(("raw",), """
+        SELECT tui, CASE new_build WHEN 'Y' THEN true WHEN 'N' THEN false END AS new_build, CAST(NULL AS BOOLEAN) AS duration FROM raw"""),
     "epc_upsert": f"""
         SELECT lmk_key, current_energy_rating, current_energy_efficiency,
                CASE WHEN current_energy_rating = 'A' THEN 'known' ELSE tenure END AS tenure, uprn

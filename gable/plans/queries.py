@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gable import bindings as b
 from gable import fixed, schemas
+from gable.functions import text
 from gable.operators import (
     certificates,
     extract,
@@ -551,11 +552,30 @@ def snapshot_changed(spark, d):
     return reduce(DataFrame.unionByName, found).select("against", "rows", "changed")
 
 
+def snapshot_parts(spark, d):
+    """The years in which two snapshots of the sales differ, from fingerprints by year, with the sales to read again."""
+    sales = b.sales(spark, d)
+    year = F.year("date")
+    before = staged(state.part_fingerprints(sales.filter(year != 1998), year), "parts")
+    dearer = F.when(year.isin(1993, 1995) & F.col("tui").endswith("0"), 1).otherwise(0)
+    now = sales.filter(year != 1996).withColumn("price", F.col("price") + dearer)
+    parts = staged(state.part_fingerprints(now, year), "parts")
+    again = now.groupBy(year.alias("part")).agg(F.count(F.lit(1)).alias("sales"))
+    whole = (state.of_parts(parts).first() == state.fingerprint(now).first(), state.of_parts(parts).first() != state.of_parts(before).first())
+    return state.changed_parts(before, parts).join(again, "part", "left").select(
+        "part", "change", "sales", F.lit(whole[0]).alias("adds_up"), F.lit(whole[1]).alias("differs")
+    )
+
+
 # Certificates
 
 
 def epc_typed(spark, d):
-    rows = certificates.typed(b.raw_certificates(spark, d))
+    return _shown(certificates.typed(b.raw_certificates(spark, d)))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    """Decimals as doubles, dates and times as text."""
     shown = {}
     for field in rows.schema:
         kind = field.dataType.simpleString()
@@ -568,6 +588,49 @@ def epc_typed(spark, d):
     return rows.withColumns(shown)
 
 
+def _extracts(rows: DataFrame, folder: str) -> None:
+    """Certificate extracts below a folder, one file in each of its folders, as the archive has them."""
+    spark, written = rows.sparkSession, f"{folder}-written"
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**options).csv(written)
+    store.spread(spark, written, folder, ".csv", fixed.CERTIFICATE_FILE)
+
+
+def epc_file_load(spark, d):
+    """Certificates written as extracts of two header orders, one with a column more, and loaded twice."""
+    source, folder = fresh_folder(spark, "epc-extracts"), fresh_folder(spark, "epc-tables")
+    raw = b.raw_certificates(spark, d)
+    odd = F.pmod(F.xxhash64("LMK_KEY"), F.lit(2)) == 1
+    _extracts(raw.filter(odd), f"{source}/one")
+    _extracts(raw.filter(~odd).select(F.lit("x").alias("EXTRA"), *raw.columns[::-1]), f"{source}/two")
+    for _ in range(2):
+        jobs.load_certificate_files(spark, source, folder)
+    schema = certificates.typed(raw).schema
+    return _shown(tables.read_table(spark, f"{folder}/certificates", schema))
+
+
+def load_skipped(spark, d):
+    """A sale file loaded, offered again, and offered once more with further records."""
+    source, folder = fresh_folder(spark, "sale-file"), fresh_folder(spark, "sale-tables")
+    records = b.raw_sales(spark, d).select(*fixed.SALE_FILE_COLUMNS)
+    part = F.substring("tui", -2, 1).isin("1", "2", "3", "4", "5")
+    for name, rows in (("part", records.filter(part)), ("whole", records)):
+        rows.write.option("escape", '"').csv(f"{source}/{name}")
+    steps = []
+    for step, name in (("first", "part"), ("again", "part"), ("more", "whole"), ("more again", "whole")):
+        loaded = jobs.load_sales_file(spark, f"{source}/{name}", folder)
+        known = state.read_state(spark, f"{folder}/state").first()["last_ppd_file"]
+        row = tables.read_sales(spark, folder).agg(F.count(F.lit(1)).alias("sales"))
+        steps.append(staged(row.select(F.lit(step).alias("step"), F.lit(loaded).alias("loaded"), F.lit(known != "").alias("noted"), "sales"), "steps"))
+    return reduce(DataFrame.unionByName, steps)
+
+
+def record_flags(spark, d):
+    """Yes and no of the sale records; a text that is neither is unknown."""
+    flags = {c: text.yes_no(F.col(c)) for c in ("new_build", "duration")}
+    return b.raw_sales(spark, d).select("tui", *[flag.alias(c) for c, flag in flags.items()])
+
+
 def epc_upsert(spark, d):
     """Certificates added by key to a table that holds a part of them."""
     rows = certificates.typed(b.raw_certificates(spark, d))
@@ -642,8 +705,8 @@ REGISTERED: dict[str, Query] = {
         ledger_rollup, ledgers_listed, ledger_of_user, usage_stamped, usage_stamped_by_join, ledger_items, billing_run, billing_late_usage, usage_settled,
         ppd_normalise, ppd_rejects, ppd_status_split,
         ppd_upsert_postcodes, ppd_upsert_houses, ppd_upsert_sales, ppd_apply_changes,
-        keyed_insert_pruned, ppd_file_load, ppd_stream_ingest, ppd_stream_changes, ppd_stream_dedup, snapshot_changed,
-        epc_typed, epc_upsert,
+        keyed_insert_pruned, ppd_file_load, ppd_stream_ingest, ppd_stream_changes, ppd_stream_dedup, snapshot_changed, snapshot_parts,
+        epc_typed, epc_upsert, epc_file_load, load_skipped, record_flags,
         usage_stream_daily, usage_stream_windowed, usage_stream_append,
     )
 }

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # State of streams that grows with their keys stays out of the heap.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Generated code over more columns than this, as certificates have, passes the size a method may have.
+    "spark.sql.codegen.maxFields": "80",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -42,6 +42,15 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def spread(spark: SparkSession, source: str, target: str, ending: str, name: str) -> None:
+    """Move each file of a folder into a numbered folder of its own, under one name."""
+    place, files = _files(spark, source)
+    for n, found in enumerate(f.getPath() for f in files.listStatus(place) if f.getPath().getName().endswith(ending)):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}")
+        files.mkdirs(folder)
+        files.rename(found, spark._jvm.org.apache.hadoop.fs.Path(folder, name))
+
+
 def _files(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -193,6 +193,18 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert state.fingerprint(rows.limit(0)).first()["rows"] == 0
 
 
+def test_fingerprints_of_parts_add_up_and_tell_which_changed(spark):
+    rows = spark.range(1000).select(F.col("id"), F.lit("x").alias("t"), F.when(F.col("id") < 900, F.col("id") % 7).alias("p"))
+    parts = state.part_fingerprints(rows, F.col("p"))
+    assert state.of_parts(parts).first() == state.fingerprint(rows).first()
+    assert state.changed_parts(parts, state.part_fingerprints(rows.repartition(5), F.col("p"))).isEmpty()
+    other = rows.filter("p <=> null OR p <> 3").withColumn("t", F.when(F.col("id").isin(8, 950), None).otherwise(F.col("t")))
+    more = other.unionByName(other.limit(1).withColumn("p", F.lit(9)))
+    found = state.changed_parts(parts, state.part_fingerprints(more, F.col("p"))).collect()
+    assert {r["part"]: r["change"] for r in found} == {1: "changed", 3: "removed", 9: "added", None: "changed"}
+    assert state.of_parts(parts.limit(0)).first() == state.fingerprint(rows.limit(0)).first()
+
+
 def test_sales_stream_loads_each_file_once(spark, tmp_path):
     landing, folder, checkpoint = tmp_path / "landing", str(tmp_path / "tables"), str(tmp_path / "checkpoint")
     landing.mkdir()
