@@ -520,3 +520,12 @@ SQL: dict[str, str] = {
     "usage_stream_append": _with(("used",), """
         SELECT user_id, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens FROM used GROUP BY user_id"""),
 }
+
+# The same statistics over the sales as a batch of changes leaves them.
+SQL["stats_refreshed"] = SQL["stats_bundle"].replace(
+    _CTES["sales"][1],
+    _CTES["sales"][1].replace(
+        "CAST(round(o_totalprice) AS BIGINT) AS price",
+        "CAST(round(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 10 = 2 THEN 1000 ELSE 0 END AS price",
+    ) + " WHERE o_orderkey % 10 <> 1",
+)

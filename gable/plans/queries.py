@@ -22,9 +22,9 @@ from gable.operators import (
     stats,
     usage,
 )
-from gable.plans import jobs
+from gable.plans import jobs, refresh
 from gable.session import fresh_folder, staged
-from gable.sources import results, state, store, tables
+from gable.sources import results, state, store, tables, versions
 from gable.streaming import ingest
 
 LEVELS = fixed.AREA_TYPES
@@ -196,6 +196,25 @@ def stats_cached(spark, d):
     return reduce(DataFrame.unionByName, cases)
 
 
+def stats_refreshed(spark, d):
+    """All statistics from stored rollups, after a batch of additions, changes and deletions was taken in."""
+    folder, houses_, sales = fresh_folder(spark, "kept"), b.houses(spark, d), staged(b.sales(spark, d), "sales")
+    last = F.substring("tui", -1, 1)
+    batches = (
+        [(last != "3", normalise.ADD, 0)],
+        [(last == "3", normalise.ADD, 0), (last == "1", normalise.DELETE, 0), (last == "2", normalise.CHANGE, 1000)],
+    )
+    for batch in batches:
+        parts = [
+            sales.filter(kept).withColumns({"price": F.col("price") + more, "row_class": F.lit(kind)}) for kept, kind, more in batch
+        ]
+        records = reduce(DataFrame.unionByName, parts).withColumn("at", F.lit("0"))
+        versions.append(records, f"{folder}/sales", schemas.SALES, "tui", ["at"])
+        refresh.refresh(spark, folder, houses_)
+    rows = refresh.statistics(spark, folder, b.postcodes(spark, d), LEVELS, registry.supported()).drop("amount")
+    return rows.withColumn("period", iso_day("period")).withColumn("value", F.round("value", 4))
+
+
 def data_id_keys(spark, d):
     levels = extract.postcode_levels(b.postcodes(spark, d), LEVELS)
     areas = levels.select(F.inline("levels")).distinct()
@@ -698,7 +717,7 @@ REGISTERED: dict[str, Query] = {
         sales_extract, sales_of_area,
         mean_price, std_house_price, most_expensive_sale, count_house_types, avg_house_tenancy,
         count_price, count_price_wide, sale_volume, pct_change_price, stats_bundle, frame_statistics, area_statistics,
-        sale_gaps, stats_nested, stats_report, stats_store, stats_cached, data_id_keys, stats_requests, stats_requests_rejected,
+        sale_gaps, stats_nested, stats_report, stats_store, stats_cached, stats_refreshed, data_id_keys, stats_requests, stats_requests_rejected,
         houses_by_postcode, house_by_key, house_street, house_sales, linked_epcs, house_detail,
         usage_priced, usage_window, usage_trends, usage_summary, top_routes, top_routes_overall,
         current_period_tokens, billing_history, users_with_usage,

@@ -105,22 +105,39 @@ def _places(log: DataFrame) -> list[int]:
     return sorted(r[0] for r in log.select(store.BUCKET).distinct().collect())
 
 
-def fold(spark: SparkSession, path: str, schema: StructType, key: str) -> list[int]:
-    """Fold the log into the buckets it touches and drop it; returns those buckets."""
+def fold(spark: SparkSession, path: str, schema: StructType, key: str, upto: int | None = None) -> list[int]:
+    """Fold the log, or its batches up to a number, into the buckets it touches; returns those buckets."""
     store.finish_replace(spark, path, key=key)
     base, log, _ = _state(spark, path, schema)
-    upto, places = log.agg(F.max("batch")).first()[0], _places(log)
+    if upto is not None:
+        log = log.where(F.col("batch") <= upto)
+    listed, places = sorted(r[0] for r in log.select("batch").distinct().collect()), _places(log)
     if not places:
         return []
     names = _versioned(schema).fieldNames()
     mixed = base.where(F.col(store.BUCKET).isin(places)).select(*names).unionByName(log.select(*names))
     store.replace_rows(resolved(mixed, key), path, key=key)
-    store._overwrite(spark, f"{path}-folded", [(upto,)], _FOLDED)
+    store._overwrite(spark, f"{path}-folded", [(listed[-1],)], _FOLDED)
     # Readers pass over folded batches from here on.
-    store.remove(spark, f"{path}-log")
+    for batch in listed:
+        store.remove(spark, f"{path}-log/batch={batch}")
     return places
 
 
+def waiting(spark: SparkSession, path: str, schema: StructType, key: str) -> tuple[int, int, DataFrame]:
+    """The last folded batch, the last in the log, and what the log changes: `sign` -1 as it was, 1 as it will be.
+
+    Only buckets with records in the log are read.
+    """
+    base, log, folded = _state(spark, path, schema)
+    last = log.agg(F.max("batch")).first()[0]
+    names = _versioned(schema).fieldNames()
+    old = base.where(F.col(store.BUCKET).isin(_places(log))).select(*names).join(log.select(key).distinct(), key, "left_semi")
+    new = resolved(old.unionByName(log.select(*names)), key)
+    both = old.select(*names, F.lit(-1).alias("sign")).unionByName(new.select(*names, F.lit(1).alias("sign")))
+    return folded, folded if last is None else last, both.where(F.col("row_class") != DELETE).select(*schema.fieldNames(), "sign")
+
+
 def batches(spark: SparkSession, path: str, schema: StructType) -> int:
     """How many batches wait in the log."""
     return _state(spark, path, schema)[1].agg(F.countDistinct("batch")).first()[0]
