@@ -1,9 +1,12 @@
 """Small helpers shared by the operators."""
 
-from collections.abc import Iterator
+import ctypes
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,38 @@ def lowered_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def by_value(spark: SparkSession, thing: object) -> Callable[[], object]:
+    """A function that gives `thing` in a task; its classes go along, so executors need no copy of the package.
+
+    A task unpickles it once.
+    """
+    sent, held = spark.sparkContext.broadcast(cloudpickle.dumps(thing)), []
+
+    def value() -> object:
+        if not held:
+            held.append(pickle.loads(sent.value))
+        return held[0]
+
+    return value
+
+
+def releasing(run: Callable) -> Callable:
+    """The task function `run`, after which freed memory goes back to the system.
+
+    Python workers stay between tasks; what `run` held is free once it has ended, but the
+    allocators keep it.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each hold about `most` bytes at most; one text is never cut."""
     for batch in batches:

@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import ranges, small_batches, utf8
+from gable.llm.common import by_value, ranges, releasing, small_batches, utf8
 from gable.session import staged
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
-BLOCK_BYTES = 16 << 20
+#: Benchmark texts of so many bytes are searched in one pass; indexed they take some 60 times as much memory.
+BLOCK_BYTES = 1 << 20
 SAMPLED = 8
 
 #: A-Z to lower case; bytes that are not a letter, a digit or part of a non-ASCII character to blanks.
@@ -247,11 +248,11 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     ]
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
     blocks = _blocks(benchmark, block_bytes)
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
 
     def search(phrases_of, carried):
         def run(batches):
-            phrases = phrases_of.value
+            phrases = phrases_of()
             for whole in batches:
                 for batch in small_batches(iter([whole]), text):
                     lists = [words_of(t) for t in utf8(batch.column(text))]
@@ -274,10 +275,10 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
     found = docs
     for i, block in enumerate(blocks):
-        phrases = sc.broadcast(Phrases([(r["item"], r["body"].encode()) for r in block.toLocalIterator()], window))
+        phrases = by_value(spark, Phrases([(r["item"], r["body"].encode()) for r in block.toLocalIterator()], window))
         last = i + 1 == len(blocks)
         carried = carry if last else docs.columns
-        found = found.mapInArrow(search(phrases, carried), docs.select(*[F.col(f"`{c}`") for c in carried], *more).schema)
+        found = found.mapInArrow(releasing(search(phrases, carried)), docs.select(*[F.col(f"`{c}`") for c in carried], *more).schema)
         if not last:
             found = staged(found, "decontaminate")
     return found

@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import lowered_words, small_batches, utf8, whole_text
-from gable.session import staged
+from gable.llm.common import lowered_words, releasing, small_batches, utf8, whole_text
+from gable.session import discard, staged
 
 N = 5
 #: Similarity of at least PART / WHOLE.
@@ -158,7 +158,7 @@ def frequent_shingles(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndar
             found = sets_of(utf8(batch.column("text")), hashes)
             yield pa.RecordBatch.from_pydict({"s": signed(np.concatenate(found))})
 
-    several = picked.select("text").repartition(8).mapInArrow(run, "s bigint").groupBy("s").count().where("count > 2")
+    several = picked.select("text").repartition(8).mapInArrow(releasing(run), "s bigint").groupBy("s").count().where("count > 2")
     top = several.orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
     top.sort(key=lambda r: r["s"])
     return np.array([r["s"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
@@ -194,7 +194,7 @@ def look(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 names=["doc_id", "text_hash", "n_shingles", "node", "point", "prefix"],
             )
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, LOOKS)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(releasing(run), LOOKS)
 
 
 def flagged(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
@@ -229,7 +229,7 @@ def sets_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    return staged(texts.select("text").mapInArrow(run, "node bigint, size bigint, fine binary, elements binary").dropDuplicates(["node"]), "sets")
+    return staged(texts.select("text").mapInArrow(releasing(run), "node bigint, size bigint, fine binary, elements binary").dropDuplicates(["node"]), "sets")
 
 
 # Pairs.
@@ -249,7 +249,7 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     near = (F.col("na") * PART <= F.col("nb") * WHOLE) & (F.col("nb") * PART <= F.col("na") * WHOLE)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def finely_bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def finely_bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(bool(similar(int(np.minimum(one, other).sum(dtype=np.int64)), m, n)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep.append(bool(similar(int((other[at] == one).sum()), len(one), len(other))))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def tree_pairs(members: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def tree_pairs(members: DataFrame) -> DataFrame:
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
+    return sorted_.mapInArrow(releasing(run), "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -363,13 +363,18 @@ def components(links: DataFrame) -> DataFrame:
         step = staged(step, "components")
         rounds.append(step)
         moved = edges.join(step.select(F.col("node").alias("a"), F.col("parent").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("parent").alias("y")), "b")
+        before = edges
         edges = staged(moved.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if before is not links:
+            discard(before)
         if edges.isEmpty():
             break
     found = rounds[0].select("node", F.col("parent").alias("root"))
     for step in rounds[1:]:
         found = found.join(step.select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
-    return staged(found, "roots")
+    roots = staged(found, "roots")
+    discard(edges, *rounds)
+    return roots
 
 
 def rooted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -388,10 +393,14 @@ def rooted(docs: DataFrame, text: str = "text") -> DataFrame:
     points = staged(points.join(asked, "node", "left_semi").dropDuplicates(["node"]), "points")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Verified pairs; only sets of nodes in pairs that passed the bound are fetched."""
+        """Verified pairs; only sets of nodes in pairs that passed the bound are fetched. Uses the pairs up."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = sets_for(docs, points.join(nodes, "node", "left_semi").select("node", "text_hash"))
-        return staged(verified(staged(finely_bounded(pairs, sets), "candidates"), sets), "links")
+        few = staged(finely_bounded(pairs, sets), "candidates")
+        discard(pairs)
+        links = staged(verified(few, sets), "links")
+        discard(few, sets)
+        return links
 
     ends = members.select(F.explode(F.array("head", "last")).alias("a"), F.col("node").alias("b"))
     stars = ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -401,8 +410,13 @@ def rooted(docs: DataFrame, text: str = "text") -> DataFrame:
     open_ = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     rest = placed.join(open_, "key", "left_semi").join(points.drop("text_hash"), "node")
     left = staged(tree_pairs(rest), "candidates")
+    discard(members)
     if not left.isEmpty():
-        roots = components(links.union(linked(left)))
+        more = linked(left)
+        discard(roots)
+        roots = components(links.union(more))
+        discard(more)
+    discard(links, points)
     named = looks.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gable.llm.common import ranges, row_sums, small_batches
+from gable.llm.common import by_value, ranges, row_sums, small_batches
 from gable.session import staged
 
 #: At most so many documents of each language are used to fit the models.
@@ -251,10 +251,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     carry = docs.columns if carry is None else carry
     more = [F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(True).alias("accepted")]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = by_value(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, letter = sent.value, letters_table()
+        known, letter = sent(), letters_table()
         for batch in small_batches(batches, text, 2 << 20):
             texts = Texts([t or "" for t in batch.column(text).to_pylist()], letter)
             if known.languages:

@@ -307,10 +307,10 @@ class Model:
 
 def learn_over(docs: DataFrame, model: Model, rate: float, one_task: bool) -> dict[str, np.ndarray]:
     """Parameters after every task has learned from its documents, averaged by tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.net, model.number))
+    sent = by_value(docs.sparkSession, (model.net, model.number))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, number = sent.value
+        start, number = sent()
         net, seen = Bilinear(start.noise, tree=start.tree), 0
         net.p = {k: x.copy() for k, x in start.p.items()}
         for batch in small_batches(batches, "text", 4 << 20):
@@ -406,11 +406,11 @@ def score(docs: DataFrame, learnable: Column, text: str = "text", rows: int = FI
     if model.total:
         model.net.p = learn_over(bounded_sample(learn, [F.col("text")], rows), model, 0.1, True)
         model.net.p = learn_over(learn, model, 0.05, False)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = by_value(docs.sparkSession, model)
     names = kept.columns
 
     def finish(rows: pa.Table, sizes: np.ndarray, flat: np.ndarray, found: list) -> pa.Table:
-        m = sent.value
+        m = sent()
         count = np.array([n for n, _ in found], float)
         word = np.array([m.others[w] if isinstance(w, int) else m.number[w] for _, w in found], np.int64)
         base = np.log10((count + 0.1) / (m.total + 0.1 * (m.kinds + 1)))

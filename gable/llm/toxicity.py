@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import small_batches
+from gable.llm.common import releasing, small_batches
 
 #: At most so many labelled documents are used to fit the model, those first by a hash of the id.
 FIT_ROWS = 12_000
@@ -248,4 +248,4 @@ def score(docs: DataFrame, model: tuple[list[tuple[str, int]], np.ndarray], text
             result = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(result)], names=[*carry, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
