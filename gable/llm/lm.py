@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gable.llm import wordblocks
-from gable.llm.common import bounded_sample, lowered_words, row_sums, small_batches, utf8, whole_text
+from gable.llm.common import bounded_sample, by_value, lowered_words, row_sums, small_batches, utf8, whole_text
+from gable.llm.wordblocks import pack, unpack  # by name: a task function must not refer to the module
 from gable.session import staged
 
 #: So many of the most frequent words are told apart without the tree.
@@ -358,14 +359,14 @@ def counts_of(blocks: DataFrame, least: int) -> tuple[DataFrame, Model]:
     def summary(words: list[bytes], totals: np.ndarray) -> bytes:
         of = np.array([cell_of(w) for w in words], np.int64)
         sums = np.column_stack([np.bincount(of, totals, CLASSES * CELLS), np.bincount(of, totals > 0, CLASSES * CELLS)])
-        return wordblocks.pack((sums, [(w, -n) for n, w in most_frequent(words, totals, least)]))
+        return pack((sums, [(w, -n) for n, w in most_frequent(words, totals, least)]))
 
     answers = staged(wordblocks.answer(blocks, about, summary), "counts")
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("data"):
-                sums, top = wordblocks.unpack(data.as_py())
+                sums, top = unpack(data.as_py())
                 n, kinds = sums.astype(np.int64).T.tolist()
                 rows = {
                     "cell": pa.array([*range(len(n)), *[None] * len(top)], pa.int32()),
