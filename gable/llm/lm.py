@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gable.llm import wordblocks
-from gable.llm.common import bounded_sample, by_value, lowered_words, row_sums, small_batches, utf8, whole_text
+from gable.llm.common import bounded_sample, by_value, lowered_words, small_batches, utf8, whole_text
 from gable.llm.wordblocks import pack, unpack  # by name: a task function must not refer to the module
 from gable.session import staged
 
@@ -50,6 +50,8 @@ FIT_ROWS = 1_000
 #: Each bucket names its most frequent words as candidates for the vocabulary.
 PROPOSED = 64
 #: Parameters travel in parts of so many.
+#: Learnable text of so many bytes is learned from in one shard, by a hash of the document.
+SHARD_BYTES = 16 << 20
 PART = 1 << 12
 END = b""
 
@@ -306,31 +308,42 @@ class Model:
         self.net = Bilinear(shares / shares.sum(), tree=Tree(sizes, mass))
 
 
-def learn_over(docs: DataFrame, model: Model, rate: float, one_task: bool) -> dict[str, np.ndarray]:
-    """Parameters after every task has learned from its documents, averaged by tokens."""
+def own_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches, none of them empty: each from its own values alone, whatever stands around."""
+    values = np.asarray(values)
+    return np.add.reduceat(values, np.cumsum(lengths) - lengths, dtype=np.float64) if len(lengths) else np.zeros(0)
+
+
+def learn_over(docs: DataFrame, model: Model, rate: float) -> dict[str, np.ndarray]:
+    """Parameters after every shard has learned from its documents, averaged by tokens.
+
+    `docs` has text, `_shard` and `_order`, which follow from the documents alone, and so
+    does the result, however the rows are dealt to tasks.
+    """
     sent = by_value(docs.sparkSession, (model.net, model.number))
+    schema = "shard bigint, at int, value binary, weight double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: pa.Table) -> pa.Table:
         start, number = sent()
-        net, seen = Bilinear(start.noise, tree=start.tree), 0
+        net, seen, shard = Bilinear(start.noise, tree=start.tree), 0, rows.column("_shard")[0].as_py()
         net.p = {k: x.copy() for k, x in start.p.items()}
-        for batch in small_batches(batches, "text", 4 << 20):
+        ordered = rows.sort_by([("_order", "ascending"), ("text", "ascending")]).combine_chunks()
+        for batch in small_batches(iter(ordered.to_batches()), "text", 4 << 20):
             words, sizes = numbered(utf8(batch.column("text")), number)
             first, second = contexts(words, sizes, net.start)
             net.learn(first, second, words, rate)
             seen += len(words)
-        if seen:
-            flat = np.concatenate([net.p[k].ravel() for k in sorted(net.p)])
-            parts = [flat[a : a + PART].tobytes() for a in range(0, len(flat), PART)]
-            yield pa.RecordBatch.from_pydict({"at": np.arange(len(parts), dtype=np.int32), "value": pa.array(parts, pa.binary()), "weight": np.full(len(parts), float(seen))})
+        flat = np.concatenate([net.p[k].ravel() for k in sorted(net.p)])
+        parts = [flat[a : a + PART].tobytes() for a in range(0, len(flat), PART)]
+        return pa.table({"shard": np.full(len(parts), shard), "at": np.arange(len(parts), dtype=np.int32), "value": pa.array(parts, pa.binary()), "weight": np.full(len(parts), float(seen))})
 
     def averaged(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("shard")  # sums of floats depend on their order
         weight = rows.column("weight").to_numpy()
         value = sum(np.frombuffer(x.as_py(), np.float32) * w for x, w in zip(rows.column("value"), weight)) / weight.sum()
         return pa.table({"at": rows.column("at")[:1], "value": pa.array([value.astype(np.float32).tobytes()], pa.binary())})
 
-    docs = docs.repartition(1) if one_task else docs
-    found = docs.mapInArrow(run, "at int, value binary, weight double").groupBy("at").applyInArrow(averaged, "at int, value binary")
+    found = docs.select("text", "_shard", "_order").groupBy("_shard").applyInArrow(run, schema).groupBy("at").applyInArrow(averaged, "at int, value binary")
     rows = sorted(found.collect())  # together as large as the model's parameters
     if not rows:
         return model.net.p
@@ -394,19 +407,23 @@ def score(docs: DataFrame, learnable: Column, text: str = "text", rows: int = FI
     Tokens are words with A-Z in lower case and one end; null texts are empty and have
     the end alone. The model learns from the rows that are `learnable`; without any,
     counts are 0 and the base score is 0. Logarithms are to the base 10. Equal texts
-    score the same. Columns of the input called like the new ones are replaced.
+    score the same, and scores follow from the set of rows, not from how they are dealt to
+    tasks, both up to the rounding of float32 products (some 1e-7 a token). Columns of the input called like the new ones are replaced.
     """
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]).withColumn(text, whole_text(F.col(text)))
     kept = docs.drop(text)
     marked = docs.withColumn("_learn", learnable)
     blocks = wordblocks.cut(marked, text, lambda column: [tokens_of(t) for t in utf8(column)], "_learn", block_tokens)
-    learn = marked.where("_learn").select(F.col(text).alias("text"))
+    order = F.xxhash64(F.lit(5), F.col(text), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c.lower() == "doc_id"])
+    learn = marked.where("_learn").select(F.col(text).alias("text"), order.alias("_order"))
     size = learn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     answers, model = counts_of(blocks, max(LEAST, math.ceil(size * SHARE)))
     if model.total:
-        model.net.p = learn_over(bounded_sample(learn, [F.col("text")], rows), model, 0.1, True)
-        model.net.p = learn_over(learn, model, 0.05, False)
+        first = bounded_sample(learn, [F.col("text"), F.col("_order")], rows).withColumn("_shard", F.lit(0).cast("bigint"))
+        model.net.p = learn_over(first, model, 0.1)
+        shards = math.ceil(size / SHARD_BYTES)
+        model.net.p = learn_over(learn.withColumn("_shard", F.pmod(F.xxhash64("_order"), F.lit(shards))), model, 0.05)
     sent = by_value(docs.sparkSession, model)
     names = kept.columns
 
@@ -421,7 +438,7 @@ def score(docs: DataFrame, learnable: Column, text: str = "text", rows: int = FI
         first, second = contexts(word[flat], sizes, m.net.start)
         own = m.net.score(first, second, word[flat]).astype(float) / np.log(10) + share[flat]
         out = rows.select(names)
-        columns = (sizes, row_sums(count[flat] > 0, sizes).astype(np.int64), np.full(len(sizes), m.total), row_sums(base[flat], sizes), row_sums(own, sizes))
+        columns = (sizes, own_sums(count[flat] > 0, sizes).astype(np.int64), np.full(len(sizes), m.total), own_sums(base[flat], sizes), own_sums(own, sizes))
         for name, values in zip(new, columns):
             out = out.append_column(name, pa.array(values))
         return out
