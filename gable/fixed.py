@@ -27,6 +27,9 @@ TOKEN_PRICES = {
 PERIOD_END_DAY = 28
 PERIOD_DAYS = 28
 
+# Message of a bill for a user without open usage.
+NO_USAGE = "User has no usage recorded"
+
 # Column order of the headerless sales file.
 SALE_FILE_COLUMNS = (
     "tui", "price", "date", "postcode", "property_type", "new_build", "duration",

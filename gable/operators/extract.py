@@ -14,7 +14,7 @@ COLUMNS = ("price", "date", "type", "paon", "saon", "postcode", "street", "town"
 def checked_area_types(area_types: Sequence[str]) -> list[str]:
     for area_type in area_types:
         if area_type not in fixed.AREA_TYPES:
-            raise ValueError(f"Invalid area_type: {area_type}")
+            raise ValueError(f"no area level {area_type!r}; there are {list(fixed.AREA_TYPES)}")
     return list(area_types)
 
 

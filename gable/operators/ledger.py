@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gable import schemas
+from gable import fixed, schemas
 from gable.functions.temporal import millis_between, moment
 
 
@@ -77,7 +77,7 @@ def ledger_of_user(usage: DataFrame, user_id, upto) -> DataFrame:
     """The ledger of one user; raises when there is nothing to bill."""
     ledger = rolled_up(usage.filter(F.col("user_id") == user_id), upto)
     if ledger.isEmpty():
-        raise NoUsage("User has no usage recorded")
+        raise NoUsage(fixed.NO_USAGE)
     return ledger
 
 
@@ -85,10 +85,10 @@ def ledgers_of_users(usage: DataFrame, users: DataFrame, wanted: DataFrame, upto
     """Ledgers of the listed users; raises on an unknown user or one without usage."""
     keys = wanted.select("user_id").distinct()
     if not keys.join(users, "user_id", "left_anti").isEmpty():
-        raise ValueError("Invalid user ID")
+        raise ValueError("users to bill who are not among the users")
     ledgers = rolled_up(usage.join(keys, "user_id", "left_semi"), upto)
     if not keys.join(ledgers, "user_id", "left_anti").isEmpty():
-        raise NoUsage("User has no usage recorded")
+        raise NoUsage(fixed.NO_USAGE)
     return ledgers
 
 

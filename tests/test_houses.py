@@ -129,5 +129,5 @@ def test_extraction_filters(spark, town):
 
 
 def test_unknown_area_type_is_refused(town):
-    with pytest.raises(ValueError, match="Invalid area_type: street"):
+    with pytest.raises(ValueError, match="no area level .street."):
         extract.sales_frame(town["postcodes"], town["houses"], town["sales"], "street", "x")
