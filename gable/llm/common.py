@@ -53,6 +53,11 @@ def by_value(spark: SparkSession, thing: object) -> Callable[[], object]:
     return value
 
 
+def small_arrow(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Spark hand rows to Python in batches of this many: of texts, its default holds much memory on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def releasing(run: Callable) -> Callable:
     """The task function `run`, after which freed memory goes back to the system.
 

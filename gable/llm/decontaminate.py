@@ -254,7 +254,7 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         def run(batches):
             phrases = phrases_of()
             for whole in batches:
-                for batch in small_batches(iter([whole]), text):
+                for batch in small_batches(iter([whole]), text, 1 << 20):
                     lists = [words_of(t) for t in utf8(batch.column(text))]
                     earlier = "spans" in batch.schema.names
                     spans, items = [], []
