@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gable import fixed, schemas
 from gable.operators import certificates, normalise
 from gable.plans import jobs
-from gable.sources import files, state, store, tables, versions
+from gable.sources import files, state, store, tables
 from gable.streaming import ingest
 
 
