@@ -1,6 +1,7 @@
 """Byte-level BPE over the distinct words of the corpus.
 
-Texts are split into pre-tokens by the pattern; pre-tokens with their positions stay
+Texts are split into pre-tokens by the pattern, each distinct piece of a block that
+begins with a space once; pre-tokens with their positions stay
 in blocks of documents while each block's distinct words go to the bucket of their
 hash (`wordblocks`). There every distinct word is encoded once by the merge ranks, its
 ids go back to the blocks that hold it, and the blocks put the ids in the place of
@@ -26,6 +27,8 @@ from gable.llm.common import ranges, whole_text
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: White space as the rank files' library has it, whatever the regular expression module takes it for.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+#: A space behind other white space.
+SPACE_BEHIND = r"[\p{Z}\t-\r\x{85}] "
 
 
 def read_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -37,6 +40,32 @@ def pretokens(text: str) -> list[str]:
     return regex.findall(PATTERN, text)
 
 
+def pieces(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pieces of a column of texts, the piece at each place, and the places of each text.
+
+    No pre-token holds a space behind a character that is not white space, and none looks
+    back, so a text is cut before its spaces and each piece split alone. A text with a
+    space behind other white space is one piece.
+    """
+    split = pa.compute.split_pattern(column, " ")
+    coded = split.flatten().dictionary_encode()
+    words, at, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
+    starts, places = ends[:-1], np.diff(ends).astype(np.int64)
+    # The first piece of a text has no space before it.
+    heads, of_head = np.unique(at[starts], return_inverse=True)
+    at[starts] = len(words) + of_head
+    found = [*[" " + w for w in words], *[words[i] for i in heads]]
+    uncut = np.flatnonzero(pa.compute.match_substring_regex(column, SPACE_BEHIND).to_numpy(zero_copy_only=False))
+    if len(uncut):
+        at[starts[uncut]] = len(found) + np.arange(len(uncut))
+        found += column.take(pa.array(uncut)).to_pylist()
+        stays = np.ones(len(at), bool)
+        stays[ranges(starts[uncut] + 1, places[uncut] - 1)] = False
+        at, places[uncut] = at[stays], 1
+    used = np.bincount(at, minlength=len(found)) > 0
+    return [w for w, u in zip(found, used.tolist()) if u], (np.cumsum(used) - 1)[at], places
+
+
 def whole_words(ranks: dict[bytes, int]) -> tiktoken.Encoding:
     """Encodes what it is given as one pre-token."""
     return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
@@ -54,9 +83,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", block_t
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     made: list[tiktoken.Encoding] = []
 
-    def tokens_of(column: pa.Array) -> list[list[str]]:
-        split = regex.compile(PATTERN).findall
-        return [[w.encode() for w in split(t)] for t in column.to_pylist()]
+    split: list = []
+
+    def words_of(piece: str) -> list[bytes]:
+        if not split:
+            split.append(regex.compile(PATTERN).findall)
+        return [w.encode() for w in split[0](piece)]
 
     def about(words: list[bytes], _: np.ndarray) -> list[list[int]]:
         if not made:
@@ -72,7 +104,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", block_t
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
         return rows.append_column("n_tokens", pa.array(np.diff(ends))).append_column("ids", lists)
 
-    blocks = wordblocks.cut(docs, text, tokens_of, block_tokens=block_tokens, written=False)
+    blocks = wordblocks.cut(docs, text, block_tokens=block_tokens, written=False, parts_of=pieces, words_of=words_of)
     return wordblocks.join_back(blocks, wordblocks.answer(blocks, about), schema, finish)
 
 

@@ -15,6 +15,7 @@ that bucket in the order of their numbers.
 import hashlib
 import pickle
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import small_batches
+from gable.llm.common import ranges, small_batches
 from gable.session import staged
 
 BLOCK_TOKENS = 1 << 20
@@ -55,11 +56,23 @@ def rows_of(block: int, bucket: list[int], data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block] * len(bucket), pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=_NAMES)
 
 
-def cut(docs: DataFrame, text: str, tokens_of: Callable[[pa.Array], list[list[bytes]]], counted: str | None = None, block_tokens: int = BLOCK_TOKENS, written: bool = True) -> DataFrame:
+def cut(
+    docs: DataFrame,
+    text: str,
+    tokens_of: Callable[[pa.Array], list[list[bytes]]] | None = None,
+    counted: str | None = None,
+    block_tokens: int = BLOCK_TOKENS,
+    written: bool = True,
+    parts_of: Callable[[pa.Array], tuple[list, np.ndarray, np.ndarray]] | None = None,
+    words_of: Callable[[object], list[bytes]] | None = None,
+) -> DataFrame:
     """The blocks of `docs`; columns other than `text` travel with the block.
 
     `tokens_of` turns a column of texts into tokens, and `counted` names a boolean
-    column: occurrences in its true rows are counted for each word.
+    column: occurrences in its true rows are counted for each word. Where texts fall into
+    parts that repeat and can be split alone, `parts_of` gives a column's distinct parts,
+    the part at each place and the places of each text, and `words_of` the tokens of a
+    part, which is then split once in a block.
     """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
@@ -69,6 +82,23 @@ def cut(docs: DataFrame, text: str, tokens_of: Callable[[pa.Array], list[list[by
         tokens: list[np.ndarray] = []
         number: defaultdict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
+        known: dict[object, int] = {}
+        pool, bounds = array("q"), array("q", [0])
+
+        def numbered(column: pa.Array) -> list[np.ndarray]:
+            if parts_of is None:
+                return [np.fromiter(map(number.__getitem__, x), np.int64, len(x)) for x in tokens_of(column)]
+            parts, at, places = parts_of(column)
+            for part in parts:
+                if part not in known:
+                    known[part] = len(known)
+                    pool.extend(map(number.__getitem__, words_of(part)))
+                    bounds.append(len(pool))
+            of = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))[at]
+            ends = np.array(bounds, np.int64)
+            sizes = np.diff(ends)[of]
+            flat = np.array(pool, np.int64)[ranges(ends[of], sizes)]
+            return np.split(flat, np.r_[0, np.cumsum(sizes)][np.cumsum(places)[:-1]])
 
         def flush() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held)
@@ -99,12 +129,14 @@ def cut(docs: DataFrame, text: str, tokens_of: Callable[[pa.Array], list[list[by
                 yield rows_of(block, present[a : a + 2000].tolist(), data)
 
         for batch in small_batches(batches, text, 4 << 20):
-            tokens += [np.fromiter(map(number.__getitem__, x), np.int64, len(x)) for x in tokens_of(batch.column(text))]
+            tokens += numbered(batch.column(text))
             held.append(batch.drop_columns([text]))
             if sum(map(len, tokens)) >= block_tokens:
                 yield from flush()
                 held, tokens = [], []
                 number.clear()
+                known.clear()
+                del pool[:], bounds[1:]
         if held:
             yield from flush()
 
