@@ -10,7 +10,6 @@ range; adding the sizes of the ranges before gives its start in the whole corpus
 import os
 import unicodedata
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gable.llm.common import ranges, small_batches, utf8, whole_text
+from gable.llm.common import ranges, small_batches, whole_text
 from gable.session import fresh_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -78,8 +77,8 @@ class Encoder:
     def forget(self) -> None:
         self.number: defaultdict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.parts: dict[bytes, list[int]] = {}
-        self.pool, self.starts, self.sizes = array("i"), array("q"), array("q")
+        self.parts: dict[bytes, list[int]] = {b"": []}
+        self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def learn(self, parts: list[bytes]) -> None:
         """Ids of parts: a lone word by the vocabulary's merges at once, others through all steps."""
@@ -98,30 +97,47 @@ class Encoder:
             else:  # a part holds the control character itself
                 known.update((x, self.library(x.decode())) for x in some)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each text has."""
+    def runs_of(self, column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct runs of a column of texts, the run at each place, and where each text's places end.
+
+        White space at either end of a text leaves an empty run. Special tokens are found
+        before letters are lowered, so a run that may hold one stays as it is.
+        """
+        special = pa.compute.any(pa.compute.match_substring(column, "<|")).as_py()
+        split = pa.compute.ascii_split_whitespace(column if special else pa.compute.ascii_lower(column))
+        coded = split.flatten().dictionary_encode()
+        runs = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        if special:
+            runs = [r if b"<|" in r else r.lower() for r in runs]
+        return runs, coded.indices.to_numpy(), split.offsets.to_numpy()
+
+    def encode(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has; a null text has none."""
         if len(self.number) > REMEMBERED:  # bounded memory; runs are simply encoded again
             self.forget()
-        # Special tokens are found before letters are lowered.
-        lists = [t.lower().split() if b"<|" not in t else [r if b"<|" in r else r.lower() for r in t.split()] for t in texts]
-        runs = np.array([len(x) for x in lists], np.int64)
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64, int(runs.sum()))
-        cut = []
-        for run in islice(self.number, len(self.starts), None):
-            core = run.rstrip(PUNCTUATION)
-            cut.append((core, run[len(core) :]) if core != run and core[-1:].isalnum() and b"<|" not in run else (run, b""))
-        self.learn(list(dict.fromkeys(x for pair in cut for x in pair if x and x not in self.parts)))
-        for core, tail in cut:
-            self.starts.append(len(self.pool))
-            self.pool.extend(self.parts[core])
-            if tail:
-                self.pool.extend(self.parts[tail])
-            self.sizes.append(len(self.pool) - self.starts[-1])
-        sizes = np.array(self.sizes, np.int64)[at]
-        ids = np.array(self.pool, np.int32)[ranges(np.array(self.starts, np.int64)[at], sizes)]
-        ends = np.r_[0, np.cumsum(sizes)]
-        last = np.cumsum(runs)
-        return ids, ends[last] - ends[last - runs]
+        column = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
+        runs, places, last = self.runs_of(column.cast(pa.string()).fill_null(""))
+        at = np.fromiter(map(self.number.__getitem__, runs), np.int64, len(runs))[places]
+        cores, tails = [], []
+        for run in islice(self.number, len(self.ends) - 1, None):
+            core, tail = run.rstrip(PUNCTUATION), b""
+            if core != run:
+                if core[-1:].isalnum() and b"<|" not in run:
+                    tail = run[len(core) :]
+                else:
+                    core = run
+            cores.append(core)
+            tails.append(tail)
+        self.learn([x for x in {*cores, *tails} if x not in self.parts])
+        ids_of = self.parts.__getitem__
+        pairs = list(zip(map(ids_of, cores), map(ids_of, tails)))
+        sizes = np.fromiter((len(a) + len(b) for a, b in pairs), np.int64, len(pairs))
+        added = np.fromiter(chain.from_iterable(chain.from_iterable(pairs)), np.int32, int(sizes.sum()))
+        self.pool = np.concatenate([self.pool, added])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        sizes = np.diff(self.ends)[at]
+        ids = self.pool[ranges(self.ends[at], sizes)]
+        return ids, np.diff(np.r_[0, np.cumsum(sizes)][last])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, range_bytes: int = RANGE_BYTES) -> None:
@@ -144,9 +160,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
         from tokenizers import Tokenizer
 
         part, start, encoder = TaskContext.get().partitionId(), 0, None
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", 8 << 20):
             encoder = encoder or Encoder(Tokenizer.from_str(vocabulary.value))
-            ids, sizes = encoder.encode(utf8(batch.column("text")))
+            ids, sizes = encoder.encode(batch.column("text"))
             behind = np.cumsum(sizes)
             ids = np.insert(ids, behind, end)
             offsets = np.r_[0, behind + np.arange(1, len(sizes) + 1)]
