@@ -1,12 +1,8 @@
 """Streams: sale files into tables, usage events into a table and daily totals."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from gable.operators import normalise
@@ -67,42 +63,41 @@ def load_stream(rows: DataFrame, folder: str, checkpoint: str, mode: str = norma
     )
 
 
-def first_of_keys(rows: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
-    """Of a stream the first row of each key: of its first batch, and there by the given order.
+def with_new_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of a stream, and for each key that no earlier batch had one more row, with `_new`.
 
-    Which keys came before is kept in the state store, a flag for each, so no batch reads
-    the rows written earlier. Of the rows of one batch Spark's own deduplication would keep
-    any, hence the function.
+    Which keys came before is kept in the state store, a flag for each, by Spark's own deduplication.
     """
-    rest = [c for c in columns if c not in (key, *order)]
+    new = rows.select(key).dropDuplicates([key]).withColumn("_new", F.lit(True))
+    return rows.withColumn("_new", F.lit(False)).unionByName(new, allowMissingColumns=True)
+
 
-    def first(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = None
-        for part in parts:
-            if not state.exists:
-                both = part if best is None else pd.concat([best, part])
-                best = both if len(both) == 1 else both.sort_values([*order, *rest], na_position="first").head(1)
-        if not state.exists and best is not None:
-            state.update((True,))
-            yield best
+def first_of_new(batch: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
+    """Of a batch of `with_new_keys` the first row of each new key, by the given order and then the other columns.
 
-    schema = rows.select(*columns).schema
-    seen = "seen boolean"
-    return rows.select(*columns).groupBy(key).applyInPandasWithState(first, schema, seen, "append", GroupStateTimeout.NoTimeout)
+    Spark's own deduplication would keep any of the batch's rows, hence the order. A minimum, so
+    that each task keeps one row of a key.
+    """
+    rest = [*order, *[c for c in columns if c not in (key, *order)]]
+    first = F.min(F.when(~F.col("_new"), F.struct(*rest))).alias("_first")
+    found = batch.groupBy(key).agg(first, F.max("_new").alias("_new")).where("_new")
+    return found.select(key, "_first.*").select(*columns)
 
 
 def ingest_first(rows: DataFrame, path: str, key: str, schema: StructType, order: list[str], checkpoint: str) -> StreamingQuery:
     """Keep the first row of each key of a stream, in a folder a batch that repeating the batch overwrites.
 
-    The table is never read. `rows` need the columns of the schema.
+    Of a key's first batch the first row by `order` stays. The table is never read. `rows` need
+    the columns of the schema.
     """
     require_utc(rows.sparkSession)
+    columns = schema.fieldNames()
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        first_of_new(batch, key, columns, [c for c in order if c != key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        first_of_keys(rows, key, schema.fieldNames(), order)
+        with_new_keys(rows.select(*columns), key)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")

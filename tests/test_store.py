@@ -233,3 +233,16 @@ def test_stream_keeps_the_first_of_each_key_over_restarts(spark, tmp_path):
     stream(sale("d", 1, 1))
     found = {r["tui"]: r["price"] for r in tables.read_table(spark, path, schemas.SALES).collect()}
     assert found == {"a": 3, "b": 1, "c": 2, "d": 1}
+
+
+def test_stream_deduplication_runs_no_python_for_each_key(spark, tmp_path):
+    landing, path = str(tmp_path / "in"), str(tmp_path / "sales")
+    nulls = ("n", None, datetime(2020, 1, 2), None, True, "A", "h")
+    for rows in ([sale("a", 4, 2), sale("a", 3, 2), sale(None, 2, 3), sale(None, 1, 4), nulls, sale("n", 1, 2)], [sale(None, 0, 1), sale("b", 7, 7), sale("a", 0, 1)]):
+        spark.createDataFrame(rows, schemas.SALES).coalesce(1).write.mode("append").parquet(landing)
+    source = spark.readStream.schema(schemas.SALES).option("maxFilesPerTrigger", 1).parquet(landing)
+    query = ingest.ingest_first(source, path, "tui", schemas.SALES, tables.FIRST, str(tmp_path / "state"))
+    query.awaitTermination()
+    assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"dedupe"}
+    found = {r["tui"]: r["price"] for r in tables.read_table(spark, path, schemas.SALES).collect()}
+    assert found == {"a": 3, None: 2, "n": None, "b": 7}
