@@ -83,7 +83,8 @@ def read_certificates(spark: SparkSession, folder: str, multiline: bool = False)
     groups = certificate_headers(spark, folder)
     if not groups:
         raise FileNotFoundError(f"no {fixed.CERTIFICATE_FILE} below {folder}")
-    options = {**_CSV, "header": True, "multiLine": multiline}
+    # With pruned columns, a malformed row would pass where only keys are asked for.
+    options = {**_CSV, "header": True, "multiLine": multiline, "columnPruning": False}
 
     def rows(columns: tuple[str, ...], files: list[str]) -> DataFrame:
         missing = set(schemas.CERTIFICATE_HEADERS) - set(columns)

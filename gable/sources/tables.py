@@ -8,7 +8,7 @@ from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from gable import schemas
 from gable.operators import normalise
-from gable.session import staged
+from gable.session import discard, staged
 from gable.sources import store, versions
 from gable.sources.store import finish_replace, read_table, replace_rows
 
@@ -48,6 +48,39 @@ def insert_if_absent(
     store.write_buckets(first, path, key, buckets)
 
 
+def insert_wide_if_absent(
+    rows: DataFrame, path: str, key: str, order: list[str], schema: StructType, buckets: int = store.BUCKETS
+) -> None:
+    """`insert_if_absent` for wide rows that are cheap to read again and whose keys seldom repeat.
+
+    The keys are counted first, alone. Rows whose keys are all known go no further; of the others,
+    those that have their key for themselves are written as they come, and only rows that share a
+    key are compared.
+    """
+    spark = rows.sparkSession
+    finish_replace(spark, path, key=key)
+    columns = schema.fieldNames()
+    rows = rows.withColumns({f.name: rows[f.name].cast(f.dataType) for f in schema}).select(*columns)
+    keys = staged(rows.groupBy(key).agg((F.count(F.lit(1)) > 1).alias("_several")), "keys")
+    buckets = store.layout(spark, path, key, buckets)
+    if store.exists(spark, path):
+        new = staged(normalise.absent(keys, known_keys(keys, path, key, schema, buckets), key), "keys")
+        if new.isEmpty():
+            discard(keys, new)
+            return
+        if new.count() < keys.count():
+            rows = rows.join(new.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+        discard(keys)
+        keys = new
+    several = keys.where("_several").select(F.col(key).alias("_key"))
+    if not several.isEmpty():
+        same = F.col(key).eqNullSafe(F.col("_key"))
+        shared = normalise.first_per_key(rows.join(several, same, "left_semi"), key, columns, order)
+        rows = rows.join(several, same, "left_anti").unionByName(shared)
+    store.write_buckets(rows, path, key, buckets)
+    discard(keys)
+
+
 def known_keys(rows: DataFrame, path: str, key: str, schema: StructType, buckets: int) -> DataFrame:
     """The keys of the table in the buckets of the given rows."""
     table = store.read_buckets(rows.sparkSession, path, StructType([schema[key]]))
@@ -72,7 +105,7 @@ def load_sales(rows: DataFrame, folder: str) -> None:
 
 def load_certificates(typed: DataFrame, folder: str) -> None:
     """Typed certificates, the first of each key."""
-    insert_if_absent(
+    insert_wide_if_absent(
         typed, f"{folder}/certificates", schemas.KEYS["certificates"], ["lodgement_date"], typed.schema
     )
 

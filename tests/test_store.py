@@ -246,3 +246,19 @@ def test_stream_deduplication_runs_no_python_for_each_key(spark, tmp_path):
     assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"dedupe"}
     found = {r["tui"]: r["price"] for r in tables.read_table(spark, path, schemas.SALES).collect()}
     assert found == {"a": 3, None: 2, "n": None, "b": 7}
+
+
+# Wide rows.
+
+
+def test_wide_rows_are_compared_only_where_keys_repeat(spark, folder, monkeypatch):
+    compared, first = [], tables.normalise.first_per_key
+    monkeypatch.setattr(tables.normalise, "first_per_key", lambda rows, *a: compared.append(rows) or first(rows, *a))
+    frame = lambda *rows: spark.createDataFrame(rows, schemas.SALES)
+    load = lambda rows: tables.load_certificates(rows.withColumnsRenamed({"tui": "lmk_key", "date": "lodgement_date"}), folder)
+    found = lambda: sorted((r["lmk_key"] or "", r["price"]) for r in spark.read.parquet(f"{folder}/certificates").collect())
+    load(frame(sale("a", 1, 1), sale("b", 2, 2), sale(None, 3, 3)))
+    load(frame(sale("a", 9, 9), sale("b", 9, 1), sale("b", 9, 1)))
+    assert not compared and found() == [("", 3), ("a", 1), ("b", 2)]
+    load(frame(sale("c", 5, 2), sale("c", 4, 1), sale("c", 6, 1), sale("d", 7, 1), sale("a", 0, 1)))
+    assert len(compared) == 1 and found() == [("", 3), ("a", 1), ("b", 2), ("c", 4), ("d", 7)]
