@@ -12,7 +12,9 @@ smallest and the largest node of every shingle in its prefix (no task holds a wh
 shingle: both are combined before they are shuffled). Links found so join nodes into components.
 What is left are pairs in different components that share a prefix shingle; the nodes
 of such a shingle are indexed in an R-tree and each searches it. A shingle with very
-many nodes is cut into blocks, and each pair of blocks is a search of its own. Pairs
+many nodes is cut into blocks, and each pair of blocks is a search of its own. A pair is
+made at one of the shingles it shares: each node knows some of its shingles that come
+before, and a pair that shares one of these was met there. Pairs
 that pass the bound, and then a second one over finer groups, are verified on whole sets. Pairs inside one component can add
 nothing to the result and are not made.
 
@@ -43,6 +45,8 @@ FREQUENT = 50_000
 #: So many nodes of one shingle are searched in one tree.
 BLOCK = 2_000
 LEAF = 16
+#: Each node of a shingle knows so many of its shingles before that one.
+BEFORE = 8
 BITMAP_BUCKETS = 256
 _TURNS = np.random.default_rng(7).integers(1, 1 << 63, N + 2, dtype=np.uint64) | np.uint64(1)
 
@@ -292,7 +296,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def tree_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs in different components among the nodes of each shingle, from R-trees.
 
-    `members` has key, node, root, n_shingles and point. The nodes of a key are cut into
+    `members` has key, node, root, n_shingles, point and before: the last keys of the node that
+    are less than this one. A pair that has one of these in common meets there, so it is not
+    made again here; at the least key it shares it is. The nodes of a key are cut into
     blocks of about `BLOCK`; each pair of blocks is searched on its own.
     """
     counts = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -301,7 +307,7 @@ def tree_pairs(members: DataFrame) -> DataFrame:
         members.join(counts, "key")
         .withColumn("own", own)
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), "own", "node", "root", "n_shingles", "point")
+        .select("key", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), "own", "node", "root", "n_shingles", "point", "before")
     )
 
     def group(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +320,16 @@ def tree_pairs(members: DataFrame) -> DataFrame:
         q, p = RTree(points[index], size[index]).search(points[ask], size[ask])
         a, b = ask[q], index[p]
         new = root[a] != root[b]
-        a, b = node[a[new]], node[b[new]]
+        a, b = a[new], b[new]
+        before = rows.column("before").combine_chunks()
+        lengths = before.value_lengths().to_numpy()
+        known = np.arange(BEFORE) < lengths[:, None]
+        keys = np.zeros((len(lengths), BEFORE), np.int64)
+        keys[known] = before.flatten().to_numpy()
+        met = np.zeros(len(a), bool)
+        for k in range(BEFORE):
+            met |= known[a, k] & ((keys[a, k][:, None] == keys[b]) & known[b]).any(1)
+        a, b = node[a[~met]], node[b[~met]]
         low, high = np.minimum(a, b), np.maximum(a, b)
         once = np.unique(np.stack([low, high]), axis=1)
         return once[0], once[1]
@@ -408,8 +423,10 @@ def rooted(docs: DataFrame, text: str = "text") -> DataFrame:
     roots = components(links)
     placed = members.select("key", "node").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rest = placed.join(open_, "key", "left_semi").join(points.drop("text_hash"), "node")
-    left = staged(tree_pairs(rest), "candidates")
+    listed = placed.join(open_, "key", "left_semi").groupBy("node", "root").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    rest = listed.join(points.drop("text_hash"), "node").select("*", F.posexplode("keys").alias("at", "key"))
+    before = F.slice("keys", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
+    left = staged(tree_pairs(rest.withColumn("before", before).drop("keys", "at")), "candidates")
     discard(members)
     if not left.isEmpty():
         more = linked(left)

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 
 from gable.llm import jaccard, oracle, queries
 from oracle_check import connect, difference
@@ -66,6 +67,27 @@ def test_near_copies_by_brute_force(docs_of, block, frequent, monkeypatch):
     assert found(jaccard.join(docs_of(pairs))) == plain_components(pairs)
 
 
+@pytest.mark.parametrize("block", [3, 2_000])
+def test_a_pair_is_made_once_however_many_shingles_it_shares(docs_of, block, monkeypatch):
+    rng, made, tree_pairs, distinct = random.Random(5), [], jaccard.tree_pairs, DataFrame.distinct
+
+    def watched(members):
+        with monkeypatch.context() as m:
+            m.setattr(DataFrame, "distinct", lambda self: self)
+            pairs = tree_pairs(members)
+        made.extend((r["a"], r["b"]) for r in pairs.collect())
+        return distinct(pairs)
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "tree_pairs", watched)
+    monkeypatch.setattr(jaccard, "frequent_shingles", lambda docs: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    base = [f"w{i}" for i in range(400)]
+    texts = [*near_copies(rng), *(" ".join([*base, *(f"u{k}x{i}" for i in range(90 + k % 3))]) for k in range(12))]
+    pairs = list(enumerate(texts))
+    assert found(jaccard.join(docs_of(pairs))) == plain_components(pairs)
+    assert made and len(made) <= 1.2 * len(set(made))
+
+
 def test_whole_table(spark):
     d = "/root/testdata/sf0.01"
     pairs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
