@@ -21,13 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gable.llm.common import ranges, small_batches, whole_text
+from gable.llm.common import ranges, releasing, small_batches, whole_text
 from gable.session import fresh_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
-RANGE_BYTES = 32 << 20
-REMEMBERED = 300_000
+#: Text of a range. A task learns its words anew, so small ranges cost time; what it remembers takes memory.
+RANGE_BYTES = 20 << 20
+#: Ranges of a small corpus have at least so much text, where there are cores for more of them.
+LEAST_BYTES = 1 << 20
+REMEMBERED = 600_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Byte-level vocabularies write bytes that are not visible characters of Latin-1 as the code points from 256 on.
 SYMBOLS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512)))
@@ -150,7 +153,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
     docs = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
+    parts = max(1, -(-total // range_bytes), min(spark.sparkContext.defaultParallelism, total // LEAST_BYTES))
     with open(tokenizer) as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
@@ -160,7 +163,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
         from tokenizers import Tokenizer
 
         part, start, encoder = TaskContext.get().partitionId(), 0, None
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             encoder = encoder or Encoder(Tokenizer.from_str(vocabulary.value))
             ids, sizes = encoder.encode(batch.column("text"))
             behind = np.cumsum(sizes)
@@ -175,7 +178,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
             start += int(offsets[-1])
 
     dealt = docs.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
-    dealt.mapInArrow(run, SCHEMA).write.options(**LAYOUT).parquet(path)
+    dealt.mapInArrow(releasing(run), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

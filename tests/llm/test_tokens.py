@@ -60,3 +60,13 @@ def test_edges_and_layout(docs_of, spark, tmp_path, table_dir):
     assert sorted((r["start"], r["n_tokens"]) for r in twice) in ([(0, 1), (1, 3), (4, 3)], [(0, 3), (3, 3), (6, 1)])
     assert queries.op5_token_output(spark, table_dir(documents=docs_of(pairs).limit(0))).count() == 0
     assert public_tokenizers.path("word_bpe_49k.json") == tokens.TOKENIZER
+
+
+def test_ranges_follow_the_text_and_not_the_shuffle_partitions(docs_of, spark, tmp_path):
+    pairs = [(i, f"word{i} and more, of text {i}") for i in range(60)]
+    for name, more, files in (("one", {}, {1}), ("several", {"range_bytes": 300}, range(4, 8))):
+        path = str(tmp_path / name)
+        tokens.write_tokens(docs_of(pairs).repartition(5), path, **more)
+        assert len(list((tmp_path / name).glob("*.parquet"))) in files
+        rows = tokens.crc32_of_ids(tokens.read_tokens(spark, path)).collect()
+        assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows) == expected(pairs)
