@@ -306,5 +306,5 @@ def removed(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[p
 def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
     """The documents of `find_occurrences` without the benchmark passages; a null text stays null."""
     kept = found.drop("n_words", "spans", "items")
-    return found.mapInArrow(lambda batches: removed(batches, text), kept.schema)
+    return found.mapInArrow(releasing(lambda batches: removed(batches, text)), kept.schema)
 

@@ -45,6 +45,8 @@ FREQUENT = 50_000
 #: So many nodes of one shingle are searched in one tree.
 BLOCK = 2_000
 LEAF = 16
+#: So many points are asked for in a tree, and so many bounds are worked out, in one go; any number gives the same pairs.
+ASKED, AT_ONCE = 128, 1 << 13
 #: Each node of a shingle knows so many of its shingles before that one.
 BEFORE = 8
 BITMAP_BUCKETS = 256
@@ -137,10 +139,10 @@ class RTree:
             near = (least[node] * PART <= sizes[query] * WHOLE) & (largest[node] * WHOLE >= sizes[query] * PART)
             query, node = query[near], node[near]
             keep = np.zeros(len(query), bool)
-            for a in range(0, len(query), 1 << 16):
-                q, o = query[a : a + (1 << 16)], node[a : a + (1 << 16)]
+            for a in range(0, len(query), AT_ONCE):
+                q, o = query[a : a + AT_ONCE], node[a : a + AT_ONCE]
                 bound = np.minimum(points[q], high[o]).sum(1)
-                keep[a : a + (1 << 16)] = similar(bound, sizes[q], least[o])
+                keep[a : a + AT_ONCE] = similar(bound, sizes[q], least[o])
             query, node = query[keep], node[keep]
         return query, self.order[node]
 
@@ -293,6 +295,42 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(releasing(run), "a bigint, b bigint")
 
 
+def block_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs (a, b) of one pair of blocks of a shingle, see `tree_pairs`.
+
+    Every pair of two blocks can pass the bound, so points are asked for `ASKED` at a time, and
+    only pairs that are new are kept.
+    """
+    i, j, own = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), rows.column("own").to_numpy()
+    node, root, size = (rows.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
+    points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+    index, asking = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    if not len(index) or not len(asking):
+        return
+    before = rows.column("before").combine_chunks()
+    lengths = before.value_lengths().to_numpy()
+    known = np.arange(BEFORE) < lengths[:, None]
+    keys = np.zeros((len(lengths), BEFORE), np.int64)
+    keys[known] = before.flatten().to_numpy()
+    names, rank = np.unique(node, return_inverse=True)
+    tree, pairs = RTree(points[index], size[index]), []
+    for at in range(0, len(asking), ASKED):
+        ask = asking[at : at + ASKED]
+        q, p = tree.search(points[ask], size[ask])
+        a, b = ask[q], index[p]
+        new = root[a] != root[b]
+        a, b = a[new], b[new]
+        met = np.zeros(len(a), bool)
+        for k in range(BEFORE):
+            met |= known[a, k] & ((keys[a, k][:, None] == keys[b]) & known[b]).any(1)
+        a, b = rank[a[~met]], rank[b[~met]]
+        pairs.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
+    once = np.unique(np.concatenate(pairs))
+    for at in range(0, len(once), 1 << 16):
+        part = once[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_pydict({"a": names[part // len(names)], "b": names[part % len(names)]})
+
+
 def tree_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs in different components among the nodes of each shingle, from R-trees.
 
@@ -310,38 +348,12 @@ def tree_pairs(members: DataFrame) -> DataFrame:
         .select("key", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), "own", "node", "root", "n_shingles", "point", "before")
     )
 
-    def group(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        i, j, own = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), rows.column("own").to_numpy()
-        node, root, size = (rows.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
-        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
-        index, ask = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        if not len(index) or not len(ask):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        q, p = RTree(points[index], size[index]).search(points[ask], size[ask])
-        a, b = ask[q], index[p]
-        new = root[a] != root[b]
-        a, b = a[new], b[new]
-        before = rows.column("before").combine_chunks()
-        lengths = before.value_lengths().to_numpy()
-        known = np.arange(BEFORE) < lengths[:, None]
-        keys = np.zeros((len(lengths), BEFORE), np.int64)
-        keys[known] = before.flatten().to_numpy()
-        met = np.zeros(len(a), bool)
-        for k in range(BEFORE):
-            met |= known[a, k] & ((keys[a, k][:, None] == keys[b]) & known[b]).any(1)
-        a, b = node[a[~met]], node[b[~met]]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        once = np.unique(np.stack([low, high]), axis=1)
-        return once[0], once[1]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                a, b = group(pa.Table.from_batches(held))
-                if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+                yield from block_pairs(pa.Table.from_batches(held))
                 held.clear()
 
         last = None

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import bounded_sample, small_batches
+from gable.llm.common import bounded_sample, releasing, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: At most so many documents are used to train the network.
@@ -368,7 +368,7 @@ def train(docs: DataFrame, rows: int = FIT_ROWS, text: str = "text") -> Tagger:
         texts = sorted((x for batch in batches for x in batch.column(0).to_pylist()), key=lambda x: hash_of(x))
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts).p)]})
 
-    found = bounded_sample(known, [F.col("text")], rows).repartition(1).mapInArrow(learn, "model binary").collect()
+    found = bounded_sample(known, [F.col("text")], rows).repartition(1).mapInArrow(releasing(learn), "model binary").collect()
     if not found:
         return fit([])
     tagger = Tagger()
@@ -405,7 +405,7 @@ def find(docs: DataFrame, tagger: Tagger, text: str = "text", carry: list[str] |
             ]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(spans, kind_of)], names=[*carry, "spans"])
 
-    return docs.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in carry], empty).schema)
+    return docs.mapInArrow(releasing(run), docs.select(*[F.col(f"`{c}`") for c in carry], empty).schema)
 
 
 def redacted(text: str, spans: list[dict]) -> str:
@@ -428,4 +428,4 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
             texts = [t and redacted(t, s) for t, s in zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
 
-    return found.mapInArrow(run, kept.schema)
+    return found.mapInArrow(releasing(run), kept.schema)

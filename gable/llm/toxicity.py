@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, rows: int = FIT
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
 
     # The sample is bounded by `rows`; it goes to one task that fits the model.
-    found = known.repartition(1).mapInArrow(learn, "model binary").collect()
+    found = known.repartition(1).mapInArrow(releasing(learn), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit([], [])
 
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import ranges, small_batches
+from gable.llm.common import ranges, releasing, small_batches
 from gable.session import staged
 
 BLOCK_TOKENS = 1 << 20
@@ -140,7 +140,7 @@ def cut(
         if held:
             yield from flush()
 
-    blocks = docs.mapInArrow(run, ROW)
+    blocks = docs.mapInArrow(releasing(run), ROW)
     return staged(blocks, "words") if written else blocks
 
 

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 
@@ -139,3 +141,35 @@ def test_unlike_texts_of_one_id_all_stay(docs_of):
     kept = jaccard.one_of_each(docs_of(pairs)).collect()
     words = sorted(((r["doc_id"], r["text"].lower().split()) for r in kept), key=str)
     assert words == sorted([(d, pairs[i][1].split()) for i, d in ((0, None), (1, None), (3, 5), (4, 5), (5, 5))], key=str)
+
+
+def block(n, roots, before):
+    """Nodes of one key with equal points, as the R-tree search gets them."""
+    node = np.random.default_rng(5).permutation(n).astype(np.int64) * 3 - n
+    zeros = np.zeros(n, np.int32)
+    point = np.full(jaccard.GROUPS, 2, np.int32).tobytes()
+    return pa.table({"key": np.zeros(n, np.int64), "i": zeros, "j": zeros, "own": zeros, "node": node, "root": roots, "n_shingles": np.full(n, 2 * jaccard.GROUPS, np.int64), "point": [point] * n, "before": pa.array([before(x) for x in node.tolist()], pa.list_(pa.int64()))})
+
+
+def test_block_whose_pairs_all_pass_the_bound_stays_small():
+    """As large as blocks get; the pairs met at an earlier key or in one component are not held together."""
+    n = jaccard.BLOCK
+    for roots, before in ((np.arange(n), lambda x: list(range(x % 2, 16, 2))), (np.zeros(n, np.int64), lambda x: [])):
+        rows = block(n, roots, before)
+        tracemalloc.start()
+        pairs = sum(b.num_rows for b in jaccard.block_pairs(rows))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # Nodes of unlike parity share no earlier key.
+        odd = sum(x % 2 for x in rows.column("node").to_pylist())
+        assert pairs == (odd * (n - odd) if roots.any() else 0)
+        assert peak < 100 << 20
+
+
+def test_pairs_of_a_block_by_brute_force():
+    rng = np.random.default_rng(6)
+    rows = block(300, rng.integers(0, 40, 300), lambda x: [x % 7] if x % 3 else [])
+    node, root, seen = (rows.column(c).to_pylist() for c in ("node", "root", "before"))
+    wanted = {(min(node[a], node[b]), max(node[a], node[b])) for a in range(300) for b in range(a) if root[a] != root[b] and not set(seen[a]) & set(seen[b])}
+    got = [(x["a"], x["b"]) for batch in jaccard.block_pairs(rows) for x in batch.to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == wanted
