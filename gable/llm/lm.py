@@ -19,7 +19,7 @@ its share of the counts there, so all words and one unseen word a cell add up to
 import heapq
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,12 +92,26 @@ def product(rows: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.concatenate([rows, more]) @ b)[: len(rows)]
 
 
-def gathered(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct places and the sums of the rows that go to each."""
-    order = np.argsort(at, kind="stable")
-    ordered = at[order]
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
-    return ordered[first], np.add.reduceat(rows[order], first, axis=0) if len(first) else rows
+def placed(at: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places, all of them below `total`, and for each entry the number of its place among them."""
+    there, number = np.zeros(total, bool), np.empty(total, np.int64)
+    there[at] = True
+    places = np.flatnonzero(there)
+    number[places] = np.arange(len(places))
+    return places, number[at]
+
+
+def summed(of: np.ndarray, columns: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """Sums of the rows that go to each of `n` places, given as columns; `of` has the number of each row's place."""
+    return np.ascontiguousarray(np.array([np.bincount(of, x, n) for x in columns], np.float32).T)
+
+
+def log_softmax(s: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probabilities of the scores `s`, a distribution a row, at the places (row, at); `s` is used up."""
+    s -= s.max(1, keepdims=True)
+    found = s[row, at]
+    np.exp(s, out=s)
+    return found - np.log(s.sum(1))[row]
 
 
 class Tree:
@@ -158,15 +172,16 @@ class Bilinear:
         """Gradients of noise-contrastive estimation among siblings: of what is expected, of vectors and of biases."""
         node, p, n = self.tree.path(leaf), self.p, len(leaf)
         drawn = self.tree.siblings(node, NOISE_AMONG, self.rng)
-        expected, share = np.concatenate([expected, expected]), np.r_[share, share]
         at = np.column_stack([node, drawn])
-        t = p["t"][at]
-        g = sigmoid(np.einsum("ij,ikj->ik", expected, t) + (p["u"] - self.offset_among)[at])
+        t = p["t"].take(at.ravel(), 0).reshape(*at.shape, -1)  # much faster than by an index of two dimensions
+        g = sigmoid(np.einsum("ij,ikj->ik", np.concatenate([expected, expected]), t) + (p["u"] - self.offset_among).take(at))
         g[:, 0] -= 1
-        g *= share[:, None]
+        g *= np.concatenate([share, share])[:, None]
         d = np.einsum("ik,ikj->ij", g, t)
-        places, sums = gathered(at.ravel(), np.concatenate([g[:, :, None] * expected[:, None], g[:, :, None]], 2).reshape(-1, WIDTH + 1))
-        return d[:n] + d[n:], (places, sums[:, :-1]), (places, sums[:, -1])
+        places, of = placed(at.T.ravel(), len(p["u"]))
+        g = np.ascontiguousarray(g.T).reshape(-1, n)
+        sums = summed(of, ((g * x).ravel() for x in np.ascontiguousarray(expected.T)), len(places))
+        return d[:n] + d[n:], (places, sums), (places, summed(of, [g.ravel()], len(places))[:, 0])
 
     def step(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, weight: np.ndarray, rate: float) -> None:
         """One step of noise-contrastive estimation with noise words shared by the batch; `second` is the nearer context."""
@@ -174,28 +189,35 @@ class Bilinear:
         drawn = np.searchsorted(self.sums, self.rng.random(NOISE)).clip(0, len(self.noise) - 1)
         tail = np.flatnonzero(word >= len(self.noise))
         leaf, word = word[tail] - len(self.noise), self.head[word]
-        r1, r2, q = self.vectors(first), self.vectors(second), p["q"][word]
+        r1, r2, q = self.vectors(first), self.vectors(second), p["q"].take(word, 0)
         expected = r1 * p["c"][0] + r2 * p["c"][1]
         true = np.einsum("ij,ij->i", expected, q) + (p["b"] - self.offset)[word]
         false = expected @ p["q"][drawn].T + (p["b"] - self.offset)[drawn]
         g_true = -share * sigmoid(-true)
         g_false = sigmoid(false) * share[:, None]
         d_expected = g_true[:, None] * q + g_false @ p["q"][drawn]
+        heads, of = placed(np.r_[word, drawn], len(p["b"]))
+        columns = zip(np.ascontiguousarray(expected.T), np.ascontiguousarray(expected.T @ g_false))
         grads = {
-            "q": gathered(np.r_[word, drawn], np.concatenate([g_true[:, None] * expected, g_false.T @ expected])),
-            "b": (slice(None), np.bincount(np.r_[word, drawn], np.r_[g_true, g_false.sum(0)], len(p["b"])).astype(np.float32)),
+            "q": (heads, summed(of, (np.concatenate([g_true * x, y]) for x, y in columns), len(heads))),
+            "b": (np.arange(len(p["b"])), np.bincount(np.r_[word, drawn], np.r_[g_true, g_false.sum(0)], len(p["b"])).astype(np.float32)),
         }
         if len(tail):
             d, grads["t"], grads["u"] = self.among(expected[tail], leaf, share[tail])
             d_expected[tail] += d
-        at, d = np.r_[first, second], np.concatenate([d_expected * p["c"][0], d_expected * p["c"][1]])
+        at = np.r_[first, second]
         up = np.flatnonzero(self.head[at] != at)
-        grads["r"] = gathered(np.r_[at, self.head[at[up]]], np.concatenate([d, d[up]]))
-        grads["c"] = (slice(None), np.stack([np.einsum("ij,ij->j", d_expected, r1), np.einsum("ij,ij->j", d_expected, r2)]))
+        words, of = placed(np.r_[at, self.head[at[up]]], self.start + 1)
+        columns = (np.concatenate([x * one, x * other]) for x, one, other in zip(np.ascontiguousarray(d_expected.T), *p["c"]))
+        grads["r"] = (words, summed(of, (np.concatenate([x, x[up]]) for x in columns), len(words)))
+        grads["c"] = (np.arange(2), np.stack([np.einsum("ij,ij->j", d_expected, r1), np.einsum("ij,ij->j", d_expected, r2)]))
         for k, (at, g) in grads.items():
-            past = self.past[k][at] + g * g
+            past = self.past[k].take(at, 0)
+            past += g * g
             self.past[k][at] = past
-            p[k][at] -= np.float32(rate) * g / np.sqrt(past)
+            g *= np.float32(rate)
+            g /= np.sqrt(past, out=past)
+            p[k][at] = p[k].take(at, 0) - g
 
     def learn(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, rate: float, batch: int = 4096) -> None:
         """Steps over distinct trigrams, weighted by how often they occur."""
@@ -212,22 +234,27 @@ class Bilinear:
 
     def vectors(self, at: np.ndarray) -> np.ndarray:
         """Vectors of contexts; a word of the tree has its class's and its own."""
-        out, up = self.p["r"][at], self.head[at]
+        out, up = self.p["r"].take(at, 0), self.head[at]
         more = np.flatnonzero(up != at)
-        out[more] += self.p["r"][up[more]]
+        out[more] += self.p["r"].take(up[more], 0)
         return out
 
     def expected(self, first: np.ndarray, second: np.ndarray, r: np.ndarray) -> np.ndarray:
-        return r[first] * self.p["c"][0] + r[second] * self.p["c"][1]
+        return r.take(first, 0) * self.p["c"][0] + r.take(second, 0) * self.p["c"][1]
+
+    def heads(self, first: np.ndarray, second: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Scores of all heads after each pair of contexts; `r` are the vectors of all contexts."""
+        s = product(self.expected(first, second, r), self.p["q"].T)
+        s += self.p["b"]
+        return s
 
-    def log_normalised(self, first: np.ndarray, second: np.ndarray, r: np.ndarray | None = None) -> np.ndarray:
-        """Log probabilities of all heads after each pair of contexts; `r` are the vectors of all contexts."""
-        r = self.vectors(np.arange(self.start + 1)) if r is None else r
-        s = product(self.expected(first, second, r), self.p["q"].T) + self.p["b"]
-        s -= s.max(1, keepdims=True)
-        return s - np.log(np.exp(s).sum(1, keepdims=True))
+    def log_normalised(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Log probabilities of all heads after each pair of contexts."""
+        s = self.heads(first, second, self.vectors(np.arange(self.start + 1)))
+        row, at = np.indices(s.shape)
+        return log_softmax(s, row, at)
 
-    def score(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, at_once: int = 2048) -> np.ndarray:
+    def score(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, at_once: int = 512) -> np.ndarray:
         """Log probability of each word in its context; each distinct context is normalised once."""
         v = self.start + 1
         key = first * v + second
@@ -238,9 +265,9 @@ class Bilinear:
         r = self.vectors(np.arange(v))
         for a in range(0, len(new), at_once):
             b = min(a + at_once, len(new))
-            table = self.log_normalised(ordered[new[a:b]] // v, ordered[new[a:b]] % v, r)
+            s = self.heads(ordered[new[a:b]] // v, ordered[new[a:b]] % v, r)
             mine = order[ends[a] : ends[b]]
-            out[mine] = table[np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])), self.head[word[mine]]]
+            out[mine] = log_softmax(s, np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])), self.head[word[mine]])
         tail = np.flatnonzero(word >= len(self.noise))
         path = self.tree.path(word[tail] - len(self.noise))
         for node in (path[: len(tail)], path[len(tail) :]):
@@ -258,9 +285,9 @@ class Bilinear:
             t, u = self.p["t"][low:high].T, self.p["u"][low:high]
             for x in range(a, b, at_once):
                 mine = order[x : min(x + at_once, b)]
-                s = product(self.expected(first[mine], second[mine], r), t) + u
-                s -= s.max(1, keepdims=True)
-                out[mine] = s[np.arange(len(mine)), node[mine] - low] - np.log(np.exp(s).sum(1))
+                s = product(self.expected(first[mine], second[mine], r), t)
+                s += u
+                out[mine] = log_softmax(s, np.arange(len(mine)), node[mine] - low)
         return out
 
 

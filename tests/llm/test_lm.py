@@ -133,3 +133,18 @@ def test_tree_is_normalised():
     for before in (net.start, ids[5], ids[2500]):
         total = np.exp(net.score(np.full(len(symbols), net.start), np.full(len(symbols), before), symbols, at_once=100)).sum()
         assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_sums_by_place_and_shares_at_places():
+    rng = np.random.default_rng(8)
+    at, rows = rng.integers(0, 50, 400), rng.normal(size=(400, 5)).astype(np.float32)
+    places, of = lm.placed(at, 60)
+    assert places.tolist() == sorted(set(at.tolist())) and (places[of] == at).all()
+    wanted = np.zeros((60, 5))
+    np.add.at(wanted, at, rows)
+    assert np.allclose(lm.summed(of, rows.T, len(places)), wanted[places], atol=1e-5)
+    none, of = lm.placed(np.zeros(0, np.int64), 0)
+    assert lm.summed(of, np.zeros((5, 0)), len(none)).shape == (0, 5)
+    s, row = rng.normal(size=(7, 9)), np.array([0, 0, 3, 6])
+    p = np.exp(s) / np.exp(s).sum(1, keepdims=True)
+    assert np.allclose(lm.log_softmax(s.copy(), row, np.array([0, 8, 2, 4])), np.log(p[row, [0, 8, 2, 4]]))
