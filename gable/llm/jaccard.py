@@ -46,7 +46,7 @@ FREQUENT = 50_000
 BLOCK = 2_000
 LEAF = 16
 #: So many points are asked for in a tree, and so many bounds are worked out, in one go; any number gives the same pairs.
-ASKED, AT_ONCE = 128, 1 << 13
+ASKED, AT_ONCE = 128, 1 << 11
 #: Each node of a shingle knows so many of its shingles before that one.
 BEFORE = 8
 BITMAP_BUCKETS = 256
