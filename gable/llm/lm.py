@@ -11,7 +11,8 @@ vector as a sum of the two words before it, each weighted by its place; it is tr
 in numpy against noise words (shared by the batch, and drawn among the siblings in the tree),
 first on a bounded sample, then over all learnable
 documents, in each task on its own part, and the parameters are averaged by tokens.
-Scores use the exact normaliser: one matrix product per distinct context and one per
+Scores use the exact normaliser: over the heads, one dot product per distinct context, as the
+exponential of a score is a product of a part of each context word; and one matrix product per
 group of siblings. A word outside the vocabulary has the probability of its cell's leaf times
 its share of the counts there, so all words and one unseen word a cell add up to 1.
 """
@@ -20,6 +21,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,10 @@ PROPOSED = 64
 #: Learnable text of so many bytes is learned from in one shard, by a hash of the document.
 SHARD_BYTES = 16 << 20
 PART = 1 << 12
+#: Nodes are drawn by a table of so many places.
+DRAWN_BY = 1 << 18
+#: Parts of so many context words are held at once where heads are normalised.
+WORDS_AT_ONCE = 1 << 14
 END = b""
 
 
@@ -64,6 +70,12 @@ def cell_of(word: bytes) -> int:
     return class_of(word) * CELLS + (zlib.crc32(word) >> 16) % CELLS
 
 
+def cells_of(words: list[bytes]) -> np.ndarray:
+    """`cell_of` many words."""
+    ends, whole = (np.fromiter(map(zlib.crc32, x), np.int64, len(words)) for x in ([w[-2:] for w in words], words))
+    return ends % CLASSES * CELLS + (whole >> 16) % CELLS
+
+
 class Numbers(dict):
     """Numbers of the vocabulary's words; any other word has that of its cell's leaf."""
 
@@ -74,6 +86,13 @@ class Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         return self.others[cell_of(word)]
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of many words."""
+        found = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        rare = np.flatnonzero(found < 0)
+        found[rare] = np.array(self.others, np.int64)[cells_of([words[i] for i in rare.tolist()])]
+        return found
+
     def __reduce__(self):
         return Numbers, (dict(self), self.others)
 
@@ -83,11 +102,17 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+    y = np.negative(x)
+    np.minimum(y, np.float32(80), out=y)
+    np.exp(y, out=y)
+    y += 1
+    return np.reciprocal(y, out=y)
 
 
 def product(rows: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The matrix product, taken over full sixteens of rows, so that a row's result doesn't depend on how many there are."""
+    if not len(rows) % 16:
+        return rows @ b
     more = np.zeros((-len(rows) % 16, rows.shape[1]), rows.dtype)
     return (np.concatenate([rows, more]) @ b)[: len(rows)]
 
@@ -101,9 +126,31 @@ def placed(at: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     return places, number[at]
 
 
+def in_order(key: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys, equal ones as they come, and the keys in it; keys from 0 on, less than `below`."""
+    n = len(key)
+    if below * n >= 1 << 63:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort(key * n + np.arange(n))  # much faster than to sort places
+    return both % max(n, 1), both // max(n, 1)
+
+
 def summed(of: np.ndarray, columns: Iterable[np.ndarray], n: int) -> np.ndarray:
     """Sums of the rows that go to each of `n` places, given as columns; `of` has the number of each row's place."""
-    return np.ascontiguousarray(np.array([np.bincount(of, x, n) for x in columns], np.float32).T)
+    rows = np.ascontiguousarray(np.asarray(columns, np.float32).T)
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    kind = np.float32 if rows.shape[1] % 2 else np.complex64  # two sums at a time
+    rows, sums = rows.view(kind), out.view(kind)
+    at = np.arange(sums.size).reshape(sums.shape).take(of, 0)
+    np.add.at(sums.reshape(-1), at.reshape(-1), rows.reshape(-1))
+    return out
+
+
+def put(x: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Puts rows at distinct places of `x`, each row as one value, which is faster than by an index."""
+    kind = np.dtype((np.void, x[:1].nbytes))
+    np.put(x.view(kind), at, np.ascontiguousarray(rows).view(kind))
 
 
 def log_softmax(s: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -126,6 +173,10 @@ class Tree:
         self.sums = np.r_[0.0, np.cumsum(mass)]
         self.share = mass / np.diff(self.sums[self.first])[self.parent]
         self.cells, self.leaves = cells, int(np.sum(sizes))
+        self.below, self.among = self.sums[self.first[self.parent]], np.diff(self.sums[self.first])[self.parent]
+        # The node at each place of the table; where more than one node falls into a place, most draws still have the first.
+        self.places = DRAWN_BY / self.sums[-1] if cells else 0.0
+        self.at_place = (np.searchsorted(self.sums, np.arange(DRAWN_BY) / (self.places or 1), side="right") - 1).clip(0, max(0, len(mass) - 1)).astype(np.int32)
 
     def path(self, leaf: np.ndarray) -> np.ndarray:
         """The cells of the leaves, then the leaves, as nodes."""
@@ -134,10 +185,14 @@ class Tree:
 
     def siblings(self, node: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
         """`n` nodes drawn among the siblings of each node, itself too, by their shares."""
-        up = self.parent[node]
-        low, high = self.first[up], self.first[up + 1]
-        at = self.sums[low] + rng.random((n, len(node))) * (self.sums[high] - self.sums[low])
-        return (np.searchsorted(self.sums, at, side="right") - 1).clip(low, high - 1).T
+        up = self.parent.take(node)
+        at = rng.random((n, len(node)))
+        at *= self.among.take(node)
+        at += self.below.take(node)
+        found = self.at_place.take((at * self.places).astype(np.int64), mode="clip").astype(np.int64)
+        other = np.flatnonzero((self.sums.take(found) > at) | (self.sums.take(found + 1) <= at))
+        found.reshape(-1)[other] = np.searchsorted(self.sums, at.reshape(-1)[other], side="right") - 1
+        return found.clip(self.first.take(up), self.first.take(up + 1) - 1).T
 
 
 class Bilinear:
@@ -150,6 +205,7 @@ class Bilinear:
         self.start = v + self.tree.leaves
         cell = self.tree.parent[self.tree.cells :] - self.tree.cells // CELLS
         self.head = np.r_[np.arange(v), cell // CELLS, self.start]
+        self.above = np.where(self.head == np.arange(self.start + 1), v, self.head)  # v where there is none
         self.noise, self.sums = noise, np.cumsum(noise)
         self.offset = (np.log(NOISE) + np.log(noise)).astype(np.float32)
         self.offset_among = (np.log(NOISE_AMONG) + np.log(self.tree.share)).astype(np.float32)
@@ -178,10 +234,9 @@ class Bilinear:
         g[:, 0] -= 1
         g *= np.concatenate([share, share])[:, None]
         d = np.einsum("ik,ikj->ij", g, t)
-        places, of = placed(at.T.ravel(), len(p["u"]))
-        g = np.ascontiguousarray(g.T).reshape(-1, n)
-        sums = summed(of, ((g * x).ravel() for x in np.ascontiguousarray(expected.T)), len(places))
-        return d[:n] + d[n:], (places, sums), (places, summed(of, [g.ravel()], len(places))[:, 0])
+        places, of = placed(at.ravel(), len(p["u"]))
+        rows = np.einsum("lik,ij->likj", g.reshape(2, n, -1), expected, out=t.reshape(2, n, *t.shape[1:])).reshape(g.size, -1)
+        return d[:n] + d[n:], (places, summed(of, rows.T, len(places))), (places, np.bincount(of, g.ravel(), len(places)).astype(np.float32))
 
     def step(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, weight: np.ndarray, rate: float) -> None:
         """One step of noise-contrastive estimation with noise words shared by the batch; `second` is the nearer context."""
@@ -192,32 +247,36 @@ class Bilinear:
         r1, r2, q = self.vectors(first), self.vectors(second), p["q"].take(word, 0)
         expected = r1 * p["c"][0] + r2 * p["c"][1]
         true = np.einsum("ij,ij->i", expected, q) + (p["b"] - self.offset)[word]
-        false = expected @ p["q"][drawn].T + (p["b"] - self.offset)[drawn]
+        false = expected @ p["q"][drawn].T
+        false += (p["b"] - self.offset)[drawn]
         g_true = -share * sigmoid(-true)
-        g_false = sigmoid(false) * share[:, None]
+        g_false = sigmoid(false)
+        g_false *= share[:, None]
         d_expected = g_true[:, None] * q + g_false @ p["q"][drawn]
         heads, of = placed(np.r_[word, drawn], len(p["b"]))
-        columns = zip(np.ascontiguousarray(expected.T), np.ascontiguousarray(expected.T @ g_false))
         grads = {
-            "q": (heads, summed(of, (np.concatenate([g_true * x, y]) for x, y in columns), len(heads))),
-            "b": (np.arange(len(p["b"])), np.bincount(np.r_[word, drawn], np.r_[g_true, g_false.sum(0)], len(p["b"])).astype(np.float32)),
+            "q": (heads, summed(of, np.concatenate([g_true[:, None] * expected, g_false.T @ expected]).T, len(heads))),
+            "b": (heads, np.bincount(of, np.concatenate([g_true, g_false.sum(0)]), len(heads)).astype(np.float32)),
         }
         if len(tail):
             d, grads["t"], grads["u"] = self.among(expected[tail], leaf, share[tail])
             d_expected[tail] += d
         at = np.r_[first, second]
-        up = np.flatnonzero(self.head[at] != at)
-        words, of = placed(np.r_[at, self.head[at[up]]], self.start + 1)
-        columns = (np.concatenate([x * one, x * other]) for x, one, other in zip(np.ascontiguousarray(d_expected.T), *p["c"]))
-        grads["r"] = (words, summed(of, (np.concatenate([x, x[up]]) for x in columns), len(words)))
+        above = self.above.take(at)
+        up = np.flatnonzero(above < len(self.noise))
+        words, of = placed(np.concatenate([at, above[up]]), self.start + 1)
+        rows, n = np.empty((len(of), WIDTH), np.float32), len(at)
+        np.multiply(d_expected, p["c"][:, None], out=rows[:n].reshape(2, -1, WIDTH))
+        rows[:n].take(up, 0, out=rows[n:], mode="clip")
+        grads["r"] = (words, summed(of, rows.T, len(words)))
         grads["c"] = (np.arange(2), np.stack([np.einsum("ij,ij->j", d_expected, r1), np.einsum("ij,ij->j", d_expected, r2)]))
         for k, (at, g) in grads.items():
             past = self.past[k].take(at, 0)
             past += g * g
-            self.past[k][at] = past
+            put(self.past[k], at, past)
             g *= np.float32(rate)
             g /= np.sqrt(past, out=past)
-            p[k][at] = p[k].take(at, 0) - g
+            put(p[k], at, p[k].take(at, 0) - g)
 
     def learn(self, first: np.ndarray, second: np.ndarray, word: np.ndarray, rate: float, batch: int = 4096) -> None:
         """Steps over distinct trigrams, weighted by how often they occur."""
@@ -234,9 +293,9 @@ class Bilinear:
 
     def vectors(self, at: np.ndarray) -> np.ndarray:
         """Vectors of contexts; a word of the tree has its class's and its own."""
-        out, up = self.p["r"].take(at, 0), self.head[at]
-        more = np.flatnonzero(up != at)
-        out[more] += self.p["r"].take(up[more], 0)
+        heads = np.concatenate([self.p["r"][: len(self.noise)], np.zeros((1, WIDTH), np.float32)])
+        out = self.p["r"].take(at, 0)
+        out += heads.take(self.above.take(at), 0)
         return out
 
     def expected(self, first: np.ndarray, second: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -258,38 +317,82 @@ class Bilinear:
         """Log probability of each word in its context; each distinct context is normalised once."""
         v = self.start + 1
         key = first * v + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(key)])
-        ends, out = np.r_[new, len(key)], np.empty(len(key), np.float32)
-        r = self.vectors(np.arange(v))
-        for a in range(0, len(new), at_once):
-            b = min(a + at_once, len(new))
-            s = self.heads(ordered[new[a:b]] // v, ordered[new[a:b]] % v, r)
-            mine = order[ends[a] : ends[b]]
-            out[mine] = log_softmax(s, np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])), self.head[word[mine]])
-        tail = np.flatnonzero(word >= len(self.noise))
-        path = self.tree.path(word[tail] - len(self.noise))
-        for node in (path[: len(tail)], path[len(tail) :]):
-            out[tail] += self.log_among(first[tail], second[tail], node, r, at_once)
+        order, key = in_order(key, v * v)
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        r, out = self.vectors(np.arange(v)), np.empty(len(key), np.float32)
+        total = self.log_totals(key[new] // v, key[new] % v, r, at_once)
+        out[order] = np.repeat(-total, np.diff(np.r_[new, len(key)]))
+        for a in range(0, len(out), 1 << 14):
+            of = slice(a, a + (1 << 14))
+            head = self.head.take(word[of])
+            out[of] += np.einsum("ij,ij->i", self.expected(first[of], second[of], r), self.p["q"].take(head, 0)) + self.p["b"].take(head)
+        self.add_among(out, first, second, word, r, at_once)
         return out
 
-    def log_among(self, first: np.ndarray, second: np.ndarray, node: np.ndarray, r: np.ndarray, at_once: int) -> np.ndarray:
-        """Log probability of each node among its siblings; all rows with the same siblings at once."""
-        up, out = self.tree.parent[node], np.empty(len(node), np.float32)
-        order = np.argsort(up, kind="stable")
-        ordered = up[order]
-        new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(up)])
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(up)]):
-            low, high = self.tree.first[ordered[a]], self.tree.first[ordered[a] + 1]
-            t, u = self.p["t"][low:high].T, self.p["u"][low:high]
-            for x in range(a, b, at_once):
-                mine = order[x : min(x + at_once, b)]
-                s = product(self.expected(first[mine], second[mine], r), t)
-                s += u
-                out[mine] = log_softmax(s, np.arange(len(mine)), node[mine] - low)
+    def log_totals(self, first: np.ndarray, second: np.ndarray, r: np.ndarray, at_once: int) -> np.ndarray:
+        """Logs of the sums over all heads of e to the score, after each of the distinct contexts, which are in order.
+
+        A score is a sum of a part from each context word, so each word's part is raised once.
+        """
+        p, out = self.p, np.empty(len(first), np.float32)
+
+        def raised(words: np.ndarray, place: np.ndarray, bias: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+            s = product(r.take(words, 0) * place, p["q"].T)
+            s += bias
+            top = s.max(1)
+            s -= top[:, None]
+            return np.exp(s, out=s), top
+
+        words, of = placed(second, self.start + 1)
+        for low in range(0, len(words), WORDS_AT_ONCE):
+            mine = np.flatnonzero((of >= low) & (of < low + WORDS_AT_ONCE)) if len(words) > WORDS_AT_ONCE else np.arange(len(of))
+            some = words[low : low + WORDS_AT_ONCE]
+            nearer, top = np.empty((len(some), len(p["b"])), np.float32), np.empty(len(some), np.float32)
+            for a in range(0, len(some), at_once):
+                nearer[a : a + at_once], top[a : a + at_once] = raised(some[a : a + at_once], p["c"][1], p["b"])
+            one, at = first[mine], of[mine] - low
+            new = np.flatnonzero(np.r_[True, one[1:] != one[:-1]][: len(one)])
+            ends = np.r_[new, len(one)]
+            for a in range(0, len(new), at_once):
+                b = min(a + at_once, len(new))
+                other, most = raised(one[new[a:b]], p["c"][0], 0.0)
+                number = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+                for x in range(ends[a], ends[b], 128):
+                    y = min(x + 128, ends[b])
+                    n = number[x - ends[a] : y - ends[a]]
+                    out[mine[x:y]] = np.vecdot(other.take(n, 0), nearer.take(at[x:y], 0))
+                here = mine[ends[a] : ends[b]]
+                total = out[here]
+                few = np.flatnonzero(total < 1e-20)  # parts so far apart that products were lost
+                with np.errstate(divide="ignore"):
+                    out[here] = np.log(total) + most[number] + top[at[ends[a] : ends[b]]]
+                for x in range(0, len(few), at_once):
+                    lost = here[few[x : x + at_once]]
+                    s = self.heads(first[lost], second[lost], r)
+                    out[lost] = s[:, 0] - log_softmax(s.copy(), np.arange(len(s)), np.zeros(len(s), np.int64))
         return out
 
+    def add_among(self, out: np.ndarray, first: np.ndarray, second: np.ndarray, word: np.ndarray, r: np.ndarray, at_once: int) -> None:
+        """Adds the log probabilities in the tree: of the cell in its class and the leaf in its cell; all rows with the same siblings at once."""
+        tail = np.flatnonzero(word >= len(self.noise))
+        tail = tail[in_order(word[tail], self.start)[0]]
+        path = self.tree.path(word[tail] - len(self.noise)).reshape(2, -1)
+        for a in range(0, len(tail), 1 << 16):
+            rows = tail[a : a + (1 << 16)]
+            e, found = self.expected(first[rows], second[rows], r), np.zeros(len(rows), np.float32)
+            for node in path[:, a : a + (1 << 16)]:
+                up = self.tree.parent[node]
+                new = np.flatnonzero(np.r_[True, up[1:] != up[:-1]])
+                ends = [*new[1:].tolist(), len(up)]
+                for x, y, low, high in zip(new.tolist(), ends, self.tree.first[up[new]].tolist(), self.tree.first[up[new] + 1].tolist()):
+                    t, u = self.p["t"][low:high].T, self.p["u"][low:high]
+                    for i in range(x, y, at_once):
+                        j = min(i + at_once, y)
+                        s = product(e[i:j], t)
+                        s += u
+                        found[i:j] += log_softmax(s, np.arange(j - i), node[i:j] - low)
+            out[rows] += found
+
 
 def contexts(words: np.ndarray, sizes: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
     """The two words before each word of consecutive texts; `before` stands before a text."""
@@ -300,9 +403,12 @@ def contexts(words: np.ndarray, sizes: np.ndarray, before: int) -> tuple[np.ndar
 
 
 def numbered(texts: list[bytes], number: Numbers) -> tuple[np.ndarray, np.ndarray]:
-    lists = [tokens_of(t) for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((n for x in lists for n in map(number.__getitem__, x)), np.int64, int(sizes.sum())), sizes
+    words, ends = [], [0]
+    for text in texts:
+        words += lowered_words(text)
+        words.append(END)
+        ends.append(len(words))
+    return number.of(words), np.diff(ends)
 
 
 class Model:
@@ -394,10 +500,10 @@ def counts_of(blocks: DataFrame, least: int) -> tuple[DataFrame, Model]:
 
     def about(words: list[bytes], totals: np.ndarray) -> list[tuple[int, int | bytes]]:
         proposed = {w for _, w in most_frequent(words, totals, least)}
-        return [(n, w if w in proposed else cell_of(w)) for w, n in zip(words, totals.tolist())]
+        return [(n, w if w in proposed else c) for w, n, c in zip(words, totals.tolist(), cells_of(words).tolist())]
 
     def summary(words: list[bytes], totals: np.ndarray) -> bytes:
-        of = np.array([cell_of(w) for w in words], np.int64)
+        of = cells_of(words)
         sums = np.column_stack([np.bincount(of, totals, CLASSES * CELLS), np.bincount(of, totals > 0, CLASSES * CELLS)])
         return pack((sums, [(w, -n) for n, w in most_frequent(words, totals, least)]))
 

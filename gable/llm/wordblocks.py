@@ -108,12 +108,12 @@ def cut(
             order = np.argsort(-np.bincount(flat, minlength=len(vocabulary)), kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            flat, words = rank[flat], [vocabulary[i] for i in order]
+            flat, words = rank[flat], [vocabulary[i] for i in order.tolist()]
             counts = np.zeros(len(words), np.int64)
             if counted:
                 mask = np.repeat(table.column(counted).to_numpy(), sizes)
                 counts = np.bincount(flat[mask], minlength=len(words))
-            bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table)
@@ -125,7 +125,7 @@ def cut(
             present, first = np.unique(bucket[by], return_index=True)
             parts = np.split(by, first[1:]) if words else []
             for a in range(0, len(parts), 2000):
-                data = [pack(([words[i] for i in p], counts[p].astype(np.int32) if counted else None)) for p in parts[a : a + 2000]]
+                data = [pack(([words[i] for i in p.tolist()], counts[p].astype(np.int32) if counted else None)) for p in parts[a : a + 2000]]
                 yield rows_of(block, present[a : a + 2000].tolist(), data)
 
         for batch in small_batches(batches, text, 4 << 20):
@@ -165,7 +165,7 @@ def answer(blocks: DataFrame, about: Callable[[list[bytes], np.ndarray], list],
         words = list(number)
         answers = about(words, totals)
         block, bucket = rows.column("block").to_pylist(), rows.column("bucket").to_pylist()
-        data = [pack([answers[i] for i in at]) for at in asked]
+        data = [pack([answers[i] for i in at.tolist()]) for at in asked]
         if summary:
             block, bucket, data = [*block, 0], [*bucket, -2], [*data, summary(words, totals)]
         return pa.table([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=_NAMES)

@@ -148,3 +148,58 @@ def test_sums_by_place_and_shares_at_places():
     s, row = rng.normal(size=(7, 9)), np.array([0, 0, 3, 6])
     p = np.exp(s) / np.exp(s).sum(1, keepdims=True)
     assert np.allclose(lm.log_softmax(s.copy(), row, np.array([0, 8, 2, 4])), np.log(p[row, [0, 8, 2, 4]]))
+
+
+def test_heads_are_normalised_by_word_not_by_context(monkeypatch):
+    """One row of scores for each context word and place, not for each of the 900 contexts; the sums stay those of a softmax."""
+    rng = np.random.default_rng(6)
+    n = lm.Bilinear(np.full(40, 1 / 40), 2)
+    n.p["q"] *= 10
+    first, second = (x.ravel() for x in np.indices((30, 30)))
+    word = rng.integers(0, 40, 900)
+    wanted = n.log_normalised(first, second)[np.arange(900), word]
+    rows, product = [], lm.product
+    monkeypatch.setattr(lm, "product", lambda a, b: (rows.append(len(a)), product(a, b))[1])
+    monkeypatch.setattr(lm, "WORDS_AT_ONCE", 13)
+    assert np.allclose(n.score(first, second, word, at_once=7), wanted, atol=1e-5)
+    monkeypatch.setattr(lm, "WORDS_AT_ONCE", 1 << 14)
+    del rows[:]
+    assert np.allclose(n.score(first, second, word), wanted, atol=1e-5)
+    assert sum(rows) == 60
+
+
+def test_contexts_that_favour_unlike_words():
+    """Each context word raises a head of its own so far that the products of their parts vanish."""
+    n = lm.Bilinear(np.array([0.5, 0.5]), 1)
+    n.p["q"] = np.zeros((2, lm.WIDTH), np.float32)
+    n.p["q"][[0, 1], [0, 1]] = 1
+    n.p["r"][:] = 0
+    n.p["r"][0, 0], n.p["r"][1, 1] = 300, 300
+    n.p["b"][:] = 0
+    first, second = (x.ravel() for x in np.indices((2, 2)))
+    found = n.score(first, second, np.zeros(4, np.int64))
+    assert np.allclose(found, [0, -np.log(2), -np.log(2), -600], atol=1e-3)
+
+
+def test_drawn_numbered_and_put_as_one_by_one():
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(1, 9, lm.CLASSES * lm.CELLS)
+    tree = lm.Tree(sizes, rng.zipf(1.5, sizes.sum()).clip(1, 10**6).astype(float))
+    node = tree.path(rng.integers(0, tree.leaves, 5_000))
+    u = np.random.default_rng(1).random((4, len(node)))
+    up = tree.parent[node]
+    low, high = tree.first[up], tree.first[up + 1]
+    at = tree.sums[low] + u * (tree.sums[high] - tree.sums[low])
+    wanted = (np.searchsorted(tree.sums, at, side="right") - 1).clip(low, high - 1).T
+    assert (tree.siblings(node, 4, np.random.default_rng(1)) == wanted).mean() > 0.9999  # but for the last bit of a float
+    number = lm.Numbers({b"a": 7, lm.END: 9}, list(range(100, 100 + lm.CLASSES * lm.CELLS)))
+    words = [b"a", b"rare", b"", b"x", "é".encode(), b"rare"]
+    assert number.of(words).tolist() == [number[w] for w in words] and number.of([]).tolist() == []
+    key = rng.integers(0, 50, 300)
+    for below in (50, 1 << 62):
+        order, ordered = lm.in_order(key, below)
+        assert (order == np.argsort(key, kind="stable")).all() and (ordered == key[order]).all()
+    x, y = np.zeros((6, 3), np.float32), np.zeros(6, np.float32)
+    lm.put(x, np.array([4, 1]), np.array([[1, 2, 3], [4, 5, 6]], np.float32))
+    lm.put(y, np.array([4, 1]), np.array([1, 2], np.float32))
+    assert x[4].tolist() == [1, 2, 3] and x[1].tolist() == [4, 5, 6] and x.sum() == 21 and y.tolist() == [0, 2, 0, 0, 1, 0]
